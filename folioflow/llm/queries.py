@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan
+from . import exact_dedup, license_scan, sharding, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,13 +18,33 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), [f"shard-{i:03d}" for i in range(64)])
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    scored = toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+#: The rules of op8.
+URL_RULES = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_of(URL_RULES))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_exact_dedup, op6_sharding, op7_toxicity, op8_url_filter, op10_license_scan)}
 
 
 NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
