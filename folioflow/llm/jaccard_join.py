@@ -59,6 +59,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     for k, i in enumerate(short.tolist()):
         own = hashed[at[i] : at[i + 1]]
         whole[k] = np.bitwise_xor.reduce(W.mix(own + np.arange(1, len(own) + 1, dtype=np.uint64)))
+    value = np.concatenate((runs, whole))
     order = np.lexsort((value, doc)) if len(short) else None
     if order is None:
         for i in range(len(counts)):
