@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, license_scan, packing, sharding, toxicity, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, language_model, license_scan, packing, sharding, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,13 +52,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_model.score_documents(table(spark, sf_dir, "documents"))
+    by_order = [F.element_at("by_order", n).alias(f"n_order_{n}") for n in range(1, language_model.ORDER + 1)]
+    return found.select("doc_id", "n_words", "log_score", "mean_log_score", *by_order)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op4_packing, op5_jaccard_join, op6_sharding, op7_toxicity, op8_url_filter, op10_license_scan)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op4_packing, op5_jaccard_join, op6_sharding, op7_toxicity, op8_url_filter, op9_language_model, op10_license_scan)}
 
 
 NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
