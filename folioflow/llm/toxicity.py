@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.__dict__)], pa.binary())], ["model"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return Model(**pickle.loads(texts.mapInArrow(featurise, f"id {id_type}, y int, terms binary").coalesce(1).mapInArrow(train, "model binary").first()[0]))
+    return Model(**pickle.loads(texts.mapInArrow(featurise, f"id {id_type}, y int, terms binary").repartition(1).mapInArrow(train, "model binary").first()[0]))
 
 
 def probabilities(model: Model, data: np.ndarray, offsets: np.ndarray, gate: np.ndarray) -> np.ndarray:
