@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,3 +94,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("the components did not settle")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def unique_ids(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """docs and a column that names a row: id_col where no id is missing or repeated, else a new column, a hash of id and text.
+
+    Rows that repeat both then have one name."""
+    counts = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
+    if counts.where("id is null or n > 1").isEmpty():
+        return docs, id_col
+    return docs.withColumn("__row_name", F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))), "__row_name"
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="folioflow-scratch-")
+    return f"{base}/folioflow-{uuid.uuid4().hex}"

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .common import unique_ids, without
 
 K1, B = 1.2, 0.75
 BLOCK = 16
@@ -237,3 +238,12 @@ def leaks(index: Index, words: np.ndarray, at: np.ndarray, least: float) -> Iter
             shares = index.verify(number, passage)
             if min(shares) >= least - 1e-9:
                 yield d, number, start, score / float(index.own[number]), shares
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs, in its own columns, less the documents that hold a passage of the benchmark.
+
+    Rows with missing or repeated ids are told apart by their texts."""
+    named, key = unique_ids(docs, id_col, text_col)
+    found = find_leaks(named, benchmark, key, text_col, **options)
+    return without(named, found.select("doc_id").distinct(), [(F.col(key), "doc_id")]).select(*docs.columns)

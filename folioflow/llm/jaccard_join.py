@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import BROADCAST_ROWS, checkpoint, components, partitions_for
+from .common import BROADCAST_ROWS, checkpoint, components, partitions_for, unique_ids, without
 
 FUNCTIONS = 64
 DEPTH = 3
@@ -332,3 +332,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", F.coalesce(pick("set_id"), F.col("doc_id")).alias("set_id"), class_id.alias("class_id"), F.coalesce(pick("class_size"), F.lit(1)).cast("long").alias("class_size"),
         F.coalesce(pick("copies") - 1 + pick("n_doc_links"), F.lit(0)).cast("long").alias("n_links"), F.coalesce(pick("n_set_links"), F.lit(0)).cast("long").alias("n_set_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs, in its own columns, with the first document of each class of near duplicates.
+
+    Rows with missing or repeated ids are told apart by their texts, and rows that repeat both are reduced to one."""
+    named, key = unique_ids(docs, id_col, text_col)
+    if key != id_col:
+        named = named.dropDuplicates([key])
+    found = jaccard_join(named, key, text_col, **options)
+    return without(named, found.where("not kept").select("doc_id"), [(F.col(key), "doc_id")]).select(*docs.columns)

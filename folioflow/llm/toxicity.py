@@ -149,13 +149,13 @@ def probabilities(model: Model, data: np.ndarray, offsets: np.ndarray, gate: np.
     return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs, every row, with `toxicity` (0 to 1) in place of any column of that name.
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """docs, every row, with a column score_col (0 to 1) in place of any of that name.
 
     A null or empty text scores as a text without terms.  Rows are scored alone, so repeated rows score alike."""
-    names = [c for c in docs.columns if c != "toxicity"]
+    names = [c for c in docs.columns if c != score_col]
     docs = docs.select(*names)
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     position = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +164,17 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for lo, hi, data, offsets in W.blocks(batch.column(position)):
                 out = probabilities(model, data, offsets, gate)
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns], pa.array(out)], [*names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns], pa.array(out)], [*names, score_col])
 
     return docs.mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
+    """docs, in its own columns, less the rows that score `threshold` or more."""
+    scored = score(docs, fit(docs, labels, id_col, text_col, **options), text_col, "__toxicity_score")
+    return scored.where(F.col("__toxicity_score") < threshold).select(*docs.columns)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that are never learnt from: crc32 of the id as text is divisible by 5."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
