@@ -72,16 +72,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
 
 
 def embed(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(texts, FUNCTIONS) 16-bit parts of the minima; texts without shingles get zeros."""
-    out = np.zeros((len(at) - 1, FUNCTIONS), dtype=np.uint16)
+    """(texts, FUNCTIONS) minima of 32 bits; texts without shingles get zeros."""
+    out = np.zeros((len(at) - 1, FUNCTIONS), dtype=np.uint32)
     full = np.flatnonzero(np.diff(at) > 0)
     if len(full):
         for i in range(FUNCTIONS):
-            low = np.minimum.reduceat(((sets * MULTIPLY[i] + ADD[i]) >> np.uint64(32)).astype(np.uint32), at[full])
-            out[full, i] = (low ^ (low >> np.uint32(16))).astype(np.uint16)
+            out[full, i] = np.minimum.reduceat(((sets * MULTIPLY[i] + ADD[i]) >> np.uint64(32)).astype(np.uint32), at[full])
     return out
 
 
+def shorten(tokens: np.ndarray) -> np.ndarray:
+    """16 bits of each token: enough to compare two sets, not to tell all sets of a corpus apart."""
+    return (tokens ^ (tokens >> np.uint32(16))).astype(np.uint16)
+
+
 def set_id(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A 63-bit number of each set; equal sets have equal numbers."""
     total = np.zeros(len(sets) + 1, dtype=np.uint64)
@@ -91,20 +95,20 @@ def set_id(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """doc_id, sid, n_shingles, sketch for every row."""
+    """doc_id, sid, n_shingles, tokens for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in W.blocks(batch.column(1)):
                 sets, at = shingle_sets(data, offsets, n)
-                sketch = embed(sets, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(set_id(sets, at)), pa.array(np.diff(at).astype(np.int64)), pa.array([s.tobytes() for s in sketch], pa.binary())], ["doc_id", "sid", "n_shingles", "sketch"])
+                tokens = embed(sets, at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(set_id(sets, at)), pa.array(np.diff(at).astype(np.int64)), pa.array([t.tobytes() for t in tokens], pa.binary())], ["doc_id", "sid", "n_shingles", "tokens"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {id_type}, sid long, n_shingles long, sketch binary")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(W.lean(run), f"doc_id {id_type}, sid long, n_shingles long, tokens binary")
 
 
-def children(node: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def children(node: np.ndarray, tokens: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, child node) of each sampled token; which tokens a node samples depends on the node alone."""
     rate = np.uint64(int(2**64 / (similarity * FUNCTIONS)))
     rows, out = [], []
@@ -112,7 +116,7 @@ def children(node: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[n
         salt = W.mix(np.full(1, i + 1, dtype=np.uint64))
         chosen = np.flatnonzero(W.mix(node ^ salt) < rate)
         rows.append(chosen)
-        out.append(W.mix(node[chosen] * W.BASE + salt) ^ W.mix(sketch[chosen, i].astype(np.uint64) + salt))
+        out.append(W.mix(node[chosen] * W.BASE + salt) ^ W.mix(tokens[chosen, i].astype(np.uint64) + salt))
     return np.concatenate(rows), W.mix(np.concatenate(out))
 
 
@@ -120,9 +124,14 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def sketches_of(column: pa.Array) -> np.ndarray:
-    data = b"".join(column.to_pylist())
-    return np.frombuffer(data, np.uint16).reshape(-1, FUNCTIONS)
+def matrix_of(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, FUNCTIONS)
+
+
+def with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sketch = shorten(matrix_of(batch.column("tokens"), np.uint32))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s.tobytes() for s in sketch], pa.binary())], [*batch.schema.names, "sketch"])
 
 
 def split(rows: DataFrame, similarity: float, runs: int | None) -> DataFrame:
@@ -130,13 +139,13 @@ def split(rows: DataFrame, similarity: float, runs: int | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sid, sketch = batch.column("sid"), sketches_of(batch.column("sketch"))
+            sid, tokens = batch.column("sid"), matrix_of(batch.column("tokens"), np.uint32)
             starts = [W.mix(np.full(len(sid), 0xABCD + 7919 * r, dtype=np.uint64)) for r in range(runs)] if runs else [np.asarray(batch.column("node")).astype(np.int64).view(np.uint64)]
             for node in starts:
-                row, child = children(node, sketch, similarity)
+                row, child = children(node, tokens, similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(child)), sid.take(pa.array(row))], ["node", "sid"])
 
-    return rows.mapInArrow(run, "node long, sid long")
+    return rows.mapInArrow(W.lean(run), "node long, sid long")
 
 
 def grouped(key: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable:
@@ -182,7 +191,7 @@ def compare_nodes(least_share: float) -> Callable:
         node, sid = np.asarray(table.column("node")), np.asarray(table.column("sid"))
         order = np.lexsort((sid, node))
         node, sid = node[order], sid[order]
-        sketch = sketches_of(table.column("sketch").combine_chunks())[order]
+        sketch = matrix_of(table.column("sketch"), np.uint16)[order]
         bounds = np.concatenate(([0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]))
         a, b = [], []
         sizes = np.diff(bounds)
@@ -213,7 +222,7 @@ def candidate_links(sets: DataFrame, n_sets: int, similarity: float, recall: flo
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         alive = level.join(sizes, "node")
-        level = checkpoint(alive.join(sets, "sid").select("node", "sid", "size", "sketch"))
+        level = checkpoint(alive.join(sets.select("sid", "sketch"), "sid"))
         big = level.where(F.col("size") > SMALL)
         ready = level.where(F.col("size") <= SMALL).select("node", "sid", "sketch")
         more = not big.isEmpty()
@@ -225,11 +234,11 @@ def candidate_links(sets: DataFrame, n_sets: int, similarity: float, recall: flo
             tiles = dealt.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "sid", "sketch")
             ready = ready.unionByName(tiles)
         parts = partitions_for(spark, n_sets * 4, 100_000)
-        links = ready.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(compare_nodes(cautious), "a long, b long")
+        links = ready.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(W.lean(compare_nodes(cautious)), "a long, b long")
         found = links if found is None else found.unionByName(links)
         if not more:
             break
-        level = split(big.select("node", "sid", "sketch"), similarity, None)
+        level = split(big.select("node", "sid").join(sets.select("sid", "tokens"), "sid"), similarity, None)
     return found.distinct()
 
 
@@ -285,9 +294,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns are not looked at.  recall: the chance that a pair at the very threshold meets in a node."""
     spark = docs.sparkSession
     rows = checkpoint(signatures(docs, id_col, text_col, n))
-    sets = checkpoint(rows.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("sketch").alias("sketch"), F.max("n_shingles").alias("n_shingles")))
+    sets = checkpoint(rows.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("tokens").alias("tokens")).mapInArrow(with_sketch, f"sid long, first_id {rows.schema['doc_id'].dataType.simpleString()}, copies long, tokens binary, sketch binary"))
     n_sets = sets.count()
-    loose = components(candidate_links(sets.select("sid", "sketch"), n_sets, similarity, recall, cautious))
+    loose = components(candidate_links(sets.select("sid", "tokens", "sketch"), n_sets, similarity, recall, cautious))
     members = checkpoint(loose.join(sets.select("sid", "first_id", "copies"), loose["node"] == sets["sid"]).select("component", "sid", "first_id", "copies"))
     n_members = members.count()
 
@@ -306,10 +315,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 take = pa.array(same)
                 yield pa.RecordBatch.from_arrays([*[part.column(c).take(take) for c in ("component", "sid", "copies", "blocks", "block")], pa.array([found[at[i] : at[i + 1]].tobytes() for i in same], pa.binary())], ["component", "sid", "copies", "blocks", "block", "shingles"])
 
-    full = texts.mapInArrow(reread, "component long, sid long, copies long, blocks int, block int, shingles binary")
+    full = texts.mapInArrow(W.lean(reread), "component long, sid long, copies long, blocks int, block int, shingles binary")
     dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "sid", "copies", "block", "shingles")
     parts = partitions_for(spark, n_members, 5_000)
-    exact = checkpoint(dealt.repartition(parts, "component", "left", "right").sortWithinPartitions("component", "left", "right").mapInArrow(compare_groups(similarity), "sid long, n_doc_links long, n_set_links long, least long"))
+    exact = checkpoint(dealt.repartition(parts, "component", "left", "right").sortWithinPartitions("component", "left", "right").mapInArrow(W.lean(compare_groups(similarity)), "sid long, n_doc_links long, n_set_links long, least long"))
 
     links = exact.groupBy("sid").agg(F.sum("n_doc_links").alias("n_doc_links"), F.sum("n_set_links").alias("n_set_links"))
     classes = components(exact.where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b")))
