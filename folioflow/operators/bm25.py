@@ -23,16 +23,26 @@ BROADCAST_ROWS = 200_000
 
 @dataclass
 class Bm25Index:
-    postings: DataFrame  # term, chunk_id, positions
+    occurrences: DataFrame  # term, chunk_id, position
     lengths: DataFrame  # chunk_id, dl
     stats: DataFrame  # n, avgdl: one row
     stems: bool
+    stored: DataFrame | None = None  # term, chunk_id, positions: kept for many searches
 
     def persist(self) -> Bm25Index:
-        for df in (self.postings, self.lengths, self.stats):
-            df.persist()
+        """Keeps the postings; without it, a search gathers those of its own terms only."""
+        self.stored = self.postings().persist()
+        self.lengths.persist()
+        self.stats.persist()
         return self
 
+    def postings(self, of: DataFrame | None = None) -> DataFrame:
+        """of: terms to confine them to, before anything is shuffled."""
+        if self.stored is not None:
+            return self.stored if of is None else self.stored.join(of, "term", "left_semi")
+        found = self.occurrences if of is None else self.occurrences.join(of, "term", "left_semi")
+        return found.groupBy("term", "chunk_id").agg(F.collect_list("position").alias("positions"))
+
 
 def build_index(chunks: DataFrame, stem: bool = True, id_col: str = "chunk_id", text_col: str = "text") -> Bm25Index:
     tokens = chunks.select(F.col(id_col).alias("chunk_id"), X.index_tokens(F.col(text_col)).alias("tokens"))
@@ -41,7 +51,7 @@ def build_index(chunks: DataFrame, stem: bool = True, id_col: str = "chunk_id",
     at = tokens.select("chunk_id", F.posexplode("tokens").alias("position", "term"))
     if stem:
         at = at.withColumn("term", stemmed("term"))
-    return Bm25Index(at.groupBy("term", "chunk_id").agg(F.collect_list("position").alias("positions")), lengths, stats, stem)
+    return Bm25Index(at, lengths, stats, stem)
 
 
 def phrases(queries: DataFrame, stem: bool) -> DataFrame:
@@ -60,11 +70,12 @@ def _broadcast(df: DataFrame) -> DataFrame:
 def matches(index: Bm25Index, queries: DataFrame) -> DataFrame:
     """(query_id, phrase, chunk_id, f): how often each phrase stands in each chunk that has it."""
     wanted = phrases(queries, index.stems)
-    single = index.postings.join(_broadcast(wanted.where("size = 1")), "term").select("query_id", "phrase", "chunk_id", F.size("positions").alias("f"))
+    postings = index.postings(_broadcast(wanted.select("term").distinct()))
+    single = postings.join(_broadcast(wanted.where("size = 1")), "term").select("query_id", "phrase", "chunk_id", F.size("positions").alias("f"))
     longer = wanted.where("size > 1")
     if longer.isEmpty():
         return single
-    found = index.postings.join(_broadcast(longer), "term").select("query_id", "phrase", "size", "chunk_id", F.explode(F.transform("positions", lambda p: p - F.col("place"))).alias("start"))
+    found = postings.join(_broadcast(longer), "term").select("query_id", "phrase", "size", "chunk_id", F.explode(F.transform("positions", lambda p: p - F.col("place"))).alias("start"))
     starts = found.groupBy("query_id", "phrase", "size", "chunk_id", "start").agg(F.count("*").alias("n")).where("n = size")
     return single.unionByName(starts.groupBy("query_id", "phrase", "chunk_id").agg(F.count("*").cast("int").alias("f")))
 

@@ -54,7 +54,7 @@ def chunk_segments(segments: DataFrame, max_words: int = MAX_WORDS, overlap_word
     of = [c for c in ("doc_id", "doc_name", "seg_no", "page", "section", "method") if c in segments.columns]
     cut = segments.where(F.coalesce("text", F.lit("")) != "").select(*of, units(F.col("text"), max_words, overlap_words).alias("units"))
     cut = cut.withColumn("groups", packed(F.col("units"), max_words))
-    last = F.coalesce(F.element_at("groups", -1), F.lit(-1))
+    last = F.coalesce(F.try_element_at("groups", F.lit(-1)), F.lit(-1))
     chunk = F.transform(
         F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")),
         lambda g: F.filter(F.arrays_zip("units", "groups"), lambda z: z["groups"] == g),

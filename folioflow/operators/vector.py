@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,9 +63,7 @@ class ArrowEmbedder:
         load, batch = self.load, self.batch
 
         @F.pandas_udf("array<float>")
-        def embed(parts: Iterator) -> Iterator:  # type: ignore[type-arg]
-            import pandas as pd
-
+        def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()
             for texts in parts:
                 rows: list[np.ndarray] = []
@@ -74,7 +73,6 @@ class ArrowEmbedder:
                     rows += list(np.divide(m, norm, out=np.zeros_like(m), where=norm > 0))
                 yield pd.Series(rows, index=texts.index)
 
-        embed.__annotations__ = {}
         return embed(text)
 
     def queries(self, text: Column) -> Column:
