@@ -8,13 +8,14 @@ reaches `tau` of the score that the item's own text gets.
 
 Items are numbered by rising threshold, so the threshold at a pivot holds for all later items.  A passage
 first takes WAND's pivot test over the whole shard at once, in NumPy: the lists of essential terms are added
-up item by item, and the other terms count with their maxima.  Only where some item can still reach its
-threshold does the cursor search run.  What it retrieves is verified on the words: five-word runs of the
+up item by item, and the other terms count with their maxima, then with their lists where that leaves a
+chance.  Only where some item reaches its threshold does the cursor search run.  What it retrieves is verified on the words: five-word runs of the
 item found in the passage, and the words of its question and of its answer.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,44 +71,64 @@ class Index:
         self.essential[np.argsort(self.most, kind="stable")[:optional]] = False
         self.runs = [np.unique(W.grams(i.words, np.array([0, len(i.words)]), min(n, len(i.words)))[0]) for i in self.items]
         self.n = n
+        self.thresholds: list[float] = self.theta.tolist()
+        self.opened: dict[int, tuple] = {}
+
+    def sums(self, window: np.ndarray, term: np.ndarray, n_windows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, total weight of the window's terms in the item), for the pairs that share a term."""
+        n = self.at[term + 1] - self.at[term]
+        place = np.repeat(self.at[term] - np.concatenate(([0], np.cumsum(n)[:-1]))[: len(n)], n) + np.arange(n.sum())
+        key, size = np.repeat(window, n) * len(self.items) + self.item[place], n_windows * len(self.items)
+        if size <= 1 << 22:
+            total = np.bincount(key, weights=self.weight[place], minlength=size)
+            key = np.flatnonzero(total)
+            total = total[key]
+        else:
+            key, inverse = np.unique(key, return_inverse=True)
+            total = np.bincount(inverse, weights=self.weight[place], minlength=len(key))
+        return key // len(self.items), key % len(self.items), total
 
     def screened(self, window: np.ndarray, term: np.ndarray, n_windows: int) -> np.ndarray:
-        """Windows in which some item may reach its threshold.  (window, term) are distinct pairs."""
+        """Windows in which some item reaches its threshold.  (window, term) are distinct pairs.
+
+        First the essential terms' lists, the others by their maxima; then all lists of the windows left."""
         must = self.essential[term]
         rest = np.bincount(window[~must], weights=self.most[term[~must]], minlength=n_windows)
-        w, t = window[must], term[must]
-        n = self.at[t + 1] - self.at[t]
-        place = np.repeat(self.at[t] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        key = np.repeat(w, n) * len(self.items) + self.item[place]
-        if n_windows * len(self.items) <= 1 << 22:
-            total = np.bincount(key, weights=self.weight[place], minlength=n_windows * len(self.items)).reshape(n_windows, -1)
-            return np.flatnonzero((total + rest[:, None] >= self.theta[None, :] - 1e-9).any(axis=1))
-        key, inverse = np.unique(key, return_inverse=True)
-        total = np.bincount(inverse, weights=self.weight[place])
-        reach = total + rest[key // len(self.items)] >= self.theta[key % len(self.items)] - 1e-9
-        return np.unique(np.concatenate((key[reach] // len(self.items), np.flatnonzero(rest >= self.theta[0] - 1e-9))))
+        w, item, total = self.sums(window[must], term[must], n_windows)
+        left = np.zeros(n_windows, dtype=bool)
+        left[w[total + rest[w] >= self.theta[item] - 1e-9]] = True
+        again = left[window]
+        w, item, total = self.sums(window[again], term[again], n_windows)
+        return np.unique(w[total >= self.theta[item] - 1e-9])
+
+    def lists(self, term: int) -> tuple[list[int], list[float], list[float], list[int], float]:
+        """A term's items and weights, the blocks' maxima and last items, and the largest weight."""
+        if term not in self.opened:
+            items, weights = self.item[self.at[term] : self.at[term + 1]], self.weight[self.at[term] : self.at[term + 1]]
+            starts = np.arange(0, len(items), BLOCK)
+            last = items[np.minimum(starts + BLOCK, len(items)) - 1]
+            self.opened[term] = (items.tolist(), weights.tolist(), np.maximum.reduceat(weights, starts).tolist(), last.tolist(), float(weights.max()))
+        return self.opened[term]
 
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """(item, score) of all items at or above their thresholds, by block-max WAND."""
-        start, end = self.at[terms].tolist(), self.at[terms + 1].tolist()
-        most, at, found = self.most[terms].tolist(), self.at[terms].tolist(), []
-        items, weights, theta = self.item, self.weight, self.theta
-        live = list(range(len(start)))
-        here = [int(items[p]) for p in at]
+        lists = [self.lists(t) for t in terms.tolist()]
+        at, here, theta = [0] * len(lists), [own[0][0] for own in lists], self.thresholds
+        live, found = list(range(len(lists))), []
 
         def advance(c: int, to: int) -> None:
-            at[c] += int(np.searchsorted(items[at[c] : end[c]], to))
-            if at[c] < end[c]:
-                here[c] = int(items[at[c]])
+            at[c] = bisect_left(lists[c][0], to, at[c])
+            if at[c] < len(lists[c][0]):
+                here[c] = lists[c][0][at[c]]
             else:
                 live.remove(c)
 
         while live:
             live.sort(key=here.__getitem__)
-            reach, pivot = 0.0, -1
+            reach, pivot = 1e-9, -1
             for j, c in enumerate(live):
-                reach += most[c]
-                if reach >= theta[here[c]] - 1e-9:
+                reach += lists[c][4]
+                if reach >= theta[here[c]]:
                     pivot = j
                     break
             if pivot < 0:
@@ -115,25 +136,24 @@ class Index:
             p = here[live[pivot]]
             while pivot + 1 < len(live) and here[live[pivot + 1]] == p:
                 pivot += 1
-            bound, leap = 0.0, here[live[pivot + 1]] if pivot + 1 < len(live) else len(theta)
-            for c in live[: pivot + 1]:
-                q = at[c] + int(np.searchsorted(items[at[c] : end[c]], p))
-                if q < end[c]:
-                    first = start[c] + (q - start[c]) // BLOCK * BLOCK
-                    last = min(first + BLOCK, end[c])
-                    bound += float(weights[first:last].max())
-                    leap = min(leap, int(items[last - 1]) + 1)
-            if bound < theta[p] - 1e-9:
-                for c in [c for c in live[: pivot + 1] if here[c] < max(leap, p + 1)]:
+            before = live[: pivot + 1]
+            bound, leap = 1e-9, here[live[pivot + 1]] if pivot + 1 < len(live) else len(theta)
+            for c in before:
+                block = bisect_left(lists[c][3], p)
+                if block < len(lists[c][3]):
+                    bound += lists[c][2][block]
+                    leap = min(leap, lists[c][3][block] + 1)
+            if bound < theta[p]:
+                for c in before:
                     advance(c, max(leap, p + 1))
             elif here[live[0]] == p:
-                total = sum(float(weights[at[c]]) for c in live[: pivot + 1])
-                if total >= theta[p] - 1e-9:
+                total = sum(lists[c][1][at[c]] for c in before)
+                if total + 1e-9 >= theta[p]:
                     found.append((p, total))
-                for c in live[: pivot + 1]:
+                for c in before:
                     advance(c, p + 1)
             else:
-                advance(max((c for c in live[: pivot + 1] if here[c] < p), key=most.__getitem__), p)
+                advance(max((c for c in before if here[c] < p), key=lambda c: lists[c][4]), p)
         return found
 
     def verify(self, number: int, passage: np.ndarray) -> tuple[float, float, float]:
@@ -209,7 +229,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         return run
 
     for items in shards(benchmark, item_col, question_col, answer_col):
-        part = rows.mapInArrow(searcher(context.broadcast(Index(items, n, tau))), out_schema)
+        part = rows.mapInArrow(W.lean(searcher(context.broadcast(Index(items, n, tau)))), out_schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], out_schema)
 
