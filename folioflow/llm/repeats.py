@@ -32,6 +32,7 @@ from .language_model import pack48, unpack48
 CORE = 32
 SEGMENT_BYTES = 12 << 20
 BUCKET_BYTES = 24 << 20
+GROUP_BYTES = 4 << 20
 MANY = 64
 
 
@@ -93,9 +94,6 @@ def column_bytes(table: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()] or [np.zeros(0, kind)])
 
 
-RUNS = "doc long, place long, n int, core long, known boolean"
-
-
 def parse(docs: DataFrame, length: int, bits: int) -> DataFrame:
     """Phrases by bucket of their trigger, packed in columns; and, in any bucket, phrases that their segment has settled."""
 
@@ -143,15 +141,36 @@ def parse(docs: DataFrame, length: int, bits: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, "bucket int, core binary, whole binary, doc binary, place binary, count binary, marked binary, o_doc binary, o_place binary, o_count binary, o_settled binary, o_core binary")
+    return docs.mapInArrow(W.lean(run), "bucket int, core binary, whole binary, doc binary, place binary, count binary, marked binary, o_doc binary, o_place binary, o_count binary, o_settled binary, o_core binary")
+
+
+def block_of(doc: np.ndarray, n_blocks: int) -> np.ndarray:
+    """pmod(xxhash64(doc), n_blocks), as Spark computes it for a long: XXH64 of 8 bytes with seed 42."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    x = np.full(len(doc), (42 + int(p5) + 8) % 2**64, dtype=np.uint64) ^ (turn(doc.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+    x = turn(x, 27) * p1 + p4
+    x = (x ^ (x >> np.uint64(33))) * p2
+    x = (x ^ (x >> np.uint64(29))) * p3
+    return (x ^ (x >> np.uint64(32))).view(np.int64) % n_blocks
 
 
-def dictionary(bits: int):
+def by_block(n_blocks: int, doc: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """A row a block of documents, with its values of each column as bytes."""
+    block = block_of(doc, n_blocks)
+    order = np.argsort(block, kind="stable")
+    blocks, at = np.unique(block[order], return_index=True)
+    at = np.append(at, len(order))
+    packed = {name: [values[order[at[i] : at[i + 1]]].tobytes() for i in range(len(blocks))] for name, values in {"doc": doc, **columns}.items()}
+    return pa.table({"block": blocks.astype(np.int64), **{name: pa.array(x, pa.binary()) for name, x in packed.items()}})
+
+
+def dictionary(bits: int, n_blocks: int):
     def settle(table: pa.Table) -> pa.Table:
         """Runs of stretches: known to be repeats, or to be ordered (core: their trigger; below 0 if it has very many phrases)."""
         core = np.concatenate([unpack48(x) for x in table.column("core").to_pylist()])
         whole = np.concatenate([unpack48(x) for x in table.column("whole").to_pylist()])
-        doc, place, count, marked = column_bytes(table, "doc", "i8"), column_bytes(table, "place", "u4").astype(np.int64), column_bytes(table, "count", "u2"), column_bytes(table, "marked", "u1")
+        doc, place, count, marked = column_bytes(table, "doc", "i8"), column_bytes(table, "place", "u4"), column_bytes(table, "count", "u2"), column_bytes(table, "marked", "u1")
         some = np.flatnonzero((equal_counts(core) > 1) | (marked > 0))
         core, whole, doc, place, count, marked = (x[some] for x in (core, whole, doc, place, count, marked))
         many = np.unique(core[marked > 0])
@@ -167,115 +186,120 @@ def dictionary(bits: int):
         o_core = np.zeros(len(settled), dtype=np.int64)
         o_core[~settled] = -1
         cat = lambda a, b: np.concatenate((a, b))
-        return pa.table({
-            "doc": cat(doc[go], column_bytes(table, "o_doc", "i8")), "place": cat(place[go], column_bytes(table, "o_place", "u4").astype(np.int64)), "n": cat(count[go], column_bytes(table, "o_count", "u2")).astype(np.int32),
-            "core": cat(name[go], o_core), "known": cat(~first[go], settled),
-        })
+        known = cat(~first[go], settled)
+        return by_block(
+            n_blocks, cat(doc[go], column_bytes(table, "o_doc", "i8")), place=cat(place[go], column_bytes(table, "o_place", "u4")), count=cat(count[go], column_bytes(table, "o_count", "u2")),
+            core=np.where(known, 0, cat(name[go], o_core)), known=known,
+        )
 
     return settle
 
 
-def unsettled(length: int, bits: int):
-    """Texts with their runs: hands on the known runs, and the hashes of the others' stretches by trigger (or by hash)."""
+def begins_of(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(counts)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            doc, place, count, core, known, hashed = (np.concatenate(c) for c in zip(*held, strict=True))
-            loose = (core < 0) & ~known
-            each = np.repeat(np.arange(len(doc)), np.where(known, 0, count))  # the run of each hash
-            step = np.arange(len(each)) - np.repeat(np.cumsum(np.where(known, 0, count)) - np.where(known, 0, count), np.where(known, 0, count))
-            single = loose[each]
-            s_doc, s_place, s_hash = doc[each[single]], place[each[single]] + step[single], hashed[single]
-            repeat = ~first_of_equals(s_hash, s_doc, s_place)
-            to_run = (W.mix(np.where(known, doc, core).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.uint32)
-            to_one = np.where(repeat, W.mix(s_doc.astype(np.uint64)), W.mix(s_hash)) >> np.uint64(64 - bits)
-            runs, ones = np.flatnonzero(~loose), np.arange(len(s_doc))
-            runs, ones = runs[np.argsort(to_run[runs], kind="stable")], ones[np.argsort(to_one, kind="stable")]
-            edges = np.arange((1 << bits) + 1)
-            cut_runs, cut_ones = np.searchsorted(to_run[runs], edges), np.searchsorted(to_one[ones].astype(np.int64), edges)
-            at = np.concatenate(([0], np.cumsum(np.where(known, 0, count))))
-            for b in np.flatnonzero(np.diff(cut_runs) + np.diff(cut_ones)).tolist():
-                r, o = runs[cut_runs[b] : cut_runs[b + 1]], ones[cut_ones[b] : cut_ones[b + 1]]
-                n = np.where(known[r], 0, count[r])
-                take = np.repeat(at[r] - np.concatenate(([0], np.cumsum(n)[:-1]))[: len(r)], n) + np.arange(n.sum())
-                yield batch_of(
-                    [[b], [doc[r].tobytes()], [place[r].astype(np.uint32).tobytes()], [count[r].astype(np.uint16).tobytes()], [known[r].tobytes()], [core[r].tobytes()], [pack48(hashed[take], 0)],
-                     [s_doc[o].tobytes()], [s_place[o].astype(np.uint32).tobytes()], [s_hash[o].tobytes()], [repeat[o].tobytes()]],
-                    ["bucket", "doc", "place", "count", "known", "core", "hashed", "s_doc", "s_place", "s_hash", "s_repeat"], [pa.int32(), *[pa.binary()] * 10],
-                )
-            held.clear()
+def texts_of(table: pa.Table) -> tuple[np.ndarray, pa.ChunkedArray]:
+    """The documents of a block by number, and their texts."""
+    table = table.sort_by("doc")
+    return np.asarray(table.column("doc").combine_chunks()), table.column("text").combine_chunks()
 
-        for batch in batches:
-            runs = batch.column("runs")
-            for lo, hi, data, offsets in W.blocks(batch.column("text")):
-                part = runs.slice(lo, hi - lo)
-                rows = part.flatten()
-                per_doc = np.diff(np.asarray(part.offsets))
-                text = np.repeat(np.arange(hi - lo), per_doc)
-                place, count, core, known = (np.asarray(rows.field(f)) if f != "known" else np.array(rows.field(f).to_pylist(), dtype=bool) for f in ("place", "n", "core", "known"))
-                count = count.astype(np.int64)
-                n = np.where(known, 0, count)
-                start = np.repeat(offsets[text] + place - np.concatenate(([0], np.cumsum(n)[:-1]))[: len(n)], n) + np.arange(n.sum())
-                hashed = span_hashes(data, start, start + length) if len(start) else np.zeros(0, np.uint64)
-                held.append((np.asarray(batch.column("doc").slice(lo, hi - lo))[text], place, count, core, known, hashed))
-                size += 30 * len(place) + 8 * len(hashed)
-                if size >= SEGMENT_BYTES:
-                    yield from flush()
-                    size = 0
-        if held:
-            yield from flush()
+
+def unsettled(length: int, bits: int):
+    def run(runs: pa.Table, texts: pa.Table) -> pa.Table:
+        """A block's documents with their runs: hands on the known runs, and the hashes of the others' stretches by trigger (or by hash)."""
+        doc, place, count = column_bytes(runs, "doc", "i8"), column_bytes(runs, "place", "u4").astype(np.int64), column_bytes(runs, "count", "u2").astype(np.int64)
+        core, known = column_bytes(runs, "core", "i8"), column_bytes(runs, "known", "?")
+        order = np.argsort(doc, kind="stable")
+        doc, place, count, core, known = (x[order] for x in (doc, place, count, core, known))
+        n = np.where(known, 0, count)
+        ids, column = texts_of(texts)
+        parts = []
+        for lo, hi, data, offsets in W.blocks(column):
+            a, b = np.searchsorted(doc, ids[lo]), np.searchsorted(doc, ids[hi - 1], "right")
+            own = n[a:b]
+            text = np.searchsorted(ids[lo:hi], doc[a:b])
+            start = np.repeat(offsets[text] + place[a:b] - begins_of(own)[:-1], own) + np.arange(own.sum())
+            parts.append(span_hashes(data, start, start + length) if len(start) else np.zeros(0, np.uint64))
+        hashed, at = np.concatenate([np.zeros(0, np.uint64), *parts]), begins_of(n)
+        loose = (core < 0) & ~known
+        each = np.repeat(np.arange(len(doc)), n)  # the run of each hash
+        single = loose[each]
+        s_doc, s_place, s_hash = doc[each[single]], (place[each] + np.arange(len(each)) - at[each])[single], hashed[single]
+        repeat = ~first_of_equals(s_hash, s_doc, s_place)
+        shift = np.uint64(64 - bits)
+        to_run = (W.mix(np.where(known, doc, core).view(np.uint64)) >> shift).astype(np.int64)
+        to_one = (np.where(repeat, W.mix(s_doc.view(np.uint64)), W.mix(s_hash)) >> shift).astype(np.int64)
+        r_rows, o_rows = np.flatnonzero(~loose), np.arange(len(s_doc))
+        r_rows, o_rows = r_rows[np.argsort(to_run[r_rows], kind="stable")], o_rows[np.argsort(to_one, kind="stable")]
+        edges = np.arange((1 << bits) + 1)
+        cut_runs, cut_ones = np.searchsorted(to_run[r_rows], edges), np.searchsorted(to_one[o_rows], edges)
+        out: dict[str, list] = {c: [] for c in ("bucket", *STRETCHES)}
+        for b in np.flatnonzero(np.diff(cut_runs) + np.diff(cut_ones)).tolist():
+            r, o = r_rows[cut_runs[b] : cut_runs[b + 1]], o_rows[cut_ones[b] : cut_ones[b + 1]]
+            take = np.repeat(at[r] - begins_of(n[r])[:-1], n[r]) + np.arange(n[r].sum())
+            values = (doc[r], place[r].astype(np.uint32), count[r].astype(np.uint16), known[r], core[r][~known[r]])
+            for c, x in zip(("bucket", *STRETCHES), (b, *[v.tobytes() for v in values], pack48(hashed[take], 0), s_doc[o].tobytes(), s_place[o].astype(np.uint32).tobytes(), s_hash[o].tobytes(), repeat[o].tobytes()), strict=True):
+                out[c].append(x)
+        return pa.table({"bucket": pa.array(out.pop("bucket"), pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in out.items()}})
 
     return run
 
 
-def order_stretches(table: pa.Table) -> pa.Table:
-    """Runs of stretches that are repeats."""
-    doc, place, count = column_bytes(table, "doc", "i8"), column_bytes(table, "place", "u4").astype(np.int64), column_bytes(table, "count", "u2").astype(np.int64)
-    known, core = column_bytes(table, "known", "?"), column_bytes(table, "core", "i8")
-    hashed = np.concatenate([unpack48(x) for x in table.column("hashed").to_pylist()])
-    n = np.where(known, 0, count)
-    each = np.repeat(np.arange(len(doc)), n)
-    where = place[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-    repeat = ~first_of_equals(W.mix(core[each].astype(np.uint64)) + hashed, doc[each], where)
-    s_doc, s_place, s_hash, s_repeat = column_bytes(table, "s_doc", "i8"), column_bytes(table, "s_place", "u4").astype(np.int64), column_bytes(table, "s_hash", "u8"), column_bytes(table, "s_repeat", "?")
-    rest = np.flatnonzero(~s_repeat)
-    s_repeat = s_repeat.copy()
-    s_repeat[rest] = ~first_of_equals(s_hash[rest], s_doc[rest], s_place[rest])
-    out_doc = np.concatenate((doc[each[repeat]], s_doc[s_repeat]))
-    out_place = np.concatenate((where[repeat], s_place[s_repeat]))
-    order = np.lexsort((out_place, out_doc))
-    out_doc, out_place = out_doc[order], out_place[order]
-    new = np.flatnonzero(np.concatenate(([True], (out_doc[1:] != out_doc[:-1]) | (out_place[1:] != out_place[:-1] + 1)))[: len(order)])
-    length = np.diff(np.concatenate((new, [len(order)])))
-    return pa.table({"doc": np.concatenate((doc[known], out_doc[new])), "place": np.concatenate((place[known], out_place[new])), "n": np.concatenate((count[known], length))})
+STRETCHES = ("doc", "place", "count", "known", "core", "hashed", "s_doc", "s_place", "s_hash", "s_repeat")
+
+
+def order_stretches(n_blocks: int):
+    def order(table: pa.Table) -> pa.Table:
+        """Runs of stretches that are repeats, by block."""
+        doc, place, count = column_bytes(table, "doc", "i8"), column_bytes(table, "place", "u4").astype(np.int64), column_bytes(table, "count", "u2").astype(np.int64)
+        known = column_bytes(table, "known", "?")
+        core = np.zeros(len(doc), dtype=np.int64)
+        core[~known] = column_bytes(table, "core", "i8")
+        hashed = np.concatenate([unpack48(x) for x in table.column("hashed").to_pylist()])
+        n = np.where(known, 0, count)
+        each = np.repeat(np.arange(len(doc)), n)
+        where = place[each] + np.arange(len(each)) - np.repeat(begins_of(n)[:-1], n)
+        repeat = ~first_of_equals(W.mix(core[each].view(np.uint64)) + hashed, doc[each], where)
+        s_doc, s_place, s_hash, s_repeat = column_bytes(table, "s_doc", "i8"), column_bytes(table, "s_place", "u4").astype(np.int64), column_bytes(table, "s_hash", "u8"), column_bytes(table, "s_repeat", "?").copy()
+        rest = np.flatnonzero(~s_repeat)
+        s_repeat[rest] = ~first_of_equals(s_hash[rest], s_doc[rest], s_place[rest])
+        # Stretches that follow each other become one run.
+        out_doc, out_place = np.concatenate((doc[each[repeat]], s_doc[s_repeat])), np.concatenate((where[repeat], s_place[s_repeat]))
+        by = np.lexsort((out_place, out_doc))
+        out_doc, out_place = out_doc[by], out_place[by]
+        new = np.flatnonzero(np.concatenate(([True], (out_doc[1:] != out_doc[:-1]) | (out_place[1:] != out_place[:-1] + 1)))[: len(by)])
+        length = np.diff(np.append(new, len(by)))
+        return by_block(n_blocks, np.concatenate((doc[known], out_doc[new])), place=np.concatenate((place[known], out_place[new])).astype(np.uint32), count=np.concatenate((count[known], length)).astype(np.uint32))
+
+    return order
 
 
 def cut_texts(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs = batch.column("runs")
-            for lo, hi, data, offsets in W.blocks(batch.column("text")):
-                part = runs.slice(lo, hi - lo)
-                rows, per_doc = part.flatten(), np.diff(np.asarray(part.offsets)) * np.asarray(part.is_valid().to_pylist())
-                text = np.repeat(np.arange(hi - lo), per_doc)
-                mark = np.zeros(len(data) + 1, dtype=np.int64)
-                start = offsets[text] + np.asarray(rows.field("place"))
-                np.add.at(mark, start, 1)
-                np.add.at(mark, start + np.asarray(rows.field("n")) - 1 + length, -1)
-                gone = np.cumsum(mark[:-1]) > 0
-                begins = gone.copy()
-                begins[1:] &= ~gone[:-1]
-                begins[offsets[:-1][offsets[:-1] < len(data)]] = gone[offsets[:-1][offsets[:-1] < len(data)]]
-                total, spans = (np.concatenate(([0], np.cumsum(x))) for x in (gone, begins))
-                raw, keep = data[~gone].tobytes(), offsets - total[offsets]
-                texts = [raw[keep[i] : keep[i + 1]] for i in range(hi - lo)]
-                yield batch_of(
-                    [np.asarray(batch.column("doc").slice(lo, hi - lo)), np.diff(offsets), np.diff(total[offsets]), np.diff(spans[offsets]), [hashlib.sha256(t).hexdigest() for t in texts], texts],
-                    ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()],
-                )
+    def run(runs: pa.Table, texts: pa.Table) -> pa.Table:
+        doc, place, count = column_bytes(runs, "doc", "i8"), column_bytes(runs, "place", "u4").astype(np.int64), column_bytes(runs, "count", "u4").astype(np.int64)
+        order = np.argsort(doc, kind="stable")
+        doc, place, count = doc[order], place[order], count[order]
+        ids, column = texts_of(texts)
+        out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+        for lo, hi, data, offsets in W.blocks(column):
+            a, b = np.searchsorted(doc, ids[lo]), np.searchsorted(doc, ids[hi - 1], "right")
+            mark = np.zeros(len(data) + 1, dtype=np.int32)
+            start = offsets[np.searchsorted(ids[lo:hi], doc[a:b])] + place[a:b]
+            np.add.at(mark, start, 1)
+            np.add.at(mark, start + count[a:b] - 1 + length, -1)
+            gone = np.cumsum(mark[:-1]) > 0
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            heads = offsets[:-1][offsets[:-1] < len(data)]
+            begins[heads] = gone[heads]
+            total, spans = begins_of(gone), begins_of(begins)
+            raw, keep = data[~gone].tobytes(), offsets - total[offsets]
+            kept = [raw[keep[i] : keep[i + 1]] for i in range(hi - lo)]
+            for c, x in zip(out, (np.diff(offsets).tolist(), np.diff(total[offsets]).tolist(), np.diff(spans[offsets]).tolist(), [hashlib.sha256(t).hexdigest() for t in kept], kept), strict=True):
+                out[c] += x
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        return pa.table({"doc": pa.array(ids), **{c: pa.array(x, k) for (c, x), k in zip(out.items(), kinds, strict=True)}})
 
     return run
 
@@ -311,10 +335,11 @@ def cut(rows: DataFrame, total: int, length: int) -> DataFrame:
     """rows: (doc long, text string), each doc once and none null."""
     wanted = max(64, total // BUCKET_BYTES)
     bits = min(16, int(wanted - 1).bit_length())
+    n_blocks = max(64, total // GROUP_BYTES)
     rows = rows.where("doc is not null")
-    by_doc = lambda runs, *columns: runs.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("runs"))
-    settled = parse(rows, length, bits).groupBy("bucket").applyInArrow(dictionary(bits), RUNS)
-    open_ = rows.join(by_doc(settled, "place", "n", "core", "known"), "doc")
-    stretches = open_.mapInArrow(unsettled(length, bits), "bucket int, doc binary, place binary, count binary, known binary, core binary, hashed binary, s_doc binary, s_place binary, s_hash binary, s_repeat binary")
-    repeats = stretches.groupBy("bucket").applyInArrow(order_stretches, "doc long, place long, n long")
-    return rows.join(by_doc(repeats, "place", "n"), "doc", "left").mapInArrow(cut_texts(length), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    texts = rows.select(F.pmod(F.xxhash64("doc"), F.lit(n_blocks)).alias("block"), "doc", "text").groupBy("block")
+    packed = lambda *columns: ", ".join(f"{c} binary" for c in columns)
+    settled = parse(rows, length, bits).groupBy("bucket").applyInArrow(W.lean_group(dictionary(bits, n_blocks)), f"block long, {packed('doc', 'place', 'count', 'core', 'known')}")
+    stretches = settled.groupBy("block").cogroup(texts).applyInArrow(W.lean_group(unsettled(length, bits)), f"bucket int, {packed(*STRETCHES)}")
+    repeats = stretches.groupBy("bucket").applyInArrow(W.lean_group(order_stretches(n_blocks)), f"block long, {packed('doc', 'place', 'count')}")
+    return repeats.groupBy("block").cogroup(texts).applyInArrow(W.lean_group(cut_texts(length)), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
