@@ -18,45 +18,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 
 ORDER, ALPHA = 3, 0.4
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 10 << 20
 BUCKET_ENTRIES = 3_000_000
 
 
-def gram_tables(words: np.ndarray, at: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For n = 1..order: distinct hashes (sorted), the place of each occurrence among them, their counts, and the texts' beginnings."""
-    out = []
-    for n in range(1, order + 1):
-        runs, begins = W.grams(words, at, n)
-        ids, inverse, counts = np.unique(runs, return_inverse=True, return_counts=True)
-        out.append((ids, inverse, counts, begins))
-    return out
-
+def block_scores(words: np.ndarray, at: np.ndarray, order: int, counts: list[np.ndarray], n_words: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of log scores of each text, number of words scored by each order).
 
-def block_scores(tables: list, counts: list[np.ndarray], n_words: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """(sum of log scores of each text, number of words scored by each order).  counts: corpus counts beside each table's ids."""
-    _, words, _, begins = tables[0]
-    lengths, order = np.diff(begins), len(tables)
+    counts: for n = 1..order the corpus counts of the block's distinct n-grams, in the order of their hashes."""
+    lengths = np.diff(at)
     doc = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(words)) - begins[doc]
-    own = counts[0][words].astype(np.float64)
-    score = np.log(np.maximum(own - 1, 0.5)) - np.log(max(n_words - 1, 1))
-    used = np.ones(len(words), dtype=np.int64)
-    for n in range(2, order + 1):
-        _, runs, _, starts = tables[n - 1]
-        longer = np.flatnonzero(place >= n - 1)
-        whole = counts[n - 1][runs].astype(np.float64)  # runs end at the words of `longer`, in their order
-        context = counts[n - 2][tables[n - 2][1]].astype(np.float64)
-        first = tables[n - 2][3][doc[longer]] + place[longer] - (n - 1)
-        seen = whole > 1
-        value = np.where(seen, np.log(np.maximum(whole - 1, 1)) - np.log(np.maximum(context[first] - 1, 1)), score[longer] + np.log(alpha))
-        score[longer] = value
-        used[longer[seen]] = n
+    place = np.arange(len(words)) - at[doc]
+    used = np.ones(len(words), dtype=np.int8)
+    context = starts = score = np.zeros(0)
+    for n in range(1, order + 1):
+        runs, begins = W.grams(words, at, n)
+        ids, inverse = np.unique(runs, return_inverse=True)
+        if len(ids) != len(counts[n - 1]):
+            raise RuntimeError("a block was answered for other n-grams than it has")
+        whole = counts[n - 1][inverse].astype(np.float64)
+        del runs, ids, inverse
+        if n == 1:
+            score = np.log(np.maximum(whole - 1, 0.5)) - np.log(max(n_words - 1, 1))
+        else:
+            longer = np.flatnonzero(place >= n - 1)  # where a run of n words ends, in the order of the runs
+            before = context[starts[doc[longer]] + place[longer] - (n - 1)]
+            seen = whole > 1
+            score[longer] = np.where(seen, np.log(np.maximum(whole - 1, 1)) - np.log(np.maximum(before - 1, 1)), score[longer] + np.log(alpha))
+            used[longer[seen]] = n
+        context, starts = whole, begins
     n_docs = len(lengths)
     return np.bincount(doc, weights=score, minlength=n_docs), np.bincount(doc * order + used - 1, minlength=n_docs * order).reshape(n_docs, order)
 
@@ -96,6 +93,33 @@ def unpack48(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint32, n).astype(np.uint64) | (np.frombuffer(data, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
+def pack_sorted(x: np.ndarray, bits: int) -> bytes:
+    """Sorted hashes of a bucket, below its `bits` leading ones: 48 bits each, or steps of 40 bits where all are so small."""
+    x = (x << np.uint64(bits)) >> np.uint64(16)
+    step = np.diff(x, prepend=np.uint64(0))
+    if len(x) and int(step.max()) >> 40:
+        return b"6" + pack48(x, 0)
+    return b"5" + step.astype(np.uint32).tobytes() + (step >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    if data[:1] == b"6":
+        return unpack48(data[1:])
+    n = (len(data) - 1) // 5
+    return np.cumsum(np.frombuffer(data, np.uint32, n, 1).astype(np.uint64) | (np.frombuffer(data, np.uint8, n, 1 + 4 * n).astype(np.uint64) << np.uint64(32)), dtype=np.uint64)
+
+
+def pack_counts(x: np.ndarray) -> bytes:
+    """A byte each, and four more for those over 254."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + np.minimum(x[x > 254], 2**32 - 1).astype(np.uint32).tobytes()
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.uint32)
+    out[out == 255] = np.frombuffer(data, np.uint32, offset=n) if len(data) > n else 0
+    return out
+
+
 def checksum(words: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(W.mix(words + np.arange(len(words), dtype=np.uint64)))) >> 1 if len(words) else 0
 
@@ -109,7 +133,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both times, as files do; blocks carry a checksum, and a mismatch is an error."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     wanted = max(64, total // 6 * order // BUCKET_ENTRIES)
-    bits = min(16, int(wanted - 1).bit_length())
+    bits = min(20, int(wanted - 1).bit_length())
     n_buckets = 1 << bits
     rows = docs.select(F.col(id_col), F.col(text_col))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -123,7 +147,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 cut = np.concatenate(([0], np.searchsorted(ids, edges), [len(ids)]))
                 for b in range(n_buckets):
                     lo, hi = int(cut[b]), int(cut[b + 1])
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block]), pa.array([n], pa.int32()), pa.array([check]), pa.array([pack48(ids[lo:hi], bits)], pa.binary()), pa.array([counts[lo:hi].astype(np.uint32).tobytes()], pa.binary())], ["bucket", "block", "n", "check", "grams", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block]), pa.array([n], pa.int32()), pa.array([check]), pa.array([pack_sorted(ids[lo:hi], bits)], pa.binary()), pa.array([pack_counts(counts[lo:hi])], pa.binary())], ["bucket", "block", "n", "check", "grams", "counts"])
 
     def add_up(table: pa.Table) -> pa.Table:
         orders, blocks, checks = (table.column(c).to_pylist() for c in ("n", "block", "check"))
@@ -131,15 +155,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out, bucket = [], table.column("bucket")[0].as_py()
         for n in range(1, order + 1):
             mine = [i for i, m in enumerate(orders) if m == n]
-            keys = [unpack48(grams[i]) for i in mine]
+            keys = [unpack_sorted(grams[i]) for i in mine]
             ids, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(inverse, weights=np.concatenate([np.frombuffer(counts[i], np.uint32) for i in mine]), minlength=len(ids)).astype(np.int64)
+            sums = np.bincount(inverse, weights=np.concatenate([unpack_counts(counts[i], len(key)) for i, key in zip(mine, keys, strict=True)]), minlength=len(ids)).astype(np.int64)
             in_all, k = int(sums.sum()) if n == 1 else 0, 0
             for i, key in zip(mine, keys, strict=True):
-                out.append((blocks[i], n, bucket, checks[i], in_all, np.minimum(sums[inverse[k : k + len(key)]], 2**32 - 1).astype(np.uint32).tobytes()))
+                out.append((blocks[i], n, bucket, checks[i], in_all, len(key), pack_counts(sums[inverse[k : k + len(key)]])))
                 k += len(key)
         columns = list(zip(*out, strict=True))
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "n", "bucket", "check", "n_words", "payload"])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "n", "bucket", "check", "n_words", "size", "payload"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, words, at in text_blocks(batches):
@@ -152,7 +176,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("i", ids.type)])) as writer:
                 writer.write_batch(pa.RecordBatch.from_arrays([ids], ["i"]))
-            parts = [distinct[by].tobytes(), planes, np.diff(at).astype(np.int64).tobytes(), sink.getvalue().to_pybytes()]
+            parts = [distinct[by].tobytes(), zstandard.compress(planes, 1), np.diff(at).astype(np.int64).tobytes(), sink.getvalue().to_pybytes()]
             payload = np.array([len(p) for p in parts], dtype=np.int64).tobytes() + b"".join(parts)
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([checksum(words)]), pa.array([payload], pa.binary())], ["block", "check", "payload"])
 
@@ -165,19 +189,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sizes = np.frombuffer(data, np.int64, 4)
         cuts = 32 + np.concatenate(([0], np.cumsum(sizes)))
         distinct, planes, lengths, ids = (data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-        rank = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+        rank = np.ascontiguousarray(np.frombuffer(zstandard.decompress(planes), np.uint8).reshape(4, -1).T).view("<u4").ravel()
         words = np.frombuffer(distinct, np.uint64)[rank]
         at = np.concatenate(([0], np.cumsum(np.frombuffer(lengths, np.int64))))
         answers = sorted((n[i], bucket[i], i) for i in range(len(n)))
-        counts = [np.concatenate([np.frombuffer(payload[i].as_py(), np.uint32) for m, _, i in answers if m == k]) for k in range(1, order + 1)]
+        size = table.column("size").to_pylist()
+        counts = [np.concatenate([unpack_counts(payload[i].as_py(), size[i]) for m, _, i in answers if m == k]) for k in range(1, order + 1)]
         n_words = sum(x for x, m in zip(table.column("n_words").to_pylist(), n, strict=True) if m == 1)
-        sums, used = block_scores(gram_tables(words, at, order), counts, n_words, alpha)
+        sums, used = block_scores(words, at, order, counts, n_words, alpha)
         length = np.diff(at)
         mean = pa.array(sums / np.maximum(length, 1), mask=length == 0)
         own = pa.ipc.open_stream(ids).read_all().column(0).combine_chunks()
         return pa.table([own, pa.array(length), pa.array(sums), mean, pa.array(used.tolist(), pa.list_(pa.int64()))], names=["doc_id", "n_words", "log_score", "mean_log_score", "by_order"])
 
-    asked = rows.mapInArrow(ask, "bucket int, block long, n int, check long, grams binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(add_up, "block long, n int, bucket int, check long, n_words long, payload binary")
-    kept = rows.mapInArrow(keep, "block long, check long, payload binary")
-    return answers.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(settle, f"doc_id {id_type}, n_words long, log_score double, mean_log_score double, by_order array<long>")
+    asked = rows.mapInArrow(W.lean(ask), "bucket int, block long, n int, check long, grams binary, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(W.lean_group(add_up), "block long, n int, bucket int, check long, n_words long, size long, payload binary")
+    kept = rows.mapInArrow(W.lean(keep), "block long, check long, payload binary")
+    return answers.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(W.lean_group(settle), f"doc_id {id_type}, n_words long, log_score double, mean_log_score double, by_order array<long>")
