@@ -95,7 +95,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"__task long, __row long, doc_id {id_type}, n_words long, __hits array<struct<place:long,gram:long>>"
-    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(hits, schema)
+    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(W.lean(hits), schema)
     positions = spark.createDataFrame(grams, "template int, position int, gram long, n_grams int")
     key = ["__task", "__row", "doc_id", "n_words"]
     votes = (

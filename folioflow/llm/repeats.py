@@ -180,7 +180,8 @@ def dictionary(bits: int, n_blocks: int):
         is_many = np.isin(core, many)
         go = ~first | (distinct > 1) | is_many
         # The bucket's number takes part, as its bits were cut off.
-        name = (W.mix(core + (np.uint64(table.column("bucket")[0].as_py()) << np.uint64(48))) >> np.uint64(2)).astype(np.int64)
+        bucket = W.mix(np.full(1, table.column("bucket")[0].as_py(), dtype=np.uint64))
+        name = ((W.mix(core) + bucket) >> np.uint64(2)).astype(np.int64)
         name = np.where(is_many, -1 - name, name)
         settled = column_bytes(table, "o_settled", "?")
         o_core = np.zeros(len(settled), dtype=np.int64)
@@ -334,7 +335,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def cut(rows: DataFrame, total: int, length: int) -> DataFrame:
     """rows: (doc long, text string), each doc once and none null."""
     wanted = max(64, total // BUCKET_BYTES)
-    bits = min(16, int(wanted - 1).bit_length())
+    bits = min(24, int(wanted - 1).bit_length())
     n_blocks = max(64, total // GROUP_BYTES)
     rows = rows.where("doc is not null")
     texts = rows.select(F.pmod(F.xxhash64("doc"), F.lit(n_blocks)).alias("block"), "doc", "text").groupBy("block")
