@@ -62,20 +62,25 @@ def phrases(queries: DataFrame, stem: bool) -> DataFrame:
     return out.withColumn("term", stemmed("term")) if stem else out
 
 
-def _broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast up to a checked bound; joined by a shuffle beyond it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _within_bound(wanted: DataFrame) -> bool:
+    return wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def matches(index: Bm25Index, queries: DataFrame) -> DataFrame:
     """(query_id, phrase, chunk_id, f): how often each phrase stands in each chunk that has it."""
     wanted = phrases(queries, index.stems)
-    postings = index.postings(_broadcast(wanted.select("term").distinct()))
-    single = postings.join(_broadcast(wanted.where("size = 1")), "term").select("query_id", "phrase", "chunk_id", F.size("positions").alias("f"))
+    return _matches(index, wanted, _within_bound(wanted))
+
+
+def _matches(index: Bm25Index, wanted: DataFrame, small: bool) -> DataFrame:
+    """small: wanted was counted and is within the bound; beyond it the joins are shuffled."""
+    send = F.broadcast if small else (lambda df: df)
+    postings = index.postings(send(wanted.select("term").distinct()))
+    single = postings.join(send(wanted.where("size = 1")), "term").select("query_id", "phrase", "chunk_id", F.size("positions").alias("f"))
     longer = wanted.where("size > 1")
     if longer.isEmpty():
         return single
-    found = postings.join(_broadcast(longer), "term").select("query_id", "phrase", "size", "chunk_id", F.explode(F.transform("positions", lambda p: p - F.col("place"))).alias("start"))
+    found = postings.join(send(longer), "term").select("query_id", "phrase", "size", "chunk_id", F.explode(F.transform("positions", lambda p: p - F.col("place"))).alias("start"))
     starts = found.groupBy("query_id", "phrase", "size", "chunk_id", "start").agg(F.count("*").alias("n")).where("n = size")
     return single.unionByName(starts.groupBy("query_id", "phrase", "chunk_id").agg(F.count("*").cast("int").alias("f")))
 
@@ -84,13 +89,16 @@ def scores(index: Bm25Index, queries: DataFrame, allowed: DataFrame | None = Non
     """(query_id, chunk_id, score) of every chunk that has a phrase of the query.
 
     allowed: chunk_ids the answer is confined to; the statistics stay those of the whole index."""
-    found = matches(index, queries)
+    wanted = phrases(queries, index.stems)
+    small = _within_bound(wanted)
+    found = _matches(index, wanted, small)
     known = found.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = known.crossJoin(F.broadcast(index.stats)).select("query_id", "phrase", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"), "avgdl")  # stats is one row
     if allowed is not None:
         found = found.join(allowed, "chunk_id", "left_semi")
-    found = found.join(_broadcast(weighted), ["query_id", "phrase"]).join(index.lengths, "chunk_id")
+    # A row of weighted is a phrase of wanted, so its bound is the same.
+    found = found.join(F.broadcast(weighted) if small else weighted, ["query_id", "phrase"]).join(index.lengths, "chunk_id")
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return found.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
