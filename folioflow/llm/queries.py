@@ -59,7 +59,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_model.score_documents(table(spark, sf_dir, "documents"))
     by_order = [F.element_at("by_order", n).alias(f"n_order_{n}") for n in range(1, language_model.ORDER + 1)]
-    return found.select("doc_id", "n_words", "log_score", "mean_log_score", *by_order)
+    return found.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"), *by_order)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +80,44 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+WORDS = f"regexp_extract_all({NORMAL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: Pairs by shared runs of five words, then classes as the smallest row that links reach.
+OP5_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+runs AS (
+    SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM d, unnest(range(1, len(ws) - 3)) t(i) WHERE len(ws) >= 5
+    UNION SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 4
+),
+sizes AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS same FROM runs GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM runs a JOIN runs b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b, x.same AS sa, y.same AS sb FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE shared >= 0.8 * (x.n + y.n - shared) - 1e-9),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+classes AS (SELECT a AS doc_id, min(b) AS class_id, count(*) AS class_size FROM reach GROUP BY 1),
+counts AS (SELECT a AS doc_id, count(*) AS n_links, count(DISTINCT sb) FILTER (WHERE sb <> sa) AS n_set_links, min(b) FILTER (WHERE sb = sa) AS copy FROM links GROUP BY 1)
+SELECT doc_id, least(doc_id, coalesce(copy, doc_id)) AS set_id, class_id, class_size, coalesce(n_links, 0) AS n_links, coalesce(n_set_links, 0) AS n_set_links, doc_id = class_id AS kept
+FROM classes LEFT JOIN counts USING (doc_id)
+"""
+
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT doc_id, i, w, lag(w) OVER o AS w1, lag(w, 2) OVER o AS w2 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c1 AS (SELECT w, count(*) AS c FROM g GROUP BY 1),
+c2 AS (SELECT w1, w, count(*) AS c FROM g WHERE w1 IS NOT NULL GROUP BY 1, 2),
+c3 AS (SELECT w2, w1, w, count(*) AS c FROM g WHERE w2 IS NOT NULL GROUP BY 1, 2, 3),
+n AS (SELECT count(*) AS n FROM g),
+s AS (
+    SELECT doc_id, CASE WHEN c3.c > 1 THEN 3 WHEN c2.c > 1 THEN 2 ELSE 1 END AS used,
+        CASE WHEN c3.c > 1 THEN ln(c3.c - 1) - ln(before.c - 1)
+             ELSE (CASE WHEN c2.c > 1 THEN ln(c2.c - 1) - ln(one.c - 1) ELSE ln(greatest(c1.c - 1, 0.5)) - ln(n - 1) + (CASE WHEN g.w1 IS NULL THEN 0 ELSE ln(0.4) END) END) + (CASE WHEN g.w2 IS NULL THEN 0 ELSE ln(0.4) END) END AS p
+    FROM g JOIN c1 USING (w) LEFT JOIN c2 ON c2.w1 = g.w1 AND c2.w = g.w LEFT JOIN c1 one ON one.w = g.w1 LEFT JOIN c3 ON c3.w2 = g.w2 AND c3.w1 = g.w1 AND c3.w = g.w LEFT JOIN c2 before ON before.w1 = g.w2 AND before.w = g.w1, n
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(sum(p), 0), 6) AS log_score, round(sum(p) / nullif(len(ws), 0), 6) AS mean_log_score,
+    count(*) FILTER (WHERE used = 1) AS n_order_1, count(*) FILTER (WHERE used = 2) AS n_order_2, count(*) FILTER (WHERE used = 3) AS n_order_3
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, ws
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op9_language_model": OP9_SQL}
