@@ -96,17 +96,21 @@ def matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
 def top(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "chunk_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank): the k nearest by cosine, for vectors of unit length; ties by id.
 
-    queries: (query_id, embedding).  They go to the vectors in blocks of QUERY_BLOCK; every Arrow batch of
+    queries: (query_id, embedding).  They go to the vectors in blocks of about QUERY_BLOCK, dealt by hash; every Arrow batch of
     vectors gives its own best k for each query, so the shuffle carries k rows for a query and batch, never all
     pairs.  Scores are rounded first, so that ties are the same everywhere."""
     spark = vectors.sparkSession
     id_type = vectors.schema[id_col].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
-    rows = queries.select("query_id", "embedding").where("embedding is not null").orderBy("query_id")
-    numbered = rows.withColumn("__block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_BLOCK)) if rows.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK else rows.withColumn("__block", F.lit(0))
+    rows = queries.select("query_id", "embedding").where("embedding is not null")
+    n = rows.count()
+    blocks = -(-n // QUERY_BLOCK)
     found = None
-    for block in sorted(r[0] for r in numbered.select("__block").distinct().collect()):
-        own = numbered.where(F.col("__block") == block).orderBy("query_id").toArrow()
+    for block in range(blocks):
+        own = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else rows
+        own = own.orderBy("query_id").toArrow()
+        if not own.num_rows:
+            continue
         dims = max(pa.compute.list_value_length(own.column("embedding")).to_pylist(), default=0)
         asked, good = matrix(own.column("embedding").combine_chunks(), dims)
         handle = spark.sparkContext.broadcast((asked[good].T, own.column("query_id").combine_chunks().filter(pa.array(good))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,8 @@ class Engine:
     def ingest_files(self, found: DataFrame) -> DataFrame:
         """binaryFile rows into the store; returns a row a file: indexed, duplicate, no_text or failed.
 
+        The rows are kept as a log under ingests/.
+
         Known and repeated contents are recognised by hash before anything is parsed; of equal files the first by path counts."""
         named = files.identified(found)
         # The statuses need identities and counts only; contents stay in the readers.
@@ -55,10 +58,11 @@ class Engine:
             errors = parsed.where("error is not null").select("doc_id", "error")
             status = F.when(~F.col("new"), "duplicate").when(F.col("error").isNotNull(), "failed").when(F.col("n").isNull(), "no_text").otherwise("indexed")
             out = placed.join(errors, "doc_id", "left").join(counts, "doc_id", "left").select("path", "doc_id", "doc_name", F.when(F.col("new"), F.coalesce("n", F.lit(0))).otherwise(0).alias("n_chunks"), status.alias("status"), F.when(F.col("new"), F.col("error")).alias("error"))
-            rows = self.spark.createDataFrame(out.toArrow()) if not out.isEmpty() else self.spark.createDataFrame([], STATUSES)
+            log = f"{self.settings.root}/ingests/{uuid.uuid4().hex}"  # what was found before the store changed
+            out.write.parquet(log)
             self.store.add(chunks)
             chunks.unpersist()
-            return rows.orderBy("path")
+            return self.spark.read.schema(STATUSES).parquet(log).orderBy("path")
         finally:
             parsed.unpersist()
             placed.unpersist()
