@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-SHARD_TOKENS, SHARD_DOCS = 4_000_000, 8_000
+SHARD_TOKENS, SHARD_DOCS = 2_000_000, 8_000
 QUERY_TERMS, NEIGHBOURS = 24, 16
 K1, B = 1.2, 0.75
-CACHE_CHUNKS = 1_000_000
-TEXT_BYTES = 1 << 21
+CACHE_CHUNKS = 600_000
+BATCH_CHUNKS = 4096
+TEXT_BYTES = 1 << 19
 
 #: Cutting at these bytes never cuts a token: the tokenizer's pattern has no match across white space.
 SPACE = np.zeros(256, dtype=bool)
@@ -45,20 +46,31 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and where their ids are
+        self.start, self.size, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def add(self, keys: list[int], texts: list[str]) -> None:
-        for key, found in zip(keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids, k = found.ids, len(self.slot)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            if k >= len(self.start):
-                self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.start[k], self.size[k], self.slot[key] = self.used, len(ids), k
-            self.used += len(ids)
+
+    def add(self, keys: np.ndarray, texts: list[str]) -> None:
+        """keys: sorted, none of them known."""
+        first = self.n
+        for k in range(0, len(texts), BATCH_CHUNKS):
+            for found in self.tokenizer.encode_batch_fast(texts[k : k + BATCH_CHUNKS], add_special_tokens=False):
+                ids = found.ids
+                while self.used + len(ids) > len(self.ids):
+                    self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+                if self.n >= len(self.start):
+                    self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
+                self.ids[self.used : self.used + len(ids)] = ids
+                self.start[self.n], self.size[self.n] = self.used, len(ids)
+                self.used += len(ids)
+                self.n += 1
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at = np.insert(self.keys, place, keys), np.insert(self.at, place, np.arange(first, self.n, dtype=np.int32))
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin)."""
@@ -70,15 +82,14 @@ class Encoder:
         starts = np.flatnonzero(inside & (~before | edge[:-1]))
         ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
         key, first, inverse = np.unique(W.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.slot) + len(key) > self.most:
+        if len(self.keys) + len(key) > self.most:
             self.clear()
-        keys = key.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.slot]
-        if new:
+        new = np.flatnonzero(~self.known(key))
+        if len(new):
             raw = data.tobytes()
-            self.add([keys[i] for i in new], [raw[starts[first[i]] : ends[first[i]]].decode("utf-8", "replace") for i in new])
-        slots = np.array([self.slot[k] for k in keys], dtype=np.int64)[inverse]
-        size = self.size[slots]
+            self.add(key[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        slots = self.at[np.searchsorted(self.keys, key)][inverse]
+        size = self.size[slots].astype(np.int64)
         place = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.repeat(self.start[slots] - place[:-1], size) + np.arange(place[-1])]
         return ids, place[np.searchsorted(starts, offsets)]
@@ -234,4 +245,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             yield from emit()
 
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(W.lean(run), schema)
