@@ -24,7 +24,7 @@ from . import words as W
 SHARD_TOKENS, SHARD_DOCS = 2_000_000, 8_000
 QUERY_TERMS, NEIGHBOURS = 24, 16
 K1, B = 1.2, 0.75
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 2_000_000
 BATCH_CHUNKS = 4096
 TEXT_BYTES = 1 << 19
 
