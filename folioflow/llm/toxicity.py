@@ -131,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.__dict__)], pa.binary())], ["model"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return Model(**pickle.loads(texts.mapInArrow(W.lean(featurise), f"id {id_type}, y int, terms binary").repartition(1).mapInArrow(W.lean(train), "model binary").first()[0]))
+    found = texts.mapInArrow(W.lean(featurise), f"id {id_type}, y int, terms binary").repartition(1).mapInArrow(W.lean(train), "model binary").first()
+    return Model(**pickle.loads(found[0])) if found else calibrated([], np.zeros(0), np.zeros(0), terms)  # without rows there may be no task
 
 
 def margins(model: Model, term: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
