@@ -55,7 +55,7 @@ def block_scores(words: np.ndarray, at: np.ndarray, order: int, counts: list[np.
             used[longer[seen]] = n
         context, starts = whole, begins
     n_docs = len(lengths)
-    return np.bincount(doc, weights=score, minlength=n_docs), np.bincount(doc * order + used - 1, minlength=n_docs * order).reshape(n_docs, order)
+    return np.bincount(doc, weights=score, minlength=n_docs).astype(np.float64), np.bincount(doc * order + used - 1, minlength=n_docs * order).reshape(n_docs, order)
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
