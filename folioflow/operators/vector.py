@@ -16,6 +16,8 @@ from folioflow.functions import text as X
 
 #: Queries that one pass over the vectors compares; more queries take more passes.
 QUERY_BLOCK = 4096
+#: Scores that a batch of vectors holds at a time.
+SCORES = 2_000_000
 
 
 class Embedder(Protocol):
@@ -123,12 +125,18 @@ def top(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "chun
                 have = have[good]
                 if not len(have):
                     continue
-                score = np.round(have @ asked, digits)
                 order = pa.compute.sort_indices(ids).to_numpy()
-                by_id = score[order]
-                kept = np.argsort(-by_id, axis=0, kind="stable")[:k]
-                row, query = order[kept].T.ravel(), np.repeat(np.arange(asked.shape[1]), len(kept))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(row)), pa.array(score[row, query])], ["query_id", id_col, "score"])
+                have, ids = have[order], ids.take(pa.array(order))
+                width = max(1, SCORES // len(have))
+                for lo in range(0, asked.shape[1], width):
+                    score = np.round(asked[:, lo : lo + width].T @ have.T, digits)
+                    least = np.partition(score, -k, axis=1)[:, -k, None] if len(have) > k else -np.inf
+                    query, row = np.nonzero(score >= least)  # the k best and what ties with the last, by id
+                    best_first = np.lexsort((row, -score[query, row], query))
+                    query, row = query[best_first], row[best_first]
+                    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+                    query, row = query[kept], row[kept]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(lo + query)), ids.take(pa.array(row)), pa.array(score[query, row])], ["query_id", id_col, "score"])
 
         part = vectors.select(id_col, vector_col).mapInArrow(best, f"query_id {query_type}, {id_col} {id_type}, score double")
         found = part if found is None else found.unionByName(part)

@@ -141,7 +141,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    """The query set of a vector search: every id divisible by 20."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,11 +160,15 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(norm, "doc_id").select("doc_id", "bucket", F.round(F.col("n") / F.col("norm"), 6).alias("weight"))
 
 
+def _item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors that stand for the benchmark's items: those of their numbers."""
+    return _benchmark(spark, sf_dir).select("query_id").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+
+
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Items 0 to 19 asked both ways: their texts by BM25, and the vectors of these numbers by cosine."""
-    asked = _benchmark(spark, sf_dir).where("query_id < 20")
-    keyword = bm25.top(bm25.build_index(_doc_chunks(spark, sf_dir), stem=False), asked, POOL)
-    semantic = vector.top(_vectors(spark, sf_dir), _asked(spark, sf_dir), POOL, "vec_id").withColumnRenamed("vec_id", "chunk_id")
+    """Every item asked both ways: its text by BM25, and the vector of its number by cosine."""
+    keyword = bm25.top(bm25.build_index(_doc_chunks(spark, sf_dir), stem=False), _benchmark(spark, sf_dir), POOL)
+    semantic = vector.top(_vectors(spark, sf_dir), _item_vectors(spark, sf_dir), POOL, "vec_id").withColumnRenamed("vec_id", "chunk_id")
     return semantic, keyword
 
 
@@ -176,8 +181,8 @@ def _scored_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused hits with a cosine for each: that of the stored vector where the semantic list lacks it."""
     hits, vectors = fusion.fuse(*_lists(spark, sf_dir), k=HITS), _vectors(spark, sf_dir)
     own = vectors.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("a"))
-    asked = _asked(spark, sf_dir).withColumnRenamed("embedding", "b")
-    filled = hits.join(own, "chunk_id", "left").join(asked, "query_id").withColumn("semantic_score", F.coalesce("semantic_score", F.round(vector.dot(F.col("a"), F.col("b")), 6)))
+    asked = _item_vectors(spark, sf_dir).withColumnRenamed("embedding", "b")
+    filled = hits.join(own, "chunk_id", "left").join(asked, "query_id", "left").withColumn("semantic_score", F.coalesce("semantic_score", F.round(vector.dot(F.col("a"), F.col("b")), 6)))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text")
     cite = X.citation(F.col("source"), F.when(F.col("chunk_id") % 2 == 0, (F.col("chunk_id") % 10).cast("int")), F.when(F.col("chunk_id") % 3 == 0, F.lit("part")))
     return filled.join(docs, "chunk_id").select(F.col("query_id").cast("string").alias("query_id"), F.col("rank").cast("int").alias("rank"), "chunk_id", "score", "semantic_score", cite.alias("citation"), "text", F.col("source").alias("doc_name"))
@@ -188,7 +193,7 @@ def cosine_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answering.evidence(_scored_hits(spark, sf_dir), _benchmark(spark, sf_dir).where("query_id < 20"), 0.95)
+    return answering.evidence(_scored_hits(spark, sf_dir), _benchmark(spark, sf_dir), 0.95)
 
 
 def abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +215,7 @@ def no_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ask_extractive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = answering.answers(_scored_hits(spark, sf_dir), _benchmark(spark, sf_dir).where("query_id < 20"), answering.ExtractiveModel(), 0.95)
+    said = answering.answers(_scored_hits(spark, sf_dir), _benchmark(spark, sf_dir), answering.ExtractiveModel(), 0.95)
     return said.select("query_id", "answer", "abstained", F.array_join("citations", "; ").alias("citations"), "top_score")
 
 
