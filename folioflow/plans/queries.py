@@ -132,8 +132,7 @@ def bm25_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = bm25.build_index(_doc_chunks(spark, sf_dir), stem=False)
-    terms = index.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("cf"))
-    return terms.where("df > 1")
+    return index.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("cf"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,9 @@ def test_every_item_is_answered(spark, small, name):
     assert {r["query_id"] for r in rows} == {str(i) for i in range(ITEMS)}
     if name in ("abstain", "ask_extractive"):
         assert not any(r["abstained"] for r in rows) and all(r["top_score"] == 1.0 for r in rows)
+
+
+def test_every_term_is_counted(spark, small):
+    got = {r["term"]: (r["df"], r["cf"]) for r in plans.index_stats(spark, small[0]).collect()}
+    words = {f"word{i}": (2, 2) for i in range(1, N)} | {"word0": (1, 1), f"word{N}": (1, 1), "text": (N, N)}
+    assert got == words | {f"common{k}": (n, n) for k in range(7) for n in [len(range(k, N, 7))]}
