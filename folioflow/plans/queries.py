@@ -219,12 +219,13 @@ def ask_extractive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Truth: an item's passage stands in the hit, whose source is expected; its first word is the keyword."""
+    """Truth: the expected source is among the hits' and the item's passage stands in the answer, which is all hits' texts, best first."""
     asked = _benchmark(spark, sf_dir)
-    best = bm25.top(bm25.build_index(_doc_chunks(spark, sf_dir), stem=False), asked, 1)
+    best = bm25.top(bm25.build_index(_doc_chunks(spark, sf_dir), stem=False), asked, HITS)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text")
-    hits = best.join(docs, "chunk_id").select(F.col("query_id").cast("string").alias("query_id"), F.col("source").alias("doc_name"), "text")
-    answers = asked.select(F.col("query_id").cast("string").alias("query_id"), "query").join(hits, "query_id", "left").select("query_id", F.coalesce("text", F.lit("")).alias("answer"), F.col("text").isNull().alias("abstained"))
+    hits = best.join(docs, "chunk_id").select(F.col("query_id").cast("string").alias("query_id"), F.col("source").alias("doc_name"), "rank", "text")
+    texts = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("found")).select("query_id", F.array_join(F.col("found.text"), "\n\n").alias("text"))
+    answers = asked.select(F.col("query_id").cast("string").alias("query_id"), "query").join(texts, "query_id", "left").select("query_id", F.coalesce("text", F.lit("")).alias("answer"), F.col("text").isNull().alias("abstained"))
     expected = F.when(F.col("query_id") % 3 != 0, F.concat(F.lit("SRC"), (F.col("query_id") % 10).cast("string")))
     items = asked.select(F.col("query_id").cast("string").alias("id"), "query", expected.alias("expected_doc"), F.when(F.col("query_id") % 4 != 0, F.array("query")).alias("expected_keywords"), (F.col("query_id") % 5 == 0).alias("should_abstain"))
     return evaluation.outcomes(items, hits, answers)

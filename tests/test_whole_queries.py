@@ -61,3 +61,13 @@ def test_every_term_is_counted(spark, small):
     got = {r["term"]: (r["df"], r["cf"]) for r in plans.index_stats(spark, small[0]).collect()}
     words = {f"word{i}": (2, 2) for i in range(1, N)} | {"word0": (1, 1), f"word{N}": (1, 1), "text": (N, N)}
     assert got == words | {f"common{k}": (n, n) for k in range(7) for n in [len(range(k, N, 7))]}
+
+
+def test_expected_source_may_stand_at_any_of_five_hits(spark, tmp_path):
+    """The item's passage stands in its last, longest document alone; four shorter ones repeat its words apart."""
+    rows = [(i, "beta x alpha", "SRC0") for i in range(4)] + [(4, "alpha beta" + " pad" * 9, "SRC1")] + [(i, "other words", "SRC2") for i in range(5, 20)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta"), (2, "nowhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in plans.eval_outcomes(spark, str(tmp_path)).collect())
+    assert got == [("1", "PASS", "PASS", "PASS"), ("2", "FAIL", "FAIL", "FAIL")]
+    assert {r["measure"]: r["rate"] for r in plans.eval_rates(spark, str(tmp_path)).collect()} == {"retrieval_hit": "1/2", "keywords_found": "1/2", "abstain_correct": "1/2"}
