@@ -290,7 +290,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     similarity or more reach; n_links: other rows linked to this one, copies included; n_set_links: other
     sets linked; kept: this is the class's first row.  A text under n words has one run; texts without words
     (null, empty) link to nothing, are classes of their own, and are kept.  Rows that repeat an id are copies
-    of each other if their sets agree.  A null id is never a class's first unless all its ids are null.
+    of each other if their sets agree.  A null id is never a class's first unless all its ids are null; its row is compared
+    and linked like any other.
     Other columns are not looked at.  recall: the chance that a pair at the very threshold meets in a node."""
     spark = docs.sparkSession
     rows = checkpoint(signatures(docs, id_col, text_col, n))
@@ -305,6 +306,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = placed.where("first_id is not null")
     wanted = F.broadcast(wanted) if n_members <= BROADCAST_ROWS else wanted
     texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(wanted, "first_id").select("component", "sid", "copies", "blocks", "block", "text")
+    nameless = placed.where("first_id is null").select("component", "sid", "copies", "blocks", "block")
 
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,7 +317,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 take = pa.array(same)
                 yield pa.RecordBatch.from_arrays([*[part.column(c).take(take) for c in ("component", "sid", "copies", "blocks", "block")], pa.array([found[at[i] : at[i + 1]].tobytes() for i in same], pa.binary())], ["component", "sid", "copies", "blocks", "block", "shingles"])
 
+    def reread_nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in W.blocks(batch.column(0)):
+                found, at = shingle_sets(data, offsets, n)
+                yield pa.RecordBatch.from_arrays([pa.array(set_id(found, at)), pa.array([found[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["sid", "shingles"])
+
     full = texts.mapInArrow(W.lean(reread), "component long, sid long, copies long, blocks int, block int, shingles binary")
+    if not nameless.isEmpty():  # sets that no id leads to are found by their numbers
+        own = docs.where(F.col(id_col).isNull()).select(F.col(text_col).alias("text")).mapInArrow(W.lean(reread_nameless), "sid long, shingles binary")
+        few = F.broadcast(nameless) if n_members <= BROADCAST_ROWS else nameless
+        full = full.unionByName(own.join(few, "sid").dropDuplicates(["sid"]).select(*full.columns))
     dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "sid", "copies", "block", "shingles")
     parts = partitions_for(spark, n_members, 5_000)
     exact = checkpoint(dealt.repartition(parts, "component", "left", "right").sortWithinPartitions("component", "left", "right").mapInArrow(W.lean(compare_groups(similarity)), "sid long, n_doc_links long, n_set_links long, least long"))
