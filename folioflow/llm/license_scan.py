@@ -9,6 +9,7 @@ span is verified by the share of the template's k-grams that it holds.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,6 +62,40 @@ def template_grams(templates: tuple[Template, ...], k: int) -> list[tuple[int, i
     return rows
 
 
+def passages(v: list[dict], based: list[bool], slack: int, least: float) -> tuple[list[tuple[int, int, float]], float]:
+    """((first, end, share) of each passage kept, in order; the largest share of all) of diagonals sorted by template and place.
+
+    Every diagonal is tried as the start of a group, so that stray grams before a passage don't split it.  The best
+    share goes first, of equal ones the shortest group; what it leaves of an overlapping group is tried again."""
+
+    def share_of(i: int, j: int) -> float:
+        got = 0
+        for x in v[i:j]:
+            got |= x["votes"]
+        return got.bit_count() / v[i]["n_grams"]
+
+    ready, score, j = [], 0.0, 0
+    for i, x in enumerate(v):
+        base, j = based[x["template"]], max(j, i + 1)
+        while not base and j < len(v) and v[j]["template"] == x["template"] and v[j]["diagonal"] - x["diagonal"] <= slack:
+            j += 1
+        share = share_of(i, j)
+        score = max(score, share)
+        if share >= (1 if base else least):
+            ready.append((-share, j - i, i))
+    heapq.heapify(ready)
+    used, kept = [False] * len(v), []
+    while ready:
+        less, size, i = heapq.heappop(ready)
+        free = next((n for n in range(size) if used[i + n]), size)
+        if free == size:
+            kept.append((i, i + size, -less))
+            used[i : i + size] = [True] * size
+        elif free and (share := share_of(i, i + free)) >= least:
+            heapq.heappush(ready, (-share, free, i))
+    return sorted(kept), score
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, k: int = K, slack: int = 3, least: float = 0.8) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
@@ -114,25 +149,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         for batch in batches:
             out = []
             for n_words, v in zip(batch.column("n_words").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                spans, score, firsts, base_labels, all_labels = [], 0.0, [], set(), set()
-                i = 0
-                while i < len(v):
-                    t, n, j = v[i]["template"], v[i]["n_grams"], i + 1
-                    got = v[i]["votes"]
-                    while not based[t] and j < len(v) and v[j]["template"] == t and v[j]["diagonal"] - v[i]["diagonal"] <= slack:
-                        got, j = got | v[j]["votes"], j + 1
-                    share = got.bit_count() / n
-                    whole = share == 1 if based[t] else share >= least
-                    if whole and based[t]:
+                spans, firsts, base_labels, all_labels = [], [], set(), set()
+                found, score = passages(v, based, slack, least)
+                for i, j, share in found:
+                    t = v[i]["template"]
+                    if based[t]:
                         firsts.append(v[i]["diagonal"])
                         base_labels.add(labels[t])
                     start = min(x["diagonal"] + (x["votes"] & -x["votes"]).bit_length() - 1 for x in v[i:j])
                     end = max(x["diagonal"] + x["votes"].bit_length() - 1 for x in v[i:j]) + k
-                    score = max(score, share)
-                    if whole:
-                        all_labels.add(labels[t])
-                        spans.append({"label": labels[t], "start": start, "end": end, "coverage": share})
-                    i = j
+                    all_labels.add(labels[t])
+                    spans.append({"label": labels[t], "start": start, "end": end, "coverage": share})
                 out.append((len(firsts), min(firsts, default=None), max(firsts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(all_labels)), score, sorted(spans, key=lambda s: (s["start"], s["end"], s["label"]))))
             columns = list(zip(*out, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays(
