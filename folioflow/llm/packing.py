@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import words as W
 
 SHARD_TOKENS, SHARD_DOCS = 2_000_000, 8_000
-QUERY_TERMS, NEIGHBOURS = 24, 16
+NEIGHBOURS = 16
 K1, B = 1.2, 0.75
 CACHE_CHUNKS = 2_000_000
 BATCH_CHUNKS = 4096
@@ -116,19 +116,22 @@ class ShardIndex:
         idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))).astype(np.float32)
         # A document's terms, and by term the documents; a term in one document alone finds nothing.
-        self.term, self.own, self.bounds, self.df = term, weight, np.searchsorted(doc, np.arange(len(docs) + 1)), df
+        self.term, self.bounds, self.df, self.seed = term, np.searchsorted(doc, np.arange(len(docs) + 1)), df, -1
         by = np.argsort(term, kind="stable")
         self.doc, self.weight, self.at = doc[by], weight[by], np.searchsorted(term[by], np.arange(len(df) + 1))
 
+    def scores(self, seed: int) -> np.ndarray:
+        """What each document scores by all terms of the seed; kept for the seed's next retrieval."""
+        if self.seed != seed:
+            terms = self.term[self.bounds[seed] : self.bounds[seed + 1]]
+            self.seed, self.score = seed, np.zeros(len(self.bounds) - 1, dtype=np.float32)
+            for t in terms[self.df[terms] > 1].tolist():
+                self.score[self.doc[self.at[t] : self.at[t + 1]]] += self.weight[self.at[t] : self.at[t + 1]]
+        return self.score
+
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share the seed's weightiest terms, best first, at most NEIGHBOURS."""
-        lo, hi = self.bounds[seed], self.bounds[seed + 1]
-        terms, weight = self.term[lo:hi], np.where(self.df[self.term[lo:hi]] > 1, self.own[lo:hi], 0)
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.sort(np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS])]
-        score = np.zeros(len(unused), dtype=np.float32)
-        for t in terms.tolist():
-            score[self.doc[self.at[t] : self.at[t + 1]]] += self.weight[self.at[t] : self.at[t + 1]]
+        """Unused documents that share any of the seed's terms, best first, at most NEIGHBOURS."""
+        score = self.scores(seed).copy()
         score[~unused] = 0
         found = np.flatnonzero(score)
         if len(found) > NEIGHBOURS:
