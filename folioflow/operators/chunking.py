@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folioflow.functions import folds
 from folioflow.functions import text as X
 
 MAX_WORDS, OVERLAP_WORDS, MIN_WORDS = 180, 30, 5
@@ -24,50 +25,34 @@ def windows(words: Column, max_words: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, i * step + 1, max_words))
 
 
-def units(text: Column, max_words: int, overlap: int) -> Column:
-    """Array of (text, n): paragraphs of at most max_words words as they are, longer ones as windows."""
-    unit = lambda t, n: F.struct(t.alias("text"), n.cast("int").alias("n"))
+def units(segments: DataFrame, max_words: int, overlap: int) -> DataFrame:
+    """segments with a row a unit (paragraph, window, text, n): paragraphs of at most max_words words as they are, longer ones as windows.
 
-    def of(p: Column) -> Column:
-        w = X.words(p)
-        return F.when(F.size(w) <= max_words, F.array(unit(p, F.size(w)))).otherwise(F.transform(windows(w, max_words, overlap), lambda x: unit(F.array_join(x, " "), F.size(x))))
-
-    return F.flatten(F.transform(X.paragraphs(text), of))
-
-
-def packed(units_: Column, max_words: int) -> Column:
-    """The chunk number of each unit: a new one before a unit that would take the chunk over max_words."""
-    start = F.struct(F.lit(0).alias("group"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("groups"))
-
-    def add(state: Column, n: Column) -> Column:
-        over = (state["held"] > 0) & (state["held"] + n > max_words)
-        group = F.when(over, state["group"] + 1).otherwise(state["group"])
-        held = F.when(over, n).otherwise(state["held"] + n)
-        return F.struct(group.alias("group"), held.alias("held"), F.concat(state["groups"], F.array(group)).alias("groups"))
-
-    return F.aggregate(F.transform(units_, lambda u: u["n"]), start, add, lambda s: s["groups"])
+    Paragraphs become rows before they are split into words, and words a column before they are cut, so that each is split once."""
+    of = [c for c in segments.columns if c != "text"]
+    split = segments.select(*of, F.posexplode(X.paragraphs(F.col("text"))).alias("paragraph", "text")).withColumn("words", X.words(F.col("text")))
+    whole = F.when(F.size("words") <= max_words, F.col("text"))
+    cut = split.select(*of, "paragraph", whole.alias("whole"), F.posexplode(windows(F.col("words"), max_words, overlap)).alias("window", "part"))
+    return cut.select(*of, "paragraph", "window", F.coalesce("whole", F.array_join("part", " ")).alias("text"), F.size("part").alias("n"))
 
 
 def chunk_segments(segments: DataFrame, max_words: int = MAX_WORDS, overlap_words: int = OVERLAP_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """chunks of segments.  No chunk spans two segments; chunks under min_words go before numbering; numbers restart for each document."""
+    """chunks of segments, which doc_id and seg_no name.  No chunk spans two segments; chunks under min_words go before numbering; numbers restart for each document.
+
+    Units are dealt by doc_id once; gathering a segment's sizes, its chunks and the numbers of a document's chunks need no other shuffle."""
     check_sizes(max_words, overlap_words)
-    of = [c for c in ("doc_id", "doc_name", "seg_no", "page", "section", "method") if c in segments.columns]
-    cut = segments.where(F.coalesce("text", F.lit("")) != "").select(*of, units(F.col("text"), max_words, overlap_words).alias("units"))
-    cut = cut.withColumn("groups", packed(F.col("units"), max_words))
-    last = F.coalesce(F.try_element_at("groups", F.lit(-1)), F.lit(-1))
-    chunk = F.transform(
-        F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")),
-        lambda g: F.filter(F.arrays_zip("units", "groups"), lambda z: z["groups"] == g),
-    )
-    rows = cut.select(*of, F.posexplode(chunk).alias("pos", "members"))
-    rows = rows.select(
-        *of, "pos", F.array_join(F.transform("members", lambda m: m["units"]["text"]), "\n\n").alias("text"),
-        F.aggregate(F.transform("members", lambda m: m["units"]["n"]), F.lit(0), lambda a, n: a + n).alias("word_count"),
-    ).where(F.col("word_count") >= min_words)
-    order = Window.partitionBy("doc_id").orderBy("seg_no", "pos")
-    rows = rows.withColumn("chunk_index", F.row_number().over(order) - 1)
-    return rows.select(
-        X.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "doc_name", "page", "section", "chunk_index", "text", "word_count", "method",
+    labels = F.struct("doc_name", "page", "section", "method")
+    cut = units(segments.where(F.coalesce("text", F.lit("")) != "").select("doc_id", "seg_no", labels.alias("labels"), "text"), max_words, overlap_words).repartition("doc_id")
+    parts = F.array_sort(F.collect_list(F.struct("paragraph", "window", "n", "text")))
+    held = cut.groupBy("doc_id", "seg_no").agg(F.first("labels").alias("labels"), parts.alias("parts"))
+    placed = held.withColumn("groups", folds.fitting(F.col("parts.n"), max_words))
+    rows = placed.select("doc_id", "seg_no", "labels", F.posexplode(F.arrays_zip("parts", "groups")).alias("pos", "unit")).select("doc_id", "seg_no", "labels", "pos", "unit.parts", "unit.groups")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("parts.text").alias("text")))), lambda u: u["text"])
+    packed = rows.groupBy("doc_id", "seg_no", "groups").agg(F.first("labels").alias("labels"), F.array_join(texts, "\n\n").alias("text"), F.sum("parts.n").cast("int").alias("word_count"))
+    order = Window.partitionBy("doc_id").orderBy("seg_no", "groups")
+    numbered = packed.where(F.col("word_count") >= min_words).withColumn("chunk_index", F.row_number().over(order) - 1)
+    return numbered.select(
+        X.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "labels.doc_name", "labels.page", "labels.section", "chunk_index", "text", "word_count", "labels.method",
     )
 
 

@@ -1,23 +1,29 @@
-"""Word files with the standard library: blocks in document order, then sections."""
+"""Word files with the standard library: blocks in document order; sections by windows over the blocks."""
 
 from __future__ import annotations
 
 import io
 import zipfile
 from collections.abc import Iterator
+from typing import NamedTuple
 from xml.etree import ElementTree
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from folioflow.functions import folds
+from folioflow.functions import text as X
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 HEADINGLESS_WORDS = 500
 
 
-def table_text(rows: list[list[str]]) -> str:
-    """Cells joined by ` | `, rows by newlines; equal cells side by side are one merged cell."""
-    out = []
-    for row in rows:
-        cells = [" ".join(c.split()) for c in row]
-        out.append(" | ".join(c for i, c in enumerate(cells) if i == 0 or c != cells[i - 1]))
-    return "\n".join(out)
+class Block(NamedTuple):
+    """A paragraph (style, text) or a table (cells)."""
+
+    style: str
+    text: str
+    cells: list[list[str]] | None = None
 
 
 def _text(paragraph: ElementTree.Element) -> str:
@@ -32,8 +38,8 @@ def _text(paragraph: ElementTree.Element) -> str:
     return "".join(parts)
 
 
-def blocks(content: bytes) -> Iterator[tuple[str, str, str]]:
-    """(kind, style name, text) of the body's paragraphs and tables; other children are skipped."""
+def blocks(content: bytes) -> Iterator[Block]:
+    """The body's paragraphs and tables; other children are skipped."""
     with zipfile.ZipFile(io.BytesIO(content)) as file:
         body = ElementTree.fromstring(file.read("word/document.xml")).find(W + "body")
         names = {}
@@ -45,40 +51,36 @@ def blocks(content: bytes) -> Iterator[tuple[str, str, str]]:
         if child.tag == W + "p":
             style = child.find(f"{W}pPr/{W}pStyle")
             key = style.get(W + "val") if style is not None else ""
-            yield "paragraph", names.get(key, key) or "", _text(child)
+            yield Block(names.get(key, key) or "", _text(child))
         elif child.tag == W + "tbl":
-            rows = [["\n".join(_text(p) for p in cell.findall(W + "p")) for cell in row.findall(W + "tc")] for row in child.findall(W + "tr")]
-            yield "table", "", table_text(rows)
-
-
-def is_heading(style: str) -> bool:
-    low = style.lower()
-    return low.startswith("heading") or low == "title"
-
-
-def sections(parts: Iterator[tuple[str, str, str]], most_words: int = HEADINGLESS_WORDS) -> list[tuple[str, str]]:
-    """(label, text): a section for each heading, whose text comes first; before any heading, ranges of paragraphs of `most_words` words or more."""
-    out: list[tuple[str, str]] = []
-    heading, held, first, number, words = None, [], 1, 0, 0
-
-    def flush() -> None:
-        nonlocal held, first, words
-        text = "\n\n".join(held).strip()
-        if text:
-            out.append((heading if heading is not None else f"paras {first}-{number}", text))
-        held, first, words = [], number + 1, 0
-
-    for kind, style, raw in parts:
-        text = raw.strip()
-        if not text:
-            continue
-        if kind == "paragraph" and is_heading(style):
-            flush()
-            heading = text
-        number += 1
-        held.append(text)
-        words += len(text.split())
-        if heading is None and words >= most_words:
-            flush()
-    flush()
-    return out
+            yield Block("", "", [["\n".join(_text(p) for p in cell.findall(W + "p")) for cell in row.findall(W + "tc")] for row in child.findall(W + "tr")])
+
+
+def table_text(cells: Column) -> Column:
+    """Rows on lines, cells between ` | `; of equal cells side by side one stays, as they are one merged cell."""
+    plain = lambda row: F.transform(row, lambda c: F.array_join(X.words(c), " "))
+    apart = lambda row: F.filter(row, lambda c, i: (i == 0) | (c != F.get(row, i - 1)))
+    return F.array_join(F.transform(F.transform(cells, plain), lambda row: F.array_join(apart(row), " | ")), "\n")
+
+
+def is_heading(style: Column) -> Column:
+    return F.lower(style).startswith("heading") | (F.lower(style) == "title")
+
+
+def sections(rows: DataFrame, most_words: int = HEADINGLESS_WORDS) -> DataFrame:
+    """(doc_id, doc_name, seg_no, section, text) of blocks (doc_id, doc_name, block_no, style, text, cells).
+
+    Blocks without text don't count.  A heading begins a section and is its first paragraph; what stands before the
+    first heading is cut where `most_words` words are reached, and named by the numbers of its blocks."""
+    order = Window.partitionBy("doc_id").orderBy("block_no")
+    text = F.when(F.col("cells").isNull(), X.strip(F.coalesce("text", F.lit("")))).otherwise(table_text(F.col("cells")))
+    full = rows.select("doc_id", "doc_name", "block_no", (is_heading(F.col("style")) & F.col("cells").isNull()).alias("head"), text.alias("text")).where("text <> ''")
+    placed = full.withColumn("number", F.row_number().over(order)).withColumn("headings", F.sum(F.col("head").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    plain = placed.where("headings = 0").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", F.size(X.words(F.col("text"))).alias("n")))).alias("b"))
+    cuts = plain.select("doc_id", F.explode(F.arrays_zip(F.col("b.number").alias("number"), folds.reaching(F.col("b.n"), most_words).alias("cut"))).alias("c")).select("doc_id", "c.number", "c.cut")
+    parts = placed.join(cuts, ["doc_id", "number"], "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+    ordered = F.array_sort(F.collect_list(F.struct("number", "text")))
+    found = parts.groupBy("doc_id", "headings", "cut").agg(F.first("doc_name").alias("doc_name"), F.min_by("text", "number").alias("first"), F.min("number").alias("lo"), F.max("number").alias("hi"), ordered.alias("b"))
+    label = F.when(F.col("headings") > 0, F.col("first")).otherwise(F.format_string("paras %d-%d", "lo", "hi"))
+    seg_no = F.row_number().over(Window.partitionBy("doc_id").orderBy("lo")) - 1
+    return found.select("doc_id", "doc_name", seg_no.alias("seg_no"), label.alias("section"), F.array_join("b.text", "\n\n").alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,21 +13,18 @@ from folioflow.operators import running_lines
 from folioflow.sources import docx, pdf
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
-PARSED = "doc_id string, doc_name string, seg_no int, page int, section string, paragraphs array<string>, error string"
+PARSED = "doc_id string, doc_name string, seg_no int, page int, section string, paragraphs array<string>, style string, cells array<array<string>>, error string"
 
-#: A parser gives (page or null, section or null, paragraphs) for each segment.
-Parser = Callable[[bytes], list[tuple[int | None, str | None, list[str]]]]
+#: A parser gives (page or null, section or null, paragraphs) for each segment, or blocks that are still to be put into sections.
+Segment = tuple[int | None, str | None, list[str]]
+Parser = Callable[[bytes], Iterable[Segment | docx.Block]]
 
 
-def _pdf(content: bytes) -> list[tuple[int | None, str | None, list[str]]]:
+def _pdf(content: bytes) -> list[Segment]:
     return [(i, None, p) for i, p in enumerate(pdf.pages(content), start=1)]
 
 
-def _docx(content: bytes) -> list[tuple[int | None, str | None, list[str]]]:
-    return [(None, label, [text]) for label, text in docx.sections(docx.blocks(content))]
-
-
-PARSERS: dict[str, Parser] = {".pdf": _pdf, ".docx": _docx}
+PARSERS: dict[str, Parser] = {".pdf": _pdf, ".docx": docx.blocks}
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +37,7 @@ def identified(files: DataFrame) -> DataFrame:
 
 
 def parse(files: DataFrame, parsers: dict[str, Parser] = PARSERS) -> DataFrame:
-    """identified() rows to PARSED rows; a file that can't be parsed is one row with `error`."""
+    """identified() rows to PARSED rows: a row a segment or block (with a style); a file that can't be parsed is one row with `error`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -49,23 +46,24 @@ def parse(files: DataFrame, parsers: dict[str, Parser] = PARSERS) -> DataFrame:
                 try:
                     if kind not in parsers:
                         raise ValueError(f"unsupported file type: {kind or 'none'}")
-                    segments = parsers[kind](bytes(content))
-                    if not segments:
-                        raise ValueError("no segments")
-                    out += [(doc_id, name, i, page, section, paragraphs, None) for i, (page, section, paragraphs) in enumerate(segments)]
+                    parts = [(None, None, [p.text], p.style, p.cells) if isinstance(p, docx.Block) else (*p, None, None) for p in parsers[kind](bytes(content))]
+                    out += [(doc_id, name, i, *part, None) for i, part in enumerate(parts)]
                 except Exception as error:  # one bad file must not stop the others
-                    out.append((doc_id, name, 0, None, None, [], f"{name}: {error}"))
-            frame = pd.DataFrame(out, columns=["doc_id", "doc_name", "seg_no", "page", "section", "paragraphs", "error"])
+                    out.append((doc_id, name, 0, None, None, [], None, None, f"{name}: {error}"))
+            frame = pd.DataFrame(out, columns=["doc_id", "doc_name", "seg_no", "page", "section", "paragraphs", "style", "cells", "error"])
             yield frame.astype({"page": "Int32", "seg_no": "int32"})
 
     return files.select("doc_id", "doc_name", "suffix", "content").mapInPandas(run, PARSED)
 
 
 def segments(parsed: DataFrame) -> DataFrame:
-    """PARSED rows without errors to segments: running lines of paged files go, text is cleaned, thin pages are flagged."""
+    """PARSED rows without errors to segments: blocks are put into sections, running lines of paged files go, text is cleaned, thin pages are flagged."""
     good = parsed.where("error is null")
-    paged = running_lines.without_running_lines(good.where("page is not null"))
-    rows = paged.unionByName(good.where("page is null"))
+    columns = ["doc_id", "doc_name", "seg_no", "page", "section", "paragraphs"]
+    paged = running_lines.without_running_lines(good.where("page is not null").select(*columns))
+    put = docx.sections(good.where("style is not null").select("doc_id", "doc_name", F.col("seg_no").alias("block_no"), "style", F.col("paragraphs")[0].alias("text"), "cells"))
+    put = put.select("doc_id", "doc_name", "seg_no", F.lit(None).cast("int").alias("page"), "section", F.array("text").alias("paragraphs"))
+    rows = paged.unionByName(good.where("page is null and style is null").select(*columns)).unionByName(put)
     text = X.clean_text(F.array_join("paragraphs", "\n\n"))
     out = rows.select("doc_id", "doc_name", "seg_no", "page", "section", text.alias("text"), F.lit("text").alias("method"))
     return out.withColumn("needs_ocr", F.col("page").isNotNull() & running_lines.needs_ocr(F.col("text")))

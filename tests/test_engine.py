@@ -78,7 +78,7 @@ def test_command_line(spark, tmp_path, landing, capsys):
     for arguments in (["add", str(landing), "/no/such/path"], ["list"], ["search", "payment", "-k", "1", "--mode", "keyword"], ["ask", "payment due"], ["delete", "x"], ["extract", "x", "invoice"], ["chunk", str(landing / "a.pdf")]):
         assert cli.main([*store, *arguments]) == 0
     out = capsys.readouterr().out
-    assert "error: /no/such/path" in out and "a.pdf, p. 1" in out and "no such document" in out
+    assert "error: /no/such/path" in out and "a.pdf, p. 1" in out and "x: not in the store" in out and "x: nothing to extract from" in out
 
 
 SF = "/root/testdata/sf0.001"
