@@ -18,6 +18,8 @@ from folioflow.functions import text as X
 QUERY_BLOCK = 4096
 #: Scores that a batch of vectors holds at a time.
 SCORES = 2_000_000
+#: Texts that the hashing embedder counts at a time.
+EMBEDDED_ROWS = 1000
 
 
 class Embedder(Protocol):
@@ -33,7 +35,7 @@ class Embedder(Protocol):
 class HashingEmbedder:
     """A bag of words in `dims` buckets: the first 8 hex digits of a token's MD5, modulo dims; of unit length.
 
-    Needs no model, gives the same vectors everywhere, and stays in native expressions."""
+    Needs no model and gives the same vectors everywhere.  Buckets are native expressions, only the histogram is Arrow."""
 
     def __init__(self, dims: int = 256):
         self.dims = dims
@@ -43,12 +45,23 @@ class HashingEmbedder:
         return F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % self.dims).cast("int"))
 
     def passages(self, text: Column) -> Column:
-        counts = F.aggregate(
-            self.buckets(text), F.array_repeat(F.lit(0.0), self.dims),
-            lambda acc, b: F.concat(F.slice(acc, F.lit(1), b), F.array(F.element_at(acc, b + 1) + 1), F.slice(acc, b + 2, F.lit(self.dims))),
-        )
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)).cast("array<float>")
+        dims = self.dims
+
+        @F.pandas_udf("array<float>")
+        def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for buckets in parts:
+                # One histogram for all texts of a slice: (text, bucket) pairs are counted at once.
+                rows: list[np.ndarray] = []
+                for k in range(0, len(buckets), EMBEDDED_ROWS):
+                    own = buckets.iloc[k : k + EMBEDDED_ROWS]
+                    n = own.map(len).to_numpy()
+                    pair = np.repeat(np.arange(len(own)), n) * dims + np.concatenate([*own, np.zeros(0, np.int32)])
+                    counts = np.bincount(pair.astype(np.int64), minlength=len(own) * dims).reshape(-1, dims).astype(np.float64)
+                    norm = np.sqrt((counts * counts).sum(1, keepdims=True))
+                    rows += list(np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0).astype(np.float32))
+                yield pd.Series(rows, index=buckets.index)
+
+        return embed(self.buckets(text))
 
     queries = passages
 
