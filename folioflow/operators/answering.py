@@ -95,20 +95,21 @@ def evidence(hits: DataFrame, queries: DataFrame, min_score: float = MIN_SCORE)
 def answers(hits: DataFrame, queries: DataFrame, model: LanguageModel, min_score: float = MIN_SCORE) -> DataFrame:
     """One row a query in the schema of answers.  The model is called for queries with evidence only."""
     ready = evidence(hits, queries, min_score)
-    silent = ready.where("abstained").select("query_id", "query", F.lit(NO_EVIDENCE).alias("answer"), "abstained", F.array().cast("array<string>").alias("citations"), "top_score")
+
+    def reply(query: str, context, abstained: bool) -> str:
+        if abstained:
+            return NO_EVIDENCE
+        try:
+            return model.generate_answer(query, [(c["citation"], c["text"]) for c in context])
+        except Exception:  # a failed call is an answer of its own, not a lost job
+            return MODEL_FAILED
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            said = []
-            for query, context in zip(batch["query"], batch["context"], strict=True):
-                try:
-                    said.append(model.generate_answer(query, [(c["citation"], c["text"]) for c in context]))
-                except Exception:  # a failed call is an answer of its own, not a lost job
-                    said.append(MODEL_FAILED)
+            said = [reply(*row) for row in zip(batch["query"], batch["context"], batch["abstained"], strict=True)]
             yield batch.assign(answer=said)[["query_id", "query", "answer", "abstained", "citations", "top_score"]]
 
-    spoken = ready.where("not abstained").mapInPandas(ask, schemas.ANSWERS)
-    return spoken.unionByName(silent)
+    return ready.mapInPandas(ask, schemas.ANSWERS)
 
 
 def extract(texts: DataFrame, model: LanguageModel, doc_type: str) -> DataFrame:
