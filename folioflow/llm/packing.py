@@ -10,6 +10,7 @@ shard has left over at the end is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ NEIGHBOURS = 16
 K1, B = 1.2, 0.75
 CACHE_CHUNKS = 2_000_000
 BATCH_CHUNKS = 4096
+#: Characters that may part texts encoded together; the first that the tokenizer keeps as one token is taken.
+MARKS = "|~^"
 TEXT_BYTES = 1 << 19
 
 #: Cutting at these bytes never cuts a token: the tokenizer's pattern has no match across white space.
@@ -36,36 +39,59 @@ SPACE[[9, 10, 13, 32]] = True
 class Encoder:
     """Token ids of whole texts; each distinct run of non-space bytes is encoded once and then looked up.
 
-    For tokenizers that drop white space and never join what it parts."""
+    For tokenizers that drop white space and never join what it parts.  New runs are encoded many at a time with a mark
+    between them, a character that is one token wherever it stands; runs that hold it are encoded by themselves."""
 
     def __init__(self, path: str, most: int = CACHE_CHUNKS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        alone = {m: self.ids_of(m) for m in MARKS}
+        self.mark = next((m for m, ids in alone.items() if len(ids) == 1 and self.ids_of(f"x {m} y {m} x") == [*self.ids_of("x"), *ids, *self.ids_of("y"), *ids, *self.ids_of("x")]), None)
+        self.mark_id = alone[self.mark][0] if self.mark else -1
         self.clear()
 
+    def ids_of(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def clear(self) -> None:
         self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and where their ids are
         self.start, self.size, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def encode_each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of each text's)."""
+        if self.mark and not any(self.mark in t for t in texts):
+            ids = np.array(self.ids_of(f" {self.mark} ".join([*texts, ""])), dtype=np.uint32)
+            marks = np.flatnonzero(ids == self.mark_id)
+            if len(marks) == len(texts):
+                return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], dtype=np.uint32), np.array([len(ids) for ids in found])
+
     def add(self, keys: np.ndarray, texts: list[str]) -> None:
         """keys: sorted, none of them known."""
         first = self.n
-        for k in range(0, len(texts), BATCH_CHUNKS):
-            for found in self.tokenizer.encode_batch_fast(texts[k : k + BATCH_CHUNKS], add_special_tokens=False):
-                ids = found.ids
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-                if self.n >= len(self.start):
-                    self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.start[self.n], self.size[self.n] = self.used, len(ids)
-                self.used += len(ids)
-                self.n += 1
+        marked = [self.mark is not None and self.mark in t for t in texts]
+        order = [i for i, m in enumerate(marked) if not m] + [i for i, m in enumerate(marked) if m]
+        n_plain = len(order) - sum(marked)
+        edges = sorted({*range(0, n_plain, BATCH_CHUNKS), *range(n_plain, len(order), BATCH_CHUNKS), len(order)})
+        for lo, hi in itertools.pairwise(edges):
+            ids, sizes = self.encode_each([texts[i] for i in order[lo:hi]])
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+            while self.n + len(sizes) > len(self.start):
+                self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.start[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+            self.size[self.n : self.n + len(sizes)] = sizes
+            self.used += len(ids)
+            self.n += len(sizes)
+        slot = np.empty(len(order), dtype=np.int32)
+        slot[order] = np.arange(first, self.n, dtype=np.int32)
         place = np.searchsorted(self.keys, keys)
-        self.keys, self.at = np.insert(self.keys, place, keys), np.insert(self.at, place, np.arange(first, self.n, dtype=np.int32))
+        self.keys, self.at = np.insert(self.keys, place, keys), np.insert(self.at, place, slot)
 
     def known(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -124,9 +150,10 @@ class ShardIndex:
         """What each document scores by all terms of the seed; kept for the seed's next retrieval."""
         if self.seed != seed:
             terms = self.term[self.bounds[seed] : self.bounds[seed + 1]]
-            self.seed, self.score = seed, np.zeros(len(self.bounds) - 1, dtype=np.float32)
-            for t in terms[self.df[terms] > 1].tolist():
-                self.score[self.doc[self.at[t] : self.at[t + 1]]] += self.weight[self.at[t] : self.at[t + 1]]
+            terms = terms[self.df[terms] > 1]
+            first, n = self.at[terms], self.df[terms]  # the terms' lists, added up at once
+            place = np.repeat(first - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
+            self.seed, self.score = seed, np.bincount(self.doc[place], weights=self.weight[place], minlength=len(self.bounds) - 1).astype(np.float64)
         return self.score
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
@@ -201,6 +228,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids on request.
 
     window: a power of two.  A document is its token ids and end_id; null and empty texts are end_id alone.
+    A seed retrieves by all of its terms, NEIGHBOURS documents at a time and again further down the list until its
+    window is full or no unused document of the shard shares a term; then the longest unused one goes on.
     Sequences have `window` ids, or a power of two where a shard ends, so none is padded.  sequence_id is the
     partition's number and a count.  Repeated rows and ids are packed row by row; other columns are not looked at."""
     if window & (window - 1):
