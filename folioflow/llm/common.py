@@ -36,11 +36,49 @@ def lower_az(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER_AZ, LOWER_AZ)
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    return [named(c) for c in df.columns]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it: no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, spread: str, n_rows: int) -> DataFrame:
+    """rows joined with counted (key, size, ...), whose size is the rows of a key.
+
+    Keys of at least 1/256 of n_rows are at most 256 and go by broadcast; their rows are dealt by `spread` meanwhile, so no
+    task gets all rows of a frequent key."""
+    hot_from = max(1000, n_rows // 256)
+    values = [c for c in counted.columns if c != key]
+    hot = counted.where(F.col("size") >= hot_from).select(F.col(key).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in values])
+    cold = counted.where(F.col("size") < hot_from).select(F.col(key).alias("__cold"), *[F.col(c).alias(f"__cold_{c}") for c in values])
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    met = met.withColumn("__look", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.xxhash64(spread)))
+    met = met.join(cold, (F.col("__look") == F.col("__cold")) & F.col("__hot").isNull(), "left").where("__hot is not null or __cold is not null")
+    return met.select(*rows.columns, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in values])
+
+
 def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
     """So many that each holds about `each` rows, and no fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
 
+def dealt(df: DataFrame, key: str, n_bytes: int, each: int = 128 << 20) -> DataFrame:
+    """df dealt by key to so many partitions that each gets about `each` of n_bytes, where the session's shuffle partitions are fewer."""
+    wanted = -(-n_bytes // each)
+    return df.repartition(wanted, key) if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def checked_broadcast(small: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """small, marked for broadcast only if its counted rows are within the bound."""
     return F.broadcast(small) if rows <= most else small
@@ -62,9 +100,10 @@ def without(docs: DataFrame, drop: DataFrame, on: Sequence[tuple[Column, str]])
     if n == 0:
         return docs
     condition = F.lit(True)
-    renamed = drop.select(*[F.col(name).alias(f"__drop_{i}") for i, (_, name) in enumerate(on)])
+    names = [fresh(docs, f"__drop_{i}") for i in range(len(on))]
+    renamed = drop.select(*[F.col(name).alias(names[i]) for i, (_, name) in enumerate(on)])
     for i, (expression, _) in enumerate(on):
-        condition = condition & expression.eqNullSafe(F.col(f"__drop_{i}"))
+        condition = condition & expression.eqNullSafe(F.col(names[i]))
     return docs.join(checked_broadcast(renamed, n), condition, "left_anti")
 
 
@@ -72,7 +111,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b) of longs, by alternating large and small stars.
 
     Every round is two aggregations with map-side combining and two equi-joins, and is checkpointed; the edges
-    never grow beyond twice their first number.  Nodes without an edge have no row."""
+    never grow beyond twice their first number.  Nodes without an edge have no row.  The centres of large stars, which a
+    third of all edges may share, are broadcast (at most 256 of them), so no join gathers their edges."""
     edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def state(df: DataFrame) -> tuple:
@@ -81,10 +121,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = state(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(smallest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("size"))
+        large = join_counted(both.where("b > a"), least, "a", "b", before[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        smallest = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("size"))
+        small = join_counted(large, smallest, "a", "b", before[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = checkpoint(small)
         now = state(edges)
         if now == before:
@@ -100,10 +140,11 @@ def unique_ids(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     """docs and a column that names a row: id_col where no id is missing or repeated, else a new column, a hash of id and text.
 
     Rows that repeat both then have one name."""
-    counts = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
+    counts = docs.groupBy(named(id_col).alias("id")).agg(F.count("*").alias("n"))
     if counts.where("id is null or n > 1").isEmpty():
         return docs, id_col
-    return docs.withColumn("__row_name", F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))), "__row_name"
+    name = fresh(docs, "__row_name")
+    return docs.withColumn(name, F.xxhash64(named(id_col).cast("string"), F.coalesce(named(text_col), F.lit("")))), name
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -114,3 +155,9 @@ def scratch_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="folioflow-scratch-")
     return f"{base}/folioflow-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of one's own that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

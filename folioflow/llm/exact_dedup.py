@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, lower_az, without
+from .common import checkpoint, fresh, lower_az, named, without
 
 FOLD = 1 << 16
 BITMAP_BITS = 32768
@@ -59,7 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.join(F.broadcast(bitmaps), "__bucket", "left")
     rows = rows.withColumn("__survives", bit_is_set())
     digest = F.sha2(lower_az(F.col("__text")), 256)
-    rows = rows.select("doc_id", "n_bytes", "__survives", (digest if digest_all else F.when(F.col("__survives"), digest)).alias("text_sha256"))
+    rows = rows.select("doc_id", "n_bytes", F.monotonically_increasing_id().alias("__place"), "__survives", (digest if digest_all else F.when(F.col("__survives"), digest)).alias("text_sha256"))
 
     groups = rows.where("__survives").groupBy(F.col("text_sha256").alias("__sha")).agg(F.max("doc_id").alias("__keep"), F.count("*").alias("__size")).where("__size > 1")
     groups = checkpoint(groups)
@@ -68,7 +68,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cold = groups.where(F.col("__size") < hot_from)
     rows = rows.withColumn("__look", F.when(F.col("__survives"), F.col("text_sha256")))
     rows = rows.join(F.broadcast(hot), F.col("__look") == F.col("__hot_sha"), "left")
-    own = F.concat(F.lit("row "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # Rows without a group, and those of hot groups, have a key of their own; for null ids it is the row's place in its partition.
+    own = F.concat(F.lit("row "), F.coalesce(F.col("doc_id").cast("string"), F.col("__place").cast("string")))
     rows = rows.withColumn("__look", F.when(F.col("__look").isNull() | F.col("__hot_sha").isNotNull(), own).otherwise(F.col("__look")))
     rows = rows.join(cold, F.col("__look") == F.col("__sha"), "left")
     size = F.coalesce("__hot_size", "__size", F.lit(1)).cast("long")
@@ -82,12 +83,13 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows that repeat id and text are reduced to one as well.  A row is named by its id and the hash of its
     text, so a null id drops nothing else."""
     found = checkpoint(exact_dedup(docs, id_col, text_col).where("group_size > 1"))
-    sha = F.sha2(lower_az(F.col(text_col)), 256)
-    out = without(docs, found.where("not kept").select("doc_id", "text_sha256").distinct(), [(F.col(id_col), "doc_id"), (sha, "text_sha256")])
+    sha = F.sha2(lower_az(named(text_col)), 256)
+    out = without(docs, found.where("not kept").select("doc_id", "text_sha256").distinct(), [(named(id_col), "doc_id"), (sha, "text_sha256")])
     again = checkpoint(found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_sha256"))
     if again.isEmpty():
         return out
-    marked = out.withColumn("__sha", sha)
-    key = again.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__key"))
-    same = marked[id_col].eqNullSafe(key["__id"]) & (marked["__sha"] == key["__key"])
-    return marked.join(key, same, "left_anti").unionByName(marked.join(key, same, "left_semi").dropDuplicates([id_col, "__sha"])).drop("__sha")
+    own, of, whose = (fresh(out, c) for c in ("__sha", "__id", "__key"))
+    marked = out.withColumn(own, sha)
+    key = again.select(F.col("doc_id").alias(of), F.col("text_sha256").alias(whose))
+    same = named(id_col).eqNullSafe(F.col(of)) & (F.col(own) == F.col(whose))
+    return marked.join(key, same, "left_anti").unionByName(marked.join(key, same, "left_semi").dropDuplicates([id_col, own])).drop(own)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import BROADCAST_ROWS, checkpoint, components, partitions_for, unique_ids, without
+from .common import BROADCAST_ROWS, checkpoint, components, join_counted, named, own_columns, partitions_for, unique_ids, without
 
 FUNCTIONS = 64
 DEPTH = 3
@@ -220,8 +220,9 @@ def candidate_links(sets: DataFrame, n_sets: int, similarity: float, recall: flo
     spark = sets.sparkSession
     level, found = split(sets, similarity, runs_needed(recall)), None
     for depth in range(1, DEPTH + 1):
+        level = checkpoint(level)
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        alive = level.join(sizes, "node")
+        alive = join_counted(level, sizes, "node", "sid", level.count())
         level = checkpoint(alive.join(sets.select("sid", "sketch"), "sid"))
         big = level.where(F.col("size") > SMALL)
         ready = level.where(F.col("size") <= SMALL).select("node", "sid", "sketch")
@@ -334,18 +335,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     links = exact.groupBy("sid").agg(F.sum("n_doc_links").alias("n_doc_links"), F.sum("n_set_links").alias("n_set_links"))
     classes = components(exact.where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b")))
-    named = sets.select("sid", "first_id", "copies").join(classes, F.col("sid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "sid"))
-    roots = named.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = checkpoint(named.join(roots, "component").join(links, "sid", "left").select("sid", F.col("first_id").alias("set_id"), "class_id", "class_size", "copies", F.coalesce("n_doc_links", F.lit(0)).alias("n_doc_links"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links")))
+    placed = sets.select("sid", "first_id", "copies").join(classes, F.col("sid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "sid"))
+    roots = placed.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    settled = checkpoint(placed.join(roots, "component").join(links, "sid", "left").select("sid", F.col("first_id").alias("set_id"), "class_id", "class_size", "copies", F.coalesce("n_doc_links", F.lit(0)).alias("n_doc_links"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links")))
 
     # Sets of many rows are few and go by broadcast; the others are joined on their own key.
     n_rows = rows.count()
     hot_from = max(1000, n_rows // 256)
     columns = ["sid", "set_id", "class_id", "class_size", "copies", "n_doc_links", "n_set_links"]
-    hot = F.broadcast(named.where(F.col("copies") >= hot_from).select(*[F.col(c).alias(f"hot_{c}") for c in columns]))
-    cold = named.where(F.col("copies") < hot_from).select(*[F.col(c).alias(f"cold_{c}") for c in columns])
+    hot = F.broadcast(settled.where(F.col("copies") >= hot_from).select(*[F.col(c).alias(f"hot_{c}") for c in columns]))
+    cold = settled.where(F.col("copies") < hot_from).select(*[F.col(c).alias(f"cold_{c}") for c in columns])
     out = rows.select("doc_id", "n_shingles", "sid").join(hot, (F.col("sid") == F.col("hot_sid")) & (F.col("n_shingles") > 0), "left")
-    key = F.when(F.col("hot_sid").isNotNull() | (F.col("n_shingles") == 0), -1 - F.abs(F.xxhash64("doc_id") % (1 << 40))).otherwise(F.col("sid"))
+    key = F.when(F.col("hot_sid").isNotNull() | (F.col("n_shingles") == 0), -1 - F.abs(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.monotonically_increasing_id().cast("string"))) % (1 << 40))).otherwise(F.col("sid"))
     out = out.withColumn("key", key).join(cold, F.col("key") == F.col("cold_sid"), "left")
     pick = lambda c: F.coalesce(f"hot_{c}", f"cold_{c}")
     class_id = F.coalesce(pick("class_id"), F.col("doc_id"))
@@ -359,8 +360,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs, in its own columns, with the first document of each class of near duplicates.
 
     Rows with missing or repeated ids are told apart by their texts, and rows that repeat both are reduced to one."""
-    named, key = unique_ids(docs, id_col, text_col)
+    rows, key = unique_ids(docs, id_col, text_col)
     if key != id_col:
-        named = named.dropDuplicates([key])
-    found = jaccard_join(named, key, text_col, **options)
-    return without(named, found.where("not kept").select("doc_id"), [(F.col(key), "doc_id")]).select(*docs.columns)
+        rows = rows.dropDuplicates([key])
+    found = jaccard_join(rows, key, text_col, **options)
+    return without(rows, found.where("not kept").select("doc_id"), [(named(key), "doc_id")]).select(*own_columns(docs))

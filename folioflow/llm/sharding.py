@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, named
+
 SLOTS = 65_537
 MOST_SLOTS = 1_000_003
 
@@ -58,9 +60,10 @@ def place(docs: DataFrame, shards: Sequence[str] | Mapping[str, int], key_col: s
     spark = docs.sparkSession
     table = fill(shards, slots)
     names = sorted(shards)
-    rows = spark.createDataFrame([(i, names[s]) for i, s in enumerate(table)], "__slot long, __shard string")
-    digest = F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit("")).cast("binary"))
+    at, own, of = (fresh(docs, c) for c in ("__at", "__slot", "__shard"))
+    rows = spark.createDataFrame([(i, names[s]) for i, s in enumerate(table)], f"`{own}` long, `{of}` string")
+    digest = F.md5(F.coalesce(named(key_col).cast("string"), F.lit("")).cast("binary"))
     slot = F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(slots))
-    kept = [c for c in docs.columns if c not in ("slot", "shard")]
-    marked = docs.select(*kept, slot.alias("__at"))
-    return marked.join(F.broadcast(rows), F.col("__at") == F.col("__slot"), "left").select(*kept, F.col("__at").alias("slot"), F.col("__shard").alias("shard"))
+    kept = [named(c) for c in docs.columns if c not in ("slot", "shard")]
+    marked = docs.select(*kept, slot.alias(at))
+    return marked.join(F.broadcast(rows), F.col(at) == F.col(own), "left").select(*kept, F.col(at).alias("slot"), F.col(of).alias("shard"))
