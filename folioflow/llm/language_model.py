@@ -3,7 +3,8 @@
 1. Texts are cut into blocks; a block lists its distinct n-grams of each order with their counts.  The lists
    are cut by hash into buckets, and each bucket adds up its part of the count tables: one column of hashes
    and one of counts for each (block, order), so a frequent n-gram is one entry for each block, however often
-   and wherever it occurs.
+   and wherever it occurs.  Only cells with n-grams are rows, so rows are never more than a relation of
+   (n-gram, block, count) has, however many blocks and buckets there are.
 2. A bucket answers every block with the corpus counts of the n-grams it asked about, in the order asked.
 3. A block joins the answers to its documents' n-grams and sums by document.
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .common import dealt
 
 ORDER, ALPHA = 3, 0.4
 BLOCK_BYTES = 10 << 20
@@ -110,13 +112,13 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def pack_counts(x: np.ndarray) -> bytes:
-    """A byte each, and four more for those over 254."""
-    return np.minimum(x, 255).astype(np.uint8).tobytes() + np.minimum(x[x > 254], 2**32 - 1).astype(np.uint32).tobytes()
+    """A byte each, and eight more for those over 254."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x > 254].astype(np.int64).tobytes()
 
 
 def unpack_counts(data: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(data, np.uint8, n).astype(np.uint32)
-    out[out == 255] = np.frombuffer(data, np.uint32, offset=n) if len(data) > n else 0
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, np.int64, offset=n) if len(data) > n else 0
     return out
 
 
@@ -124,6 +126,13 @@ def checksum(words: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(W.mix(words + np.arange(len(words), dtype=np.uint64)))) >> 1 if len(words) else 0
 
 
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bytes, words) of each part of a partition."""
+    for batch in batches:
+        for _, _, data, offsets in W.blocks(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([len(data)]), pa.array([len(W.spans(W.LOWER[data], offsets)[0])])], ["n_bytes", "n_words"])
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
     """One row per input row: doc_id, n_words, log_score (sum), mean_log_score, by_order (words scored by each order).
 
@@ -131,39 +140,45 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents.  Repeated rows count as often as they occur, each scored without itself.  An empty table gives
     an empty result; other columns are not looked at.  docs is read twice and must give the same partitions
     both times, as files do; blocks carry a checksum, and a mismatch is an error."""
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    wanted = max(64, total // 6 * order // BUCKET_ENTRIES)
-    bits = min(20, int(wanted - 1).bit_length())
-    n_buckets = 1 << bits
     rows = docs.select(F.col(id_col), F.col(text_col))
+    measured = rows.mapInArrow(W.lean(count_words), "n_bytes long, n_words long").agg(F.sum("n_bytes"), F.sum("n_words")).first()
+    total, n_words = (int(x or 0) for x in measured)
+    wanted = max(64, n_words * order // BUCKET_ENTRIES)
+    bits = min(30, int(wanted - 1).bit_length())
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.arange(1, n_buckets, dtype=np.uint64) << np.uint64(64 - bits)
         for block, _, words, at in text_blocks(batches):
             check = checksum(words)
             for n in range(1, order + 1):
                 ids, counts = np.unique(W.grams(words, at, n)[0], return_counts=True)
-                cut = np.concatenate(([0], np.searchsorted(ids, edges), [len(ids)]))
-                for b in range(n_buckets):
-                    lo, hi = int(cut[b]), int(cut[b + 1])
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block]), pa.array([n], pa.int32()), pa.array([check]), pa.array([pack_sorted(ids[lo:hi], bits)], pa.binary()), pa.array([pack_counts(counts[lo:hi])], pa.binary())], ["bucket", "block", "n", "check", "grams", "counts"])
+                bucket = (ids >> np.uint64(64 - bits)).astype(np.int32)
+                # A row for each bucket that has n-grams of the block; bucket 0 gets one in any case, so that no block is without rows.
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                ends, to = np.append(starts[1:], len(ids))[: len(starts)], bucket[starts]
+                if n == 1 and not (len(to) and to[0] == 0):
+                    starts, ends, to = (np.concatenate(([0], x)) for x in (starts, ends, to))
+                grams = [pack_sorted(ids[lo:hi], bits) for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True)]
+                sums = [pack_counts(counts[lo:hi]) for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True)]
+                m = len(to)
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.full(m, block)), pa.array(np.full(m, n, np.int32)), pa.array(np.full(m, check)), pa.array(grams, pa.binary()), pa.array(sums, pa.binary())], ["bucket", "block", "n", "check", "grams", "counts"])
 
     def add_up(table: pa.Table) -> pa.Table:
         orders, blocks, checks = (table.column(c).to_pylist() for c in ("n", "block", "check"))
         grams, counts = table.column("grams").to_pylist(), table.column("counts").to_pylist()
         out, bucket = [], table.column("bucket")[0].as_py()
-        for n in range(1, order + 1):
+        for n in sorted({*orders}):
             mine = [i for i, m in enumerate(orders) if m == n]
             keys = [unpack_sorted(grams[i]) for i in mine]
             ids, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(inverse, weights=np.concatenate([unpack_counts(counts[i], len(key)) for i, key in zip(mine, keys, strict=True)]), minlength=len(ids)).astype(np.int64)
-            in_all, k = int(sums.sum()) if n == 1 else 0, 0
+            sums = np.zeros(len(ids), dtype=np.int64)
+            np.add.at(sums, inverse, np.concatenate([unpack_counts(counts[i], len(key)) for i, key in zip(mine, keys, strict=True)]))
+            k = 0
             for i, key in zip(mine, keys, strict=True):
-                out.append((blocks[i], n, bucket, checks[i], in_all, len(key), pack_counts(sums[inverse[k : k + len(key)]])))
+                out.append((blocks[i], n, bucket, checks[i], len(key), pack_counts(sums[inverse[k : k + len(key)]])))
                 k += len(key)
         columns = list(zip(*out, strict=True))
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "n", "bucket", "check", "n_words", "size", "payload"])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "n", "bucket", "check", "size", "payload"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, words, at in text_blocks(batches):
@@ -183,7 +198,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def settle(table: pa.Table, texts: pa.Table) -> pa.Table:
         n, bucket, check = (table.column(c).to_pylist() for c in ("n", "bucket", "check"))
         payload = table.column("payload")
-        if len(texts) != 1 or {*check} != {texts.column("check")[0].as_py()} or len(n) != order * n_buckets:
+        if len(texts) != 1 or {*check} != {texts.column("check")[0].as_py()}:
             raise RuntimeError("a block of the input changed between two reads; give score_documents a table that is read alike each time")
         data = texts.column("payload")[0].as_py()
         sizes = np.frombuffer(data, np.int64, 4)
@@ -194,15 +209,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         at = np.concatenate(([0], np.cumsum(np.frombuffer(lengths, np.int64))))
         answers = sorted((n[i], bucket[i], i) for i in range(len(n)))
         size = table.column("size").to_pylist()
-        counts = [np.concatenate([unpack_counts(payload[i].as_py(), size[i]) for m, _, i in answers if m == k]) for k in range(1, order + 1)]
-        n_words = sum(x for x, m in zip(table.column("n_words").to_pylist(), n, strict=True) if m == 1)
+        counts = [np.concatenate([np.zeros(0, np.int64), *(unpack_counts(payload[i].as_py(), size[i]) for m, _, i in answers if m == k)]) for k in range(1, order + 1)]
         sums, used = block_scores(words, at, order, counts, n_words, alpha)
         length = np.diff(at)
         mean = pa.array(sums / np.maximum(length, 1), mask=length == 0)
         own = pa.ipc.open_stream(ids).read_all().column(0).combine_chunks()
         return pa.table([own, pa.array(length), pa.array(sums), mean, pa.array(used.tolist(), pa.list_(pa.int64()))], names=["doc_id", "n_words", "log_score", "mean_log_score", "by_order"])
 
-    asked = rows.mapInArrow(W.lean(ask), "bucket int, block long, n int, check long, grams binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(W.lean_group(add_up), "block long, n int, bucket int, check long, n_words long, size long, payload binary")
-    kept = rows.mapInArrow(W.lean(keep), "block long, check long, payload binary")
+    asked = dealt(rows.mapInArrow(W.lean(ask), "bucket int, block long, n int, check long, grams binary, counts binary"), "bucket", 3 * total)
+    answers = dealt(asked.groupBy("bucket").applyInArrow(W.lean_group(add_up), "block long, n int, bucket int, check long, size long, payload binary"), "block", 2 * total)
+    kept = dealt(rows.mapInArrow(W.lean(keep), "block long, check long, payload binary"), "block", 2 * total)
     return answers.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(W.lean_group(settle), f"doc_id {id_type}, n_words long, log_score double, mean_log_score double, by_order array<long>")
