@@ -1,10 +1,12 @@
 """Benchmark decontamination: a BM25 index of test items, searched with block-max WAND by every passage.
 
 The test items are the small side, so they are indexed and the corpus streams past.  Items are ordered by
-length class, then cut into shards of bounded size; each shard's index is broadcast and searched by every
-passage of every document (windows of twice the shard's longest item, moving by half a window, so that an
-item of the shard's length stands whole in one of them).  A passage retrieves every item whose BM25 score
-reaches `tau` of the score that the item's own text gets.
+length class, then cut into shards of bounded size; the shards' indexes are broadcast, SCAN_SHARDS for one
+reading of the corpus, and searched by every passage of every document (windows of twice the class's longest
+item, moving by half a window, so that an item of the class stands whole in one of them).  A passage retrieves
+every item whose BM25 score reaches `tau` of the score that the item's own text gets.  The statistics of BM25
+(items, their mean length, the items that hold a term) are those of the whole benchmark, and the windows those
+of the class, so the items retrieved don't depend on the shards.
 
 Items are numbered by rising threshold, so the threshold at a pivot holds for all later items.  A passage
 first takes WAND's pivot test over the whole shard at once, in NumPy: the lists of essential terms are added
@@ -15,6 +17,7 @@ item found in the passage, and the words of its question and of its answer.
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import unique_ids, without
+from .common import checkpoint, named, own_columns, unique_ids, without
 
 K1, B = 1.2, 0.75
 BLOCK = 16
 SHARD_ITEMS, SHARD_WORDS = 20_000, 1_000_000
+SCAN_SHARDS = 4
 LENGTHS = [64 * 4**i for i in range(12)]
 
 
@@ -41,19 +45,30 @@ class Item:
     answer: np.ndarray
 
 
+@dataclass
+class Statistics:
+    """Of all items of the benchmark; df for the terms of one shard, in their order."""
+
+    n_items: int
+    mean_length: float
+    df: np.ndarray
+
+
 class Index:
-    """Postings of one shard, by term: item numbers, weights, and the maxima of blocks of postings."""
+    """Postings of one shard, by term: item numbers, weights, and the maxima of blocks of postings.
+
+    Without statistics the shard is the whole benchmark; longest: the words of the longest item of its class."""
 
-    def __init__(self, items: list[Item], n: int, tau: float):
+    def __init__(self, items: list[Item], n: int, tau: float, statistics: Statistics | None = None, longest: int = 0):
         lengths = np.array([len(i.words) for i in items])
         term = np.concatenate([i.words for i in items])
         item = np.repeat(np.arange(len(items)), lengths)
         self.terms, term = np.unique(term, return_inverse=True)
         pair, tf = np.unique(term.astype(np.int64) * len(items) + item, return_counts=True)
         term, item = pair // len(items), pair % len(items)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / lengths.mean()))
+        of = statistics or Statistics(len(items), float(lengths.mean()), np.bincount(term, minlength=len(self.terms)))
+        idf = np.log(1 + (of.n_items - of.df + 0.5) / (of.df + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / of.mean_length))
         own = np.bincount(item, weights=weight, minlength=len(items))
         order = np.argsort(own, kind="stable")
         number = np.empty_like(order)
@@ -64,7 +79,7 @@ class Index:
         self.item, self.weight = number[item][by], weight[by]
         self.at = np.searchsorted(term[by], np.arange(len(self.terms) + 1))
         self.most = np.maximum.reduceat(self.weight, self.at[:-1])
-        self.stride = int(lengths.max() * 1.25) + 8
+        self.stride = int(max(lengths.max(), longest) * 1.25) + 8
         low = np.cumsum(np.sort(self.most))
         optional = int(np.searchsorted(low, self.theta[0])) if len(low) else 0
         self.essential = np.ones(len(self.terms), dtype=bool)
@@ -178,21 +193,44 @@ def items_of(rows: list[tuple]) -> list[Item]:
     return out
 
 
-def shards(benchmark: DataFrame, id_col: str, question_col: str, answer_col: str | None) -> Iterator[list[Item]]:
-    """Bounded lists of items of one length class; one list at a time is on the driver."""
-    text = F.concat_ws(" ", F.col(question_col), *([F.col(answer_col)] if answer_col else []))
-    length = F.size(F.split(text, " "))
-    size = F.coalesce(*[F.when(length <= n, F.lit(n)) for n in LENGTHS], F.lit(LENGTHS[-1]))
-    rows = benchmark.select(F.col(id_col).alias("id"), F.col(question_col).alias("q"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a"), size.alias("size"))
-    for r in sorted(rows.groupBy("size").agg(F.count("*").alias("n")).collect(), key=lambda r: r["size"]):
-        each = max(1, min(SHARD_ITEMS, SHARD_WORDS // r["size"]))
-        parts = -(-r["n"] // each) if r["n"] > each else 1
+def measured(rows: DataFrame) -> DataFrame:
+    """rows (id, q, a) with n_words and the distinct hashes of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.concatenate((W.hash_of(q or ""), W.hash_of(a or ""))) for q, a in zip(batch.column("q").to_pylist(), batch.column("a").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(w) for w in words], pa.int64()), pa.array([np.unique(w).view(np.int64) for w in words], pa.list_(pa.int64()))], ["id", "q", "a", "n_words", "terms"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, q string, a string, n_words long, terms array<long>")
+
+
+def indexes(benchmark: DataFrame, id_col: str, question_col: str, answer_col: str | None, n: int, tau: float) -> Iterator[Index]:
+    """The index of each shard, a bounded list of items of one length class; one at a time is on the driver."""
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col(id_col).alias("id"), F.col(question_col).alias("q"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a"))
+    found = measured(rows).where("n_words > 0 and id is not null")
+    size = F.coalesce(*[F.when(F.col("n_words") <= m, F.lit(m)) for m in LENGTHS], F.lit(LENGTHS[-1]))
+    found = checkpoint(found.withColumn("size", size))
+    classes = found.groupBy("size").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.max("n_words").alias("longest")).orderBy("size").collect()  # at most one row for each of LENGTHS
+    n_items, n_words = sum(c["n"] for c in classes), sum(c["words"] for c in classes)
+    cuts = [(c, max(1, -(-c["n"] // SHARD_ITEMS), -(-c["words"] // SHARD_WORDS))) for c in classes]
+    holders = None
+    if sum(parts for _, parts in cuts) > 1:
+        holders = checkpoint(found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    for c, parts in cuts:
         for part in range(parts):
-            own = rows.where(F.col("size") == r["size"])
-            own = own.where(F.pmod(F.xxhash64("id", "q"), F.lit(parts)) == part) if parts > 1 else own
-            items = items_of(sorted(((x["id"], x["q"], x["a"]) for x in own.collect()), key=lambda x: (x[0] is None, x[0], x[1] or "")))
-            if items:
-                yield items
+            own = found.where(F.col("size") == c["size"]).where(F.pmod(F.xxhash64("id", "q", "a"), F.lit(parts)) == part)
+            items = items_of(sorted(((x["id"], x["q"], x["a"]) for x in own.select("id", "q", "a").collect()), key=lambda x: (x[0], x[1] or "", x[2] or "")))
+            if not items:
+                continue
+            of = None
+            if holders is not None:
+                terms = np.unique(np.concatenate([i.words for i in items]))
+                asked = spark.createDataFrame(pa.table({"term": terms.view(np.int64)}))  # at most SHARD_WORDS and one item
+                counts = holders.join(F.broadcast(asked), "term").toArrow()
+                order = np.argsort(np.asarray(counts.column("term").combine_chunks()).view(np.uint64))
+                of = Statistics(n_items, n_words / n_items, np.asarray(counts.column("df").combine_chunks())[order])
+            yield Index(items, n, tau, of, c["longest"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, tau: float = 0.6, n: int = 5, least: float = 0.8) -> DataFrame:
@@ -202,34 +240,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     words and of its answer's words.  Of a document's passages the best counts (largest overlap, then first).
     score: BM25 by the score of the item's own text.  Items without words, null ids of items and empty or null
     texts match nothing; items of fewer than n words are one run.  An empty benchmark gives an empty table;
-    repeated rows are matched row by row.  BM25's statistics are those of an item's shard."""
+    repeated rows are matched row by row."""
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     out_schema = f"doc_id {id_type}, item_id {item_type.simpleString()}, start_word long, score double, overlap double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col(id_col), F.col(text_col))
     context = docs.sparkSession.sparkContext
     found = None
 
-    def searcher(handle):
+    def searcher(handles):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_type
 
-            index, item_arrow = handle.value, to_arrow_type(item_type)
+            item_arrow = to_arrow_type(item_type)
             for batch in batches:
                 for lo, hi, data, offsets in W.blocks(batch.column(1)):
-                    best: dict[tuple[int, int], tuple] = {}
-                    for doc, number, start, score, shares in leaks(index, *W.word_hashes(data, offsets), least):
-                        rank = (-shares[0], start)
-                        if (doc, number) not in best or rank < best[doc, number][0]:
-                            best[doc, number] = (rank, start, score, *shares)
-                    pairs = sorted(best)
-                    columns = [list(c) for c in zip(*[best[p][1:] for p in pairs], strict=True)] or [[]] * 5
-                    ids = batch.column(0).slice(lo, hi - lo).take(pa.array([d for d, _ in pairs], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([index.items[i].key for _, i in pairs], item_arrow), pa.array(columns[0], pa.int64()), *[pa.array(c, pa.float64()) for c in columns[1:]]], ["doc_id", "item_id", "start_word", "score", "overlap", "question_overlap", "answer_overlap"])
+                    hashed, at = W.word_hashes(data, offsets)
+                    for handle in handles:
+                        index, best = handle.value, {}
+                        for doc, number, start, score, shares in leaks(index, hashed, at, least):
+                            rank = (-shares[0], start)
+                            if (doc, number) not in best or rank < best[doc, number][0]:
+                                best[doc, number] = (rank, start, score, *shares)
+                        pairs = sorted(best)
+                        columns = [list(c) for c in zip(*[best[p][1:] for p in pairs], strict=True)] or [[]] * 5
+                        ids = batch.column(0).slice(lo, hi - lo).take(pa.array([d for d, _ in pairs], pa.int64()))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([index.items[i].key for _, i in pairs], item_arrow), pa.array(columns[0], pa.int64()), *[pa.array(c, pa.float64()) for c in columns[1:]]], ["doc_id", "item_id", "start_word", "score", "overlap", "question_overlap", "answer_overlap"])
 
         return run
 
-    for items in shards(benchmark, item_col, question_col, answer_col):
-        part = rows.mapInArrow(W.lean(searcher(context.broadcast(Index(items, n, tau)))), out_schema)
+    for some in itertools.batched((context.broadcast(i) for i in indexes(benchmark, item_col, question_col, answer_col, n, tau)), SCAN_SHARDS):
+        part = rows.mapInArrow(W.lean(searcher(some)), out_schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], out_schema)
 
@@ -264,6 +304,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """docs, in its own columns, less the documents that hold a passage of the benchmark.
 
     Rows with missing or repeated ids are told apart by their texts."""
-    named, key = unique_ids(docs, id_col, text_col)
-    found = find_leaks(named, benchmark, key, text_col, **options)
-    return without(named, found.select("doc_id").distinct(), [(F.col(key), "doc_id")]).select(*docs.columns)
+    rows, key = unique_ids(docs, id_col, text_col)
+    found = find_leaks(rows, benchmark, key, text_col, **options)
+    return without(rows, found.select("doc_id").distinct(), [(named(key), "doc_id")]).select(*own_columns(docs))
