@@ -11,8 +11,8 @@
 Phrases overlap by what a stretch needs to be whole, so no stretch is lost between two, and none is moved
 more than twice.  The stretches of one trigger are ordered by 64-bit hashes and then place, which stands for
 the suffix arrays of dictionary and parse: only equality of the first `length` bytes and the order of places
-matter here.  Phrases that a third of all texts hold are one entry for each segment of the input, and
-triggers with very many phrases in one segment are dealt out stretch by stretch.
+matter here.  Phrases that a third of all texts hold are one entry for each segment of the input.  Triggers
+with very many phrases, in one segment (MANY) or among all (CROWD), are dealt out stretch by stretch.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .common import dealt
 from .language_model import pack48, unpack48
 
 CORE = 32
@@ -34,6 +35,7 @@ SEGMENT_BYTES = 12 << 20
 BUCKET_BYTES = 24 << 20
 GROUP_BYTES = 4 << 20
 MANY = 64
+CROWD = 256
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -56,7 +58,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     place = np.arange(n - CORE + 1)
     hashed = span_hashes(data, place, place + CORE)
-    mask = np.uint64((1 << int(n).bit_length()) - 1)
+    mask = np.uint64((1 << 32) - 1)  # the same bits of the hash count wherever a stretch stands
     least = sliding_least((hashed & ~mask) | place.astype(np.uint64), length - CORE + 1) & mask
     cut = np.zeros(n + 1, dtype=np.int64)
     np.add.at(cut, np.maximum(offsets[:-1], offsets[1:] - length + 1), 1)
@@ -173,11 +175,10 @@ def dictionary(bits: int, n_blocks: int):
         doc, place, count, marked = column_bytes(table, "doc", "i8"), column_bytes(table, "place", "u4"), column_bytes(table, "count", "u2"), column_bytes(table, "marked", "u1")
         some = np.flatnonzero((equal_counts(core) > 1) | (marked > 0))
         core, whole, doc, place, count, marked = (x[some] for x in (core, whole, doc, place, count, marked))
-        many = np.unique(core[marked > 0])
         first = first_of_equals(W.mix(core) + W.mix(whole + np.uint64(77)), doc, place)
         distinct = np.zeros(len(core), dtype=np.int64)
         distinct[first] = equal_counts(core[first])
-        is_many = np.isin(core, many)
+        is_many = np.isin(core, core[(marked > 0) | (distinct > CROWD)])
         go = ~first | (distinct > 1) | is_many
         # The bucket's number takes part, as its bits were cut off.
         bucket = W.mix(np.full(1, table.column("bucket")[0].as_py(), dtype=np.uint64))
@@ -312,8 +313,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     earlier in the same text.  Texts are UTF-8; null is empty; a text under `length` bytes loses nothing.
     Rows that repeat id and text are one document; of rows that repeat an id with other texts, the one with
     the smaller SHA-256 comes first; null ids come last.  Other columns are not looked at."""
-    if length <= CORE:
-        raise ValueError(f"length must be over {CORE}")
+    if not CORE < length < CORE + (1 << 16) - 1:
+        raise ValueError(f"length must be over {CORE} and under {CORE + (1 << 16) - 1}")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     plain = isinstance(docs.schema[id_col].dataType, T.LongType | T.IntegerType | T.ShortType)
@@ -338,9 +339,9 @@ def cut(rows: DataFrame, total: int, length: int) -> DataFrame:
     bits = min(24, int(wanted - 1).bit_length())
     n_blocks = max(64, total // GROUP_BYTES)
     rows = rows.where("doc is not null")
-    texts = rows.select(F.pmod(F.xxhash64("doc"), F.lit(n_blocks)).alias("block"), "doc", "text").groupBy("block")
+    texts = dealt(rows.select(F.pmod(F.xxhash64("doc"), F.lit(n_blocks)).alias("block"), "doc", "text"), "block", 2 * total).groupBy("block")
     packed = lambda *columns: ", ".join(f"{c} binary" for c in columns)
-    settled = parse(rows, length, bits).groupBy("bucket").applyInArrow(W.lean_group(dictionary(bits, n_blocks)), f"block long, {packed('doc', 'place', 'count', 'core', 'known')}")
-    stretches = settled.groupBy("block").cogroup(texts).applyInArrow(W.lean_group(unsettled(length, bits)), f"bucket int, {packed(*STRETCHES)}")
-    repeats = stretches.groupBy("bucket").applyInArrow(W.lean_group(order_stretches(n_blocks)), f"block long, {packed('doc', 'place', 'count')}")
-    return repeats.groupBy("block").cogroup(texts).applyInArrow(W.lean_group(cut_texts(length)), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    settled = dealt(parse(rows, length, bits), "bucket", 2 * total).groupBy("bucket").applyInArrow(W.lean_group(dictionary(bits, n_blocks)), f"block long, {packed('doc', 'place', 'count', 'core', 'known')}")
+    stretches = dealt(settled, "block", 2 * total).groupBy("block").cogroup(texts).applyInArrow(W.lean_group(unsettled(length, bits)), f"bucket int, {packed(*STRETCHES)}")
+    repeats = dealt(stretches, "bucket", 2 * total).groupBy("bucket").applyInArrow(W.lean_group(order_stretches(n_blocks)), f"block long, {packed('doc', 'place', 'count')}")
+    return dealt(repeats, "block", 2 * total).groupBy("block").cogroup(texts).applyInArrow(W.lean_group(cut_texts(length)), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
