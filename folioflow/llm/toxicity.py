@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .common import fresh, named, own_columns
 
 PREFIXES = (4, 5, 6)
 GATE_BITS = 22
+RANK = 6
 
 
 @dataclass
@@ -64,7 +66,7 @@ def choose(doc: np.ndarray, term: np.ndarray, y: np.ndarray, most: int, least_do
     return np.sort(ids[good[np.lexsort((ids[good], -strength[good]))][:most]])
 
 
-def fit_machine(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, most: int, rank: int = 6, rounds: int = 150, rate: float = 0.05, shrink: float = 1e-4) -> Model:
+def fit_machine(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, most: int, rank: int = RANK, rounds: int = 150, rate: float = 0.05, shrink: float = 1e-4) -> Model:
     """Full-batch Adam on the weighted logistic loss; the same sample gives the same model."""
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     term = np.concatenate([*rows, np.zeros(0, np.uint32)])
@@ -100,10 +102,10 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, most:
     return Model(ids, params[1].astype(np.float32), params[2].astype(np.float32), float(params[0][0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 12_000, terms: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 12_000, terms: int = 20_000, rank: int = RANK) -> Model:
     """labels: (id, 0/1).  Rows with a null id or label are not used; of repeated labels of an id the largest counts.
 
-    Without rows of both labels the model is a constant."""
+    rank: the length of the terms' vectors; 0 leaves a linear model.  Without rows of both labels the model is a constant."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64(F.col("id").cast("string")), F.col("id")]
@@ -127,12 +129,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows += [np.frombuffer(x, np.uint32) for x in batch.column("terms").to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(ids[i].encode()), ids[i], rows[i].tobytes()))
         y = np.array([ys[i] for i in order], dtype=np.float64)
-        model = calibrated([rows[i] for i in order], y, np.where(y == 1, weights[1], weights[0]), terms)
+        model = calibrated([rows[i] for i in order], y, np.where(y == 1, weights[1], weights[0]), terms, rank)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.__dict__)], pa.binary())], ["model"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     found = texts.mapInArrow(W.lean(featurise), f"id {id_type}, y int, terms binary").repartition(1).mapInArrow(W.lean(train), "model binary").first()
-    return Model(**pickle.loads(found[0])) if found else calibrated([], np.zeros(0), np.zeros(0), terms)  # without rows there may be no task
+    return Model(**pickle.loads(found[0])) if found else calibrated([], np.zeros(0), np.zeros(0), terms, rank)  # without rows there may be no task
 
 
 def margins(model: Model, term: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -154,14 +156,14 @@ def probabilities(model: Model, data: np.ndarray, offsets: np.ndarray, gate: np.
     return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def calibrated(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, most: int, least: int = 20) -> Model:
+def calibrated(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, most: int, rank: int = RANK, least: int = 20) -> Model:
     """Every fifth row sets where the odds are even; the others are learnt from.  With under `least` toxic or other rows in that fifth, all are learnt from."""
     fifth = np.arange(len(y)) % 5 == 4
     n1, n0 = y[fifth].sum(), (1 - y[fifth]).sum()
     if min(n1, n0) < least:
-        return fit_machine(rows, y, weight, most)
+        return fit_machine(rows, y, weight, most, rank)
     learn, rest = np.flatnonzero(~fifth), np.flatnonzero(fifth)
-    model = fit_machine([rows[i] for i in learn], y[learn], weight[learn], most)
+    model = fit_machine([rows[i] for i in learn], y[learn], weight[learn], most, rank)
     seen = [rows[i] for i in rest]
     margin = margins(model, np.concatenate(seen), np.repeat(np.arange(len(rest)), [len(r) for r in seen]), len(rest))
     order = np.argsort(margin, kind="stable")
@@ -179,8 +181,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
     A null or empty text scores as a text without terms.  Rows are scored alone, so repeated rows score alike."""
     names = [c for c in docs.columns if c != score_col]
-    docs = docs.select(*names)
-    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
+    rows = docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(names)])  # names with dots can't be asked of a frame
+    schema = T.StructType([*docs.select(*[named(c) for c in names]).schema.fields, T.StructField(score_col, T.DoubleType())])
     position = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,13 +193,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
                 out = probabilities(model, data, offsets, gate)
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns], pa.array(out)], [*names, score_col])
 
-    return docs.mapInArrow(W.lean(run), schema)
+    return rows.mapInArrow(W.lean(run), schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
     """docs, in its own columns, less the rows that score `threshold` or more."""
-    scored = score(docs, fit(docs, labels, id_col, text_col, **options), text_col, "__toxicity_score")
-    return scored.where(F.col("__toxicity_score") < threshold).select(*docs.columns)
+    mark = fresh(docs, "__toxicity_score")
+    scored = score(docs, fit(docs, labels, id_col, text_col, **options), text_col, mark)
+    return scored.where(F.col(mark) < threshold).select(*own_columns(docs))
 
 
 def held_out(id_col: str = "doc_id"):
