@@ -48,6 +48,6 @@ def clashing(odd):
 
     more = odd.where("doc_id in (1, 3, 14)").unionByName(odd.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(odd.where("doc_id = 9").withColumn("doc_id", F.lit(3).cast("long")))
     both = odd.unionByName(more)
-    for name in ("kept", "score", "slot", "shard", "bucket", "size", "sid", "toxicity", "__class", "__text", "node", "runs", "n_words", "label"):
+    for name in ("kept", "score", "slot", "shard", "bucket", "size", "sid", "toxicity", "__class", "__text", "node", "runs", "n_words", "label", "__at", "__slot", "__shard", "__sha", "__id", "__row_name", "__toxicity_score", "__drop_0", "a.b", "size"):
         both = both.withColumn(name, F.lit(7))
     return both

@@ -95,6 +95,28 @@ def test_jaccard_recall_by_runs():
     assert jaccard_join.runs_needed(0.9) < jaccard_join.runs_needed(0.999) < 30
 
 
+def test_jaccard_recall_near_the_threshold(spark, monkeypatch):
+    """Pairs of a similarity just over 0.8 among unlike sets, with nodes that are split down to the last level."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    rows = []
+    for i in range(400):
+        base = [f"p{i}w{j}" for j in range(100)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:90], *(f"q{i}w{j}" for j in range(10))]))]
+    expected = exact_links(rows)
+    got = {r["doc_id"]: r["class_id"] for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [i for i, (c, n, _) in expected.items() if n and c != i]
+    assert len(linked) == 400 and sum(got[i] == expected[i][0] for i in linked) >= 0.99 * len(linked)
+
+
+def test_jaccard_hot_node(spark):
+    """A third of the rows are near copies of one text; null ids and empty texts beside them."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:55], f"x{i}"])) for i in range(1200)] + [(2000 + i, " ".join(f"u{i}v{j}" for j in range(12))) for i in range(2400)] + [(None, "")] * 50
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r["class_size"] for r in got if r["doc_id"] is not None and r["doc_id"] < 1200} == {1200} and {r["n_links"] for r in got if r["doc_id"] is not None and r["doc_id"] < 1200} == {1199}
+    assert {r["class_size"] for r in got if r["doc_id"] is None or r["doc_id"] >= 2000} == {1}
+
+
 def test_jaccard_odd_tables(clashing, empty):
     assert jaccard_join.jaccard_join(empty).count() == 0
     assert jaccard_join.jaccard_join(clashing).count() == clashing.count()
@@ -139,6 +161,21 @@ def test_repeats_with_many_phrases_of_a_trigger(spark, monkeypatch):
     assert digest(repeats.remove_repeats(df)) == removed(rows)
 
 
+def test_repeats_have_one_trigger_in_blocks_of_any_size(spark, monkeypatch):
+    """The same stretches in short texts and beside a very long one, whose block is larger; many phrases of one trigger in all."""
+    monkeypatch.setattr(repeats, "CROWD", 5)
+    r = __import__("random").Random(1)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    shared = [" ".join(word() for _ in range(40)) for _ in range(12)]
+    rows = [(i, " ".join([word(), r.choice(shared), word(), r.choice(shared)])) for i in range(60)]
+    rows += [(100 + i, " ".join([*(word() for _ in range(60_000)), *shared])) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert digest(repeats.remove_repeats(df)) == removed(rows)
+    for length in (32, 70_000):
+        with pytest.raises(ValueError):
+            repeats.remove_repeats(df, length=length)
+
+
 def test_repeats_odd_tables(spark, clashing, empty):
     assert repeats.remove_repeats(empty).count() == 0
     rows = repeats.remove_repeats(clashing).collect()
