@@ -2,14 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last
 return the columns of documents.  run() writes each stage's rows as Parquet in the shared checkpoint folder
-and gives them to the next, so a lost executor costs the tasks of one stage and nothing is computed twice."""
+and gives them to the next, so a lost executor costs the tasks of one stage and nothing is computed twice.  Folders
+that no stage reads any more are deleted; the last one, which the result reads, stays."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
-from folioflow.llm.common import scratch_folder, table
+from folioflow.llm.common import remove, scratch_folder, table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), scratch_folder(spark)
+    docs, folder, before = table(spark, sf_dir, "documents"), scratch_folder(spark), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)  # the stage that read it is written
+        before = path
     return docs
