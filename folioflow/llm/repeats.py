@@ -36,6 +36,7 @@ BUCKET_BYTES = 24 << 20
 GROUP_BYTES = 4 << 20
 MANY = 64
 CROWD = 256
+PIECE_BYTES = 1 << 20
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -70,7 +71,19 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     new = np.flatnonzero(np.concatenate(([True], (trigger[1:] != trigger[:-1]) | (inside[1:] != inside[:-1] + 1))))
     first, count = inside[new], np.diff(np.concatenate((new, [len(inside)])))
     text = np.searchsorted(offsets, first, "right") - 1
-    return hashed[trigger[new]], W.mix(span_hashes(data, first, first + count - 1 + length) + count.astype(np.uint64)), text, first - offsets[text], count
+    # A trigger's hash is the least of many, so it is mixed again before its leading bits choose a bucket.
+    return W.mix(hashed[trigger[new]]), W.mix(span_hashes(data, first, first + count - 1 + length) + count.astype(np.uint64)), text, first - offsets[text], count
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """phrases() of a block; a text over PIECE_BYTES alone in its block is taken piece by piece, so that memory stays bounded."""
+    if len(data) <= PIECE_BYTES or len(offsets) > 2:
+        yield phrases(data, offsets, length)
+        return
+    for a in range(0, len(data) - length + 1, PIECE_BYTES):
+        part = data[a : a + PIECE_BYTES + length - 1]
+        core, whole, text, place, count = phrases(part, np.array([0, len(part)]), length)
+        yield core, whole, text, place + a, count
 
 
 def first_of_equals(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -133,9 +146,9 @@ def parse(docs: DataFrame, length: int, bits: int) -> DataFrame:
 
         for batch in batches:
             for lo, hi, data, offsets in W.blocks(batch.column(1)):
-                core, whole, text, place, count = phrases(data, offsets, length)
                 ids = np.asarray(batch.column(0).slice(lo, hi - lo))
-                held.append((core, whole, ids[text], place, count))
+                for core, whole, text, place, count in pieces(data, offsets, length):
+                    held.append((core, whole, ids[text], place, count))
                 size += len(data)
                 if size >= SEGMENT_BYTES:
                     yield from flush()

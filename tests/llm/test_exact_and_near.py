@@ -163,7 +163,8 @@ def test_repeats_with_many_phrases_of_a_trigger(spark, monkeypatch):
 
 def test_repeats_have_one_trigger_in_blocks_of_any_size(spark, monkeypatch):
     """The same stretches in short texts and beside a very long one, whose block is larger; many phrases of one trigger in all."""
-    monkeypatch.setattr(repeats, "CROWD", 5)
+    for name, value in (("CROWD", 5), ("PIECE_BYTES", 30_000)):
+        monkeypatch.setattr(repeats, name, value)
     r = __import__("random").Random(1)
     word = lambda: "".join(r.choices("abcdefgh", k=5))
     shared = [" ".join(word() for _ in range(40)) for _ in range(12)]
