@@ -56,9 +56,9 @@ def fresh(df: DataFrame, name: str) -> str:
 def join_counted(rows: DataFrame, counted: DataFrame, key: str, spread: str, n_rows: int) -> DataFrame:
     """rows joined with counted (key, size, ...), whose size is the rows of a key.
 
-    Keys of at least 1/256 of n_rows are at most 256 and go by broadcast; their rows are dealt by `spread` meanwhile, so no
+    Keys of at least 1/256 of n_rows (and 100 rows) are at most 256 and go by broadcast; their rows are dealt by `spread` meanwhile, so no
     task gets all rows of a frequent key."""
-    hot_from = max(1000, n_rows // 256)
+    hot_from = max(100, n_rows // 256)
     values = [c for c in counted.columns if c != key]
     hot = counted.where(F.col("size") >= hot_from).select(F.col(key).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in values])
     cold = counted.where(F.col("size") < hot_from).select(F.col(key).alias("__cold"), *[F.col(c).alias(f"__cold_{c}") for c in values])

@@ -12,7 +12,8 @@
 4. The links found (by a cautious estimate) join sets into candidate groups.  In each group the full sets are
    read once and compared exactly: that gives the numbers of links and the final classes.
 
-No pair is ever emitted: a node yields at most one link for each of its sets, a group one for each set.
+No pair is ever emitted: a node yields at most one link for each of its sets, a group one for each set (and tile).
+Large nodes and groups are compared with their first set; only sets that are not close to it meet all others.
 """
 
 from __future__ import annotations
@@ -215,6 +216,30 @@ def compare_nodes(least_share: float) -> Callable:
     return grouped(["node"], work)
 
 
+def beside_first(big: DataFrame, cautious: float) -> tuple[DataFrame, DataFrame]:
+    """((a, b): links of a node's sets to its first set, (node, sid, sketch): the tiles in which what is left meets all).
+
+    Links need only join a node's sets, so sets that the first one is like are done with it: a node of near copies is
+    linked in one pass.  The others are dealt to tiles with every set of the node, each at most 2 * TILE rows."""
+    reps = big.groupBy("node").agg(F.min_by("sketch", "sid").alias("rep_sketch"), F.min("sid").alias("rep"), F.count("*").alias("size"))
+    met = join_counted(big.select("node", "sid", "sketch"), reps, "node", "sid", big.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = (matrix_of(batch.column("sketch"), np.uint16) == matrix_of(batch.column("rep_sketch"), np.uint16)).sum(1) >= cautious * FUNCTIONS
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("sid"), batch.column("sketch"), batch.column("rep"), batch.column("size"), pa.array(alike)], ["node", "sid", "sketch", "rep", "size", "alike"])
+
+    placed = checkpoint(met.mapInArrow(W.lean(run), "node long, sid long, sketch binary, rep long, size long, alike boolean"))
+    first = placed.where("alike and sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
+    left = placed.where("not alike").groupBy("node").agg(F.count("*").alias("size"))
+    dealt = placed.select("node", "sid", "sketch", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"), "alike")
+    dealt = join_counted(dealt, left, "node", "sid", placed.count()).withColumn("left_blocks", F.ceil(F.col("size") / TILE).cast("int"))
+    mine = lambda blocks, salt: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(blocks)).cast("int")
+    as_member = dealt.select("node", mine("blocks", 3).alias("block"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("left_block"), "sid", "sketch")
+    as_left = dealt.where("not alike").select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), mine("left_blocks", 7).alias("left_block"), "sid", "sketch")
+    return first, as_member.unionByName(as_left).select(F.xxhash64("node", "block", "left_block").alias("node"), "sid", "sketch")
+
+
 def candidate_links(sets: DataFrame, n_sets: int, similarity: float, recall: float, cautious: float) -> DataFrame:
     """(a, b): links that join, over any number of steps, all pairs of sets that a shared node shows to be alike."""
     spark = sets.sparkSession
@@ -228,11 +253,8 @@ def candidate_links(sets: DataFrame, n_sets: int, similarity: float, recall: flo
         ready = level.where(F.col("size") <= SMALL).select("node", "sid", "sketch")
         more = not big.isEmpty()
         if depth == DEPTH and more:
-            # Tiles: the node's sets are dealt to blocks, and each pair of blocks is one task's group.
-            blocks = F.ceil(F.col("size") / TILE).cast("int")
-            mine = F.pmod(F.xxhash64("sid", F.lit(3)), blocks).cast("int")
-            dealt = big.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            tiles = dealt.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "sid", "sketch")
+            first, tiles = beside_first(big, cautious)
+            found = first if found is None else found.unionByName(first)
             ready = ready.unionByName(tiles)
         parts = partitions_for(spark, n_sets * 4, 100_000)
         links = ready.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(W.lean(compare_nodes(cautious)), "a long, b long")
@@ -243,45 +265,124 @@ def candidate_links(sets: DataFrame, n_sets: int, similarity: float, recall: flo
     return found.distinct()
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of the one list shares with each of the other, in slices of the shingles."""
+    value, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in [*left, *right]])
+    by = np.argsort(column, kind="stable")
+    column, owner = column[by], owner[by]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    width = max(256, 2_000_000 // (len(left) + len(right)))
+    for k in range(0, len(value), width):
+        lo, hi = np.searchsorted(column, (k, k + width))
+        matrix = np.zeros((len(left) + len(right), min(width, len(value) - k)), dtype=np.float32)
+        matrix[owner[lo:hi], column[lo:hi] - k] = 1
+        out += matrix[: len(left)] @ matrix[len(left) :].T
+    return out
+
+
+def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
+    shared = shared_counts(left, right)
+    n, m = np.array([len(s) for s in left]), np.array([len(s) for s in right])
+    return shared >= similarity * (n[:, None] + m[None, :] - shared) - 1e-4
+
+
+def sets_of(column: pa.ChunkedArray, rows: np.ndarray) -> list[np.ndarray]:
+    return [np.frombuffer(column[int(r)].as_py(), np.uint64) for r in rows]
+
+
+def runs_of(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal keys."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    starts = np.flatnonzero(new)
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(new)], strict=True))
+
+
+RESULT = ["sid", "n_doc_links", "n_set_links", "least"]
+
+
 def compare_groups(similarity: float) -> Callable:
-    """Exact comparison within (group, first block, second block); of two blocks only pairs across them."""
+    """Exact comparison of all sets of a group of at most TILE."""
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        group, left, right = (np.asarray(table.column(c)) for c in ("component", "left", "right"))
-        sid, block, copies = (np.asarray(table.column(c)) for c in ("sid", "block", "copies"))
-        packed = table.column("shingles").combine_chunks()
-        order = np.lexsort((sid, right, left, group))
-        bounds = np.flatnonzero(np.concatenate(([True], (group[order][1:] != group[order][:-1]) | (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1]), [True])))
+        group, sid, copies = (np.asarray(table.column(c)) for c in ("component", "sid", "copies"))
+        packed = table.column("shingles")
+        order = np.lexsort((sid, group))
         out: list[list[np.ndarray]] = [[], [], [], []]
-        for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        for start, end in runs_of(group[order]):
             rows = order[start:end]
             rows = rows[np.concatenate(([True], sid[rows][1:] != sid[rows][:-1]))]  # a repeated row
-            sets = [np.frombuffer(packed[int(r)].as_py(), np.uint64) for r in rows]
-            n = np.array([len(s) for s in sets])
-            value, column = np.unique(np.concatenate(sets), return_inverse=True)
-            owner = np.repeat(np.arange(len(rows)), n)
-            shared = np.zeros((len(rows), len(rows)), dtype=np.float32)
-            # columns are handled in slices, so the incidence matrix stays small whatever the texts' length
-            by = np.argsort(column, kind="stable")
-            column, owner = column[by], owner[by]
-            width = max(256, 2_000_000 // max(len(rows), 1))
-            for k in range(0, len(value), width):
-                lo, hi = np.searchsorted(column, (k, k + width))
-                matrix = np.zeros((len(rows), min(width, len(value) - k)), dtype=np.float32)
-                matrix[owner[lo:hi], column[lo:hi] - k] = 1
-                shared += matrix @ matrix.T
-            linked = shared >= similarity * (n[:, None] + n[None, :] - shared) - 1e-4
+            sets = sets_of(packed, rows)
+            linked = linked_pairs(sets, sets, similarity)
             np.fill_diagonal(linked, False)
-            if left[rows[0]] != right[rows[0]]:
-                linked &= block[rows][:, None] != block[rows][None, :]
-            label = least_labels(linked)
             out[0].append(sid[rows])
             out[1].append(linked @ copies[rows].astype(np.int64))
             out[2].append(linked.sum(1))
-            out[3].append(sid[rows][label])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["sid", "n_doc_links", "n_set_links", "least"])
+            out[3].append(sid[rows][least_labels(linked)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], RESULT)
+
+    return grouped(["component"], work)
+
+
+def around_first(large: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(results of the tight sets among themselves, tiles of the other sets with all sets) of groups over TILE sets.
+
+    1 - similarity is a metric, so two sets that are each within half of the allowed distance of the group's first set
+    are linked: they are counted, not compared.  Only the others meet every set of the group, in tiles of 2 * TILE rows.
+    A group of near copies costs one comparison a set."""
+    n = large.count()
+    reps = large.groupBy("component").agg(F.min_by("shingles", "sid").alias("first"), F.min("sid").alias("rep"), F.count("*").alias("size"))
+    met = join_counted(large, reps, "component", "sid", n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tight = []
+            for own, first in zip(batch.column("shingles").to_pylist(), batch.column("first").to_pylist(), strict=True):
+                a, b = np.frombuffer(own, np.uint64), np.frombuffer(first, np.uint64)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                tight.append(shared >= (1 + similarity) / 2 * (len(a) + len(b) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("component", "sid", "copies", "blocks", "shingles", "rep")], pa.array(tight, pa.bool_())], ["component", "sid", "copies", "blocks", "shingles", "rep", "tight"])
+
+    placed = checkpoint(met.mapInArrow(W.lean(run), "component long, sid long, copies long, blocks int, shingles binary, rep long, tight boolean"))
+    sums = placed.groupBy("component").agg(F.count("*").alias("size"), F.sum(F.col("tight").cast("long")).alias("n_tight"), F.sum(F.when(F.col("tight"), F.col("copies")).otherwise(0)).alias("tight_copies"))
+    known = join_counted(placed, sums, "component", "sid", n).withColumn("left_blocks", F.ceil((F.col("size") - F.col("n_tight")) / TILE).cast("int"))
+    among = known.where("tight").select("sid", (F.col("tight_copies") - F.col("copies")).alias("n_doc_links"), (F.col("n_tight") - 1).alias("n_set_links"), F.col("rep").alias("least"))
+    mine = lambda blocks, salt: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(blocks)).cast("int")
+    open_ = known.where("left_blocks > 0")
+    as_member = open_.select("component", mine("blocks", 5).alias("block"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("left_block"), F.lit(False).alias("is_left"), "tight", "sid", "copies", "shingles")
+    as_left = open_.where("not tight").select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), mine("left_blocks", 9).alias("left_block"), F.lit(True).alias("is_left"), "tight", "sid", "copies", "shingles")
+    return among, as_member.unionByName(as_left)
+
+
+def compare_tiles(similarity: float) -> Callable:
+    """Exact comparison of a tile's left sets with its members.  Left sets count all they meet, tight members the left sets."""
 
-    return grouped(["component", "left", "right"], work)
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        group, block, left_block = (np.asarray(table.column(c)) for c in ("component", "block", "left_block"))
+        sid, copies, is_left, tight = (np.asarray(table.column(c)) for c in ("sid", "copies", "is_left", "tight"))
+        packed = table.column("shingles")
+        order = np.lexsort((sid, is_left, left_block, block, group))
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for start, end in runs_of(group[order], block[order], left_block[order]):
+            rows = order[start:end]
+            a, b = rows[is_left[rows]], rows[~is_left[rows]]
+            if not len(a) or not len(b):
+                continue
+            linked = linked_pairs(sets_of(packed, a), sets_of(packed, b), similarity) & (sid[a][:, None] != sid[b][None, :])
+            both = np.zeros((len(rows), len(rows)), dtype=bool)
+            both[: len(a), len(a) :], both[len(a) :, : len(a)] = linked, linked.T
+            name = sid[np.concatenate((a, b))][least_labels(both)]
+            counts = tight[b][:, None] & linked.T
+            for own, pairs, other, least in ((a, linked, b, name[: len(a)]), (b, counts, a, name[len(a) :])):
+                out[0].append(sid[own])
+                out[1].append(pairs @ copies[other].astype(np.int64))
+                out[2].append(pairs.sum(1))
+                out[3].append(least)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], RESULT)
+
+    return grouped(["component", "block", "left_block"], work)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.999, cautious: float = 0.55) -> DataFrame:
@@ -303,12 +404,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_members = members.count()
 
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    placed = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("sid", F.lit(5)), F.col("blocks")).cast("int"))
-    wanted = placed.where("first_id is not null")
-    wanted = F.broadcast(wanted) if n_members <= BROADCAST_ROWS else wanted
-    texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(wanted, "first_id").select("component", "sid", "copies", "blocks", "block", "text")
-    nameless = placed.where("first_id is null").select("component", "sid", "copies", "blocks", "block")
-
+    placed = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int"))
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in W.blocks(batch.column("text")):
@@ -316,7 +412,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part = batch.slice(lo, hi - lo)
                 same = np.flatnonzero(set_id(found, at) == np.asarray(part.column("sid")))  # another row may repeat the id
                 take = pa.array(same)
-                yield pa.RecordBatch.from_arrays([*[part.column(c).take(take) for c in ("component", "sid", "copies", "blocks", "block")], pa.array([found[at[i] : at[i + 1]].tobytes() for i in same], pa.binary())], ["component", "sid", "copies", "blocks", "block", "shingles"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(take) for c in ("component", "sid", "copies", "blocks")], pa.array([found[at[i] : at[i + 1]].tobytes() for i in same], pa.binary())], ["component", "sid", "copies", "blocks", "shingles"])
 
     def reread_nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,14 +420,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found, at = shingle_sets(data, offsets, n)
                 yield pa.RecordBatch.from_arrays([pa.array(set_id(found, at)), pa.array([found[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["sid", "shingles"])
 
-    full = texts.mapInArrow(W.lean(reread), "component long, sid long, copies long, blocks int, block int, shingles binary")
-    if not nameless.isEmpty():  # sets that no id leads to are found by their numbers
+    def full(of: DataFrame) -> DataFrame:
+        """The sets of members, read again from the rows that hold them; a set may come more than once."""
+        send = F.broadcast if n_members <= BROADCAST_ROWS else (lambda df: df)
+        texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(send(of.where("first_id is not null")), "first_id").select("component", "sid", "copies", "blocks", "text")
+        found = texts.mapInArrow(W.lean(reread), "component long, sid long, copies long, blocks int, shingles binary")
+        nameless = of.where("first_id is null").select("component", "sid", "copies", "blocks")
+        if nameless.isEmpty():
+            return found
+        # sets that no id leads to are found by their numbers
         own = docs.where(F.col(id_col).isNull()).select(F.col(text_col).alias("text")).mapInArrow(W.lean(reread_nameless), "sid long, shingles binary")
-        few = F.broadcast(nameless) if n_members <= BROADCAST_ROWS else nameless
-        full = full.unionByName(own.join(few, "sid").dropDuplicates(["sid"]).select(*full.columns))
-    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "sid", "copies", "block", "shingles")
+        return found.unionByName(own.join(send(nameless), "sid").dropDuplicates(["sid"]).select(*found.columns))
+
     parts = partitions_for(spark, n_members, 5_000)
-    exact = checkpoint(dealt.repartition(parts, "component", "left", "right").sortWithinPartitions("component", "left", "right").mapInArrow(W.lean(compare_groups(similarity)), "sid long, n_doc_links long, n_set_links long, least long"))
+    result = "sid long, n_doc_links long, n_set_links long, least long"
+    small = full(placed.where("blocks = 1")).repartition(parts, "component").sortWithinPartitions("component")
+    compared = small.mapInArrow(W.lean(compare_groups(similarity)), result)
+    if not sizes.where(F.col("size") > TILE).isEmpty():
+        tight, tiles = around_first(checkpoint(full(placed.where("blocks > 1")).dropDuplicates(["sid"])), similarity)
+        compared = compared.unionByName(tight).unionByName(tiles.repartition(parts, "component", "block", "left_block").sortWithinPartitions("component", "block", "left_block").mapInArrow(W.lean(compare_tiles(similarity)), result))
+    exact = checkpoint(compared)
 
     links = exact.groupBy("sid").agg(F.sum("n_doc_links").alias("n_doc_links"), F.sum("n_set_links").alias("n_set_links"))
     classes = components(exact.where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b")))

@@ -91,6 +91,22 @@ def test_jaccard_large_group_in_tiles(spark, monkeypatch):
     assert got == exact_links(rows)
 
 
+def test_jaccard_large_group_of_tight_and_loose_sets(spark, monkeypatch):
+    """Near copies close to the first set, others farther off that link to some of them only, copies, and a null id; all larger than a tile."""
+    for name, value in (("SMALL", 8), ("TILE", 16)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    r = __import__("random").Random(8)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(120):
+        own = list(base)
+        for k in r.sample(range(0, 200, 10), r.choice([0, 1, 1, 2, 3, 4, 6])):
+            own[k] = f"edit{i % 50}x{k}"
+        rows.append((i, " ".join(own)))
+    rows += [(200 + i, rows[i * 3][1]) for i in range(15)] + [(300 + i, " ".join(f"z{i}x{j}" for j in range(50))) for i in range(20)]
+    got = {x["doc_id"]: (x["class_id"], x["n_links"], x["n_set_links"]) for x in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == exact_links(rows)
+
+
 def test_jaccard_recall_by_runs():
     assert jaccard_join.runs_needed(0.9) < jaccard_join.runs_needed(0.999) < 30
 
