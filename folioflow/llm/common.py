@@ -13,6 +13,7 @@ UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of two longs that one broadcast may hold; beyond it the join is shuffled.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,19 +54,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, spread: str, n_rows: int) -> DataFrame:
-    """rows joined with counted (key, size, ...), whose size is the rows of a key.
+def join_counted(rows: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """rows joined with counted, which has a row a key.
 
-    Keys of at least 1/256 of n_rows (and 100 rows) are at most 256 and go by broadcast; their rows are dealt by `spread` meanwhile, so no
-    task gets all rows of a frequent key."""
-    hot_from = max(100, n_rows // 256)
-    values = [c for c in counted.columns if c != key]
-    hot = counted.where(F.col("size") >= hot_from).select(F.col(key).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in values])
-    cold = counted.where(F.col("size") < hot_from).select(F.col(key).alias("__cold"), *[F.col(c).alias(f"__cold_{c}") for c in values])
-    met = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    met = met.withColumn("__look", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.xxhash64(spread)))
-    met = met.join(cold, (F.col("__look") == F.col("__cold")) & F.col("__hot").isNull(), "left").where("__hot is not null or __cold is not null")
-    return met.select(*rows.columns, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in values])
+    counted is written once and measured: up to BROADCAST_BYTES it is broadcast; beyond, both sides are plain shuffles with no
+    aggregation above them, so that the adaptive skew join can deal the rows of a frequent key to many tasks."""
+    counted = checkpoint(counted)
+    binary = [F.octet_length(f.name) for f in counted.schema.fields if f.dataType.simpleString() == "binary"]
+    n_bytes = counted.agg(F.sum(sum(binary, F.lit(16 * len(counted.columns)).cast("long")))).first()[0] or 0
+    return rows.join(F.broadcast(counted) if n_bytes <= BROADCAST_BYTES else counted, key)
 
 
 def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
@@ -111,8 +108,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b) of longs, by alternating large and small stars.
 
     Every round is two aggregations with map-side combining and two equi-joins, and is checkpointed; the edges
-    never grow beyond twice their first number.  Nodes without an edge have no row.  The centres of large stars, which a
-    third of all edges may share, are broadcast (at most 256 of them), so no join gathers their edges."""
+    never grow beyond twice their first number.  Nodes without an edge have no row."""
     edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def state(df: DataFrame) -> tuple:
@@ -121,10 +117,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = state(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("size"))
-        large = join_counted(both.where("b > a"), least, "a", "b", before[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("size"))
-        small = join_counted(large, smallest, "a", "b", before[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = checkpoint(join_counted(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = join_counted(large, smallest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = checkpoint(small)
         now = state(edges)
         if now == before:

@@ -216,28 +216,42 @@ def compare_nodes(least_share: float) -> Callable:
     return grouped(["node"], work)
 
 
+def in_tiles(rows: DataFrame, key: str) -> DataFrame:
+    """rows, copied to the tiles (key, kind, i, j, side) in which each pair of sets that needs comparing meets once.
+
+    rows: key, sid, done, n_left, n_done and others.  Sets that aren't done are dealt to blocks of about TILE, which meet each other
+    (kind 0) and the blocks of those that are (kind 1); sets that are done don't meet each other."""
+    own = lambda n, salt: F.pmod(F.xxhash64("sid", F.lit(salt)), blocks(n)).cast("int")
+    blocks = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    numbers = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), blocks(n) - 1)).otherwise(F.array().cast("array<int>"))
+    tile = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    left, done = F.col("left_block"), F.col("done_block")
+    among = F.transform(numbers("n_left"), lambda o: tile(0, F.least(left, o), F.greatest(left, o), (left > o).cast("int")))
+    across = F.transform(numbers("n_done"), lambda j: tile(1, left, j, F.lit(0)))
+    meets = F.when(F.col("done"), F.transform(numbers("n_left"), lambda i: tile(1, i, done, F.lit(1)))).otherwise(F.concat(among, across))
+    placed = rows.withColumn("left_block", F.when(~F.col("done"), own("n_left", 7))).withColumn("done_block", F.when(F.col("done"), own("n_done", 5)))
+    others = [c for c in rows.columns if c not in ("n_left", "n_done")]
+    return placed.select(*others, F.explode(meets).alias("tile")).select(*others, "tile.*")
+
+
 def beside_first(big: DataFrame, cautious: float) -> tuple[DataFrame, DataFrame]:
     """((a, b): links of a node's sets to its first set, (node, sid, sketch): the tiles in which what is left meets all).
 
-    Links need only join a node's sets, so sets that the first one is like are done with it: a node of near copies is
-    linked in one pass.  The others are dealt to tiles with every set of the node, each at most 2 * TILE rows."""
-    reps = big.groupBy("node").agg(F.min_by("sketch", "sid").alias("rep_sketch"), F.min("sid").alias("rep"), F.count("*").alias("size"))
-    met = join_counted(big.select("node", "sid", "sketch"), reps, "node", "sid", big.count())
+    Links need only join a node's sets, so sets that the first one is like are done with among themselves: a node of near
+    copies is linked in one pass."""
+    reps = big.groupBy("node").agg(F.min_by("sketch", "sid").alias("rep_sketch"), F.min("sid").alias("rep"))
+    met = join_counted(big.select("node", "sid", "sketch"), reps, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = (matrix_of(batch.column("sketch"), np.uint16) == matrix_of(batch.column("rep_sketch"), np.uint16)).sum(1) >= cautious * FUNCTIONS
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("sid"), batch.column("sketch"), batch.column("rep"), batch.column("size"), pa.array(alike)], ["node", "sid", "sketch", "rep", "size", "alike"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("sid"), batch.column("sketch"), batch.column("rep"), pa.array(alike)], ["node", "sid", "sketch", "rep", "done"])
 
-    placed = checkpoint(met.mapInArrow(W.lean(run), "node long, sid long, sketch binary, rep long, size long, alike boolean"))
-    first = placed.where("alike and sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
-    left = placed.where("not alike").groupBy("node").agg(F.count("*").alias("size"))
-    dealt = placed.select("node", "sid", "sketch", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"), "alike")
-    dealt = join_counted(dealt, left, "node", "sid", placed.count()).withColumn("left_blocks", F.ceil(F.col("size") / TILE).cast("int"))
-    mine = lambda blocks, salt: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(blocks)).cast("int")
-    as_member = dealt.select("node", mine("blocks", 3).alias("block"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("left_block"), "sid", "sketch")
-    as_left = dealt.where("not alike").select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), mine("left_blocks", 7).alias("left_block"), "sid", "sketch")
-    return first, as_member.unionByName(as_left).select(F.xxhash64("node", "block", "left_block").alias("node"), "sid", "sketch")
+    placed = checkpoint(met.mapInArrow(W.lean(run), "node long, sid long, sketch binary, rep long, done boolean"))
+    first = placed.where("done and sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
+    sums = placed.groupBy("node").agg(F.count_if(~F.col("done")).alias("n_left"), F.count_if("done").alias("n_done")).where("n_left > 0")
+    tiles = in_tiles(join_counted(placed.select("node", "sid", "sketch", "done"), sums, "node"), "node")
+    return first, tiles.select(F.xxhash64("node", "kind", "i", "j").alias("node"), "sid", "sketch")
 
 
 def candidate_links(sets: DataFrame, n_sets: int, similarity: float, recall: float, cautious: float) -> DataFrame:
@@ -247,7 +261,7 @@ def candidate_links(sets: DataFrame, n_sets: int, similarity: float, recall: flo
     for depth in range(1, DEPTH + 1):
         level = checkpoint(level)
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        alive = join_counted(level, sizes, "node", "sid", level.count())
+        alive = join_counted(level, sizes, "node")
         level = checkpoint(alive.join(sets.select("sid", "sketch"), "sid"))
         big = level.where(F.col("size") > SMALL)
         ready = level.where(F.col("size") <= SMALL).select("node", "sid", "sketch")
@@ -326,14 +340,13 @@ def compare_groups(similarity: float) -> Callable:
 
 
 def around_first(large: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(results of the tight sets among themselves, tiles of the other sets with all sets) of groups over TILE sets.
+    """(results of the tight sets among themselves, tiles of the other sets among themselves and with the tight ones) of groups over TILE sets.
 
     1 - similarity is a metric, so two sets that are each within half of the allowed distance of the group's first set
-    are linked: they are counted, not compared.  Only the others meet every set of the group, in tiles of 2 * TILE rows.
+    are linked: they are counted, not compared.  Only the others meet every set of the group, in tiles of about 2 * TILE rows.
     A group of near copies costs one comparison a set."""
-    n = large.count()
-    reps = large.groupBy("component").agg(F.min_by("shingles", "sid").alias("first"), F.min("sid").alias("rep"), F.count("*").alias("size"))
-    met = join_counted(large, reps, "component", "sid", n)
+    reps = large.groupBy("component").agg(F.min_by("shingles", "sid").alias("first"), F.min("sid").alias("rep"))
+    met = join_counted(large, reps, "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,47 +355,43 @@ def around_first(large: DataFrame, similarity: float) -> tuple[DataFrame, DataFr
                 a, b = np.frombuffer(own, np.uint64), np.frombuffer(first, np.uint64)
                 shared = len(np.intersect1d(a, b, assume_unique=True))
                 tight.append(shared >= (1 + similarity) / 2 * (len(a) + len(b) - shared) - 1e-9)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("component", "sid", "copies", "blocks", "shingles", "rep")], pa.array(tight, pa.bool_())], ["component", "sid", "copies", "blocks", "shingles", "rep", "tight"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("component", "sid", "copies", "shingles", "rep")], pa.array(tight, pa.bool_())], ["component", "sid", "copies", "shingles", "rep", "done"])
 
-    placed = checkpoint(met.mapInArrow(W.lean(run), "component long, sid long, copies long, blocks int, shingles binary, rep long, tight boolean"))
-    sums = placed.groupBy("component").agg(F.count("*").alias("size"), F.sum(F.col("tight").cast("long")).alias("n_tight"), F.sum(F.when(F.col("tight"), F.col("copies")).otherwise(0)).alias("tight_copies"))
-    known = join_counted(placed, sums, "component", "sid", n).withColumn("left_blocks", F.ceil((F.col("size") - F.col("n_tight")) / TILE).cast("int"))
-    among = known.where("tight").select("sid", (F.col("tight_copies") - F.col("copies")).alias("n_doc_links"), (F.col("n_tight") - 1).alias("n_set_links"), F.col("rep").alias("least"))
-    mine = lambda blocks, salt: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(blocks)).cast("int")
-    open_ = known.where("left_blocks > 0")
-    as_member = open_.select("component", mine("blocks", 5).alias("block"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("left_block"), F.lit(False).alias("is_left"), "tight", "sid", "copies", "shingles")
-    as_left = open_.where("not tight").select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), mine("left_blocks", 9).alias("left_block"), F.lit(True).alias("is_left"), "tight", "sid", "copies", "shingles")
-    return among, as_member.unionByName(as_left)
+    placed = checkpoint(met.mapInArrow(W.lean(run), "component long, sid long, copies long, shingles binary, rep long, done boolean"))
+    sums = placed.groupBy("component").agg(F.count_if(~F.col("done")).alias("n_left"), F.count_if("done").alias("n_done"), F.sum(F.when(F.col("done"), F.col("copies")).otherwise(0)).alias("done_copies"))
+    known = join_counted(placed, sums, "component")
+    among = known.where("done").select("sid", (F.col("done_copies") - F.col("copies")).alias("n_doc_links"), (F.col("n_done") - 1).alias("n_set_links"), F.col("rep").alias("least"))
+    return among, in_tiles(known.where("n_left > 0").select("component", "sid", "copies", "shingles", "done", "n_left", "n_done"), "component").drop("done")
 
 
 def compare_tiles(similarity: float) -> Callable:
-    """Exact comparison of a tile's left sets with its members.  Left sets count all they meet, tight members the left sets."""
+    """Exact comparison of the two sides of a tile, or of one side with itself."""
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        group, block, left_block = (np.asarray(table.column(c)) for c in ("component", "block", "left_block"))
-        sid, copies, is_left, tight = (np.asarray(table.column(c)) for c in ("sid", "copies", "is_left", "tight"))
+        keys = [np.asarray(table.column(c)) for c in ("component", "kind", "i", "j")]
+        sid, copies, side = (np.asarray(table.column(c)) for c in ("sid", "copies", "side"))
         packed = table.column("shingles")
-        order = np.lexsort((sid, is_left, left_block, block, group))
+        order = np.lexsort((sid, side, *reversed(keys)))
         out: list[list[np.ndarray]] = [[], [], [], []]
-        for start, end in runs_of(group[order], block[order], left_block[order]):
+        for start, end in runs_of(*[k[order] for k in keys]):
             rows = order[start:end]
-            a, b = rows[is_left[rows]], rows[~is_left[rows]]
-            if not len(a) or not len(b):
-                continue
-            linked = linked_pairs(sets_of(packed, a), sets_of(packed, b), similarity) & (sid[a][:, None] != sid[b][None, :])
-            both = np.zeros((len(rows), len(rows)), dtype=bool)
-            both[: len(a), len(a) :], both[len(a) :, : len(a)] = linked, linked.T
-            name = sid[np.concatenate((a, b))][least_labels(both)]
-            counts = tight[b][:, None] & linked.T
-            for own, pairs, other, least in ((a, linked, b, name[: len(a)]), (b, counts, a, name[len(a) :])):
-                out[0].append(sid[own])
-                out[1].append(pairs @ copies[other].astype(np.int64))
-                out[2].append(pairs.sum(1))
-                out[3].append(least)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], RESULT)
-
-    return grouped(["component", "block", "left_block"], work)
+            linked = np.zeros((len(rows), len(rows)), dtype=bool)
+            if keys[1][rows[0]] == 0 and keys[2][rows[0]] == keys[3][rows[0]]:
+                sets = sets_of(packed, rows)
+                linked[:] = linked_pairs(sets, sets, similarity)
+                np.fill_diagonal(linked, False)
+            else:
+                k = int((side[rows] == 0).sum())
+                if 0 < k < len(rows):
+                    linked[:k, k:] = linked_pairs(sets_of(packed, rows[:k]), sets_of(packed, rows[k:]), similarity)
+                    linked[k:, :k] = linked[:k, k:].T
+            out[0].append(sid[rows])
+            out[1].append(linked @ copies[rows].astype(np.int64))
+            out[2].append(linked.sum(1))
+            out[3].append(sid[rows][least_labels(linked)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], RESULT)
+
+    return grouped(["component", "kind", "i", "j"], work)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.999, cautious: float = 0.55) -> DataFrame:
@@ -438,7 +447,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     compared = small.mapInArrow(W.lean(compare_groups(similarity)), result)
     if not sizes.where(F.col("size") > TILE).isEmpty():
         tight, tiles = around_first(checkpoint(full(placed.where("blocks > 1")).dropDuplicates(["sid"])), similarity)
-        compared = compared.unionByName(tight).unionByName(tiles.repartition(parts, "component", "block", "left_block").sortWithinPartitions("component", "block", "left_block").mapInArrow(W.lean(compare_tiles(similarity)), result))
+        compared = compared.unionByName(tight).unionByName(tiles.repartition(parts, "component", "kind", "i", "j").sortWithinPartitions("component", "kind", "i", "j").mapInArrow(W.lean(compare_tiles(similarity)), result))
     exact = checkpoint(compared)
 
     links = exact.groupBy("sid").agg(F.sum("n_doc_links").alias("n_doc_links"), F.sum("n_set_links").alias("n_set_links"))
