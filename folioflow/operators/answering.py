@@ -127,6 +127,30 @@ def extract(texts: DataFrame, model: LanguageModel, doc_type: str) -> DataFrame:
     return said.select("doc_id", record_of(F.col("json"), doc_type).alias("record"))
 
 
+def try_extract(texts: DataFrame, model: LanguageModel, doc_type: str) -> DataFrame:
+    """(doc_id, record, failed): as extract(), but a failed call or JSON that doesn't fit marks its own row."""
+    if doc_type not in schemas.RECORDS:
+        raise ValueError(f"doc_type must be one of {sorted(schemas.RECORDS)}")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            said = []
+            for text in batch["text"]:
+                try:
+                    said.append(model.extract_structured(text, doc_type))
+                except Exception:  # the other documents go on
+                    said.append(None)
+            yield batch[["doc_id"]].assign(json=said)
+
+    said = texts.select("doc_id", "text").mapInPandas(ask, "doc_id string, json string")
+    # What doesn't fit the schema is put aside as a corrupt record instead of failing the job.
+    whole = F.from_json("json", schemas.RECORDS[doc_type] + ", __corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})
+    lines = F.forall(whole["line_items"], lambda i: i["description"].isNotNull()) if doc_type == "invoice" else F.lit(True)
+    failed = F.col("json").isNull() | whole["__corrupt"].isNotNull() | ~F.coalesce(lines, F.lit(True))
+    marked = said.select("doc_id", F.coalesce(failed, F.lit(True)).alias("failed"), "json")
+    return marked.select("doc_id", F.when(~F.col("failed"), record_of(F.col("json"), doc_type)).alias("record"), "failed")
+
+
 def record_of(json: Column, doc_type: str, mode: str = "FAILFAST") -> Column:
     record = F.from_json(json, schemas.RECORDS[doc_type], {"mode": mode})
     for part in schemas.RECORDS[doc_type].split(", "):

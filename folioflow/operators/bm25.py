@@ -19,11 +19,12 @@ from folioflow.functions.porter import stemmed
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 BROADCAST_ROWS = 200_000
+NAMED_TERMS = 1000
 
 
 @dataclass
 class Bm25Index:
-    occurrences: DataFrame  # term, chunk_id, position
+    occurrences: DataFrame | None  # term, chunk_id, position; None where the postings are stored
     lengths: DataFrame  # chunk_id, dl
     stats: DataFrame  # n, avgdl: one row
     stems: bool
@@ -39,7 +40,11 @@ class Bm25Index:
     def postings(self, of: DataFrame | None = None) -> DataFrame:
         """of: terms to confine them to, before anything is shuffled."""
         if self.stored is not None:
-            return self.stored if of is None else self.stored.join(of, "term", "left_semi")
+            if of is None:
+                return self.stored
+            terms = [r["term"] for r in of.limit(NAMED_TERMS + 1).collect()]
+            # A few terms are named in the plan, so that files and row groups without them aren't read.
+            return self.stored.where(F.col("term").isin(terms)) if len(terms) <= NAMED_TERMS else self.stored.join(of, "term", "left_semi")
         found = self.occurrences if of is None else self.occurrences.join(of, "term", "left_semi")
         return found.groupBy("term", "chunk_id").agg(F.collect_list("position").alias("positions"))
 

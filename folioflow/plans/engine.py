@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.operators import answering, bm25, chunking, evaluation, fusion, vector
+from folioflow.operators import answering, chunking, evaluation, fusion, vector
 from folioflow.plans.store import Store, document_texts
 from folioflow.sources import files
 
@@ -92,7 +92,7 @@ class Engine:
 
     def search(self, queries: str | list[str] | DataFrame, k: int = 5, mode: str = "hybrid", doc_ids: list[str] | None = None) -> DataFrame:
         chunks = self.store.chunks()
-        return fusion.search(chunks, bm25.build_index(chunks), self.queries(queries), self.embedder, k, mode, doc_ids, self.settings.pool)
+        return fusion.search(chunks, self.store.index(), self.queries(queries), self.embedder, k, mode, doc_ids, self.settings.pool)
 
     def ask(self, queries: str | list[str] | DataFrame, k: int = 5, min_score: float | None = None) -> DataFrame:
         asked = self.queries(queries)
@@ -100,7 +100,17 @@ class Engine:
 
     def extract(self, doc_ids: list[str], doc_type: str) -> DataFrame:
         """(doc_id, record).  Unknown documents, and those without text, have no row."""
-        return answering.extract(document_texts(self.store.chunks().where(F.col("doc_id").isin(doc_ids))), self.model, doc_type)
+        return answering.extract(self._texts(doc_ids), self.model, doc_type)
+
+    def extract_with_status(self, doc_ids: list[str], doc_type: str) -> DataFrame:
+        """(doc_id, record, status), a row for each id asked for: extracted, no_text (unknown, or without text) or model_failed."""
+        asked = self.spark.createDataFrame([(d,) for d in dict.fromkeys(doc_ids)], "doc_id string")
+        found = answering.try_extract(self._texts(doc_ids), self.model, doc_type)
+        status = F.when(F.col("failed").isNull(), "no_text").when(F.col("failed"), "model_failed").otherwise("extracted")
+        return asked.join(found, "doc_id", "left").select("doc_id", "record", status.alias("status"))
+
+    def _texts(self, doc_ids: list[str]) -> DataFrame:
+        return document_texts(self.store.chunks().where(F.col("doc_id").isin(doc_ids)))
 
     def evaluate(self, items: DataFrame, k: int = 5) -> DataFrame:
         asked = items.select(F.col("id").alias("query_id"), "query")

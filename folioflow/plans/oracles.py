@@ -122,6 +122,36 @@ results AS (SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN expected IS NOT NUL
     should_abstain = (hit IS NULL OR {" OR ".join(f"contains(lower(coalesce(hit, '')), {_text(p)})" for p in DECLINING)}) AS abstain_correct FROM items)
 """
 
+
+def embedded(name: str, key: str, rows: str) -> str:
+    """Hashed vectors of texts: (key, bucket, w), w as a float of the share of the length."""
+    return f"""
+{name}_t AS (SELECT {key}, unnest(regexp_extract_all(lower(coalesce(text, '')), '{QUERY_TOKEN}')) AS t FROM {rows}),
+{name}_c AS (SELECT {key}, CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % 256 AS INTEGER) AS bucket, count(*) AS n FROM {name}_t GROUP BY 1, 2),
+{name} AS (SELECT {key}, bucket, CAST(CAST(n / sqrt(sum(CAST(n * n AS DOUBLE)) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS w FROM {name}_c)"""
+
+
+SEARCH = f"""
+{BM25.replace('@where', '')}, {embedded('dv', 'doc_id', 'documents')}, {embedded('qv', 'item_id', 'benchmark')},
+dots AS (SELECT q.item_id AS query_id, d.doc_id, sum(q.w * d.w) AS dot FROM qv q JOIN dv d USING (bucket) GROUP BY 1, 2),
+cos AS (SELECT i.item_id AS query_id, d.doc_id, round(coalesce(dot, 0), 6) AS score, printf('d%d:0000', d.doc_id) AS chunk FROM benchmark i CROSS JOIN documents d LEFT JOIN dots ON dots.query_id = i.item_id AND dots.doc_id = d.doc_id),
+sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM cos),
+key AS (SELECT query_id, chunk_id AS doc_id, score, printf('d%d:0000', chunk_id) AS chunk, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, printf('d%d:0000', chunk_id)) AS rank FROM bm25),
+m AS (SELECT coalesce(s.query_id, k.query_id) AS query_id, coalesce(s.doc_id, k.doc_id) AS doc_id, k.score AS keyword_score, s.rank AS s_rank, k.rank AS k_rank,
+      round(coalesce(1.0::DOUBLE / (60 + s.rank), 0) + coalesce(1.0::DOUBLE / (60 + k.rank), 0), 9) AS score
+      FROM (SELECT * FROM sem WHERE rank <= 20) s FULL JOIN (SELECT * FROM key WHERE rank <= 20) k ON s.query_id = k.query_id AND s.doc_id = k.doc_id),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s_rank NULLS LAST, k_rank NULLS LAST, printf('d%d:0000', doc_id)) AS rank FROM m)
+"""
+
+
+def _hits(source: str, semantic: str, keyword: str) -> str:
+    return f"""WITH {SEARCH} SELECT CAST(x.query_id AS VARCHAR) AS query_id, CAST(x.rank AS INTEGER) AS rank, printf('d%d:0000', x.doc_id) AS chunk_id, 'd' || x.doc_id AS doc_id,
+        d.source || CASE WHEN coalesce(d.lang, '') <> '' THEN ', § ' || d.lang ELSE '' END AS citation, x.score, {semantic} AS semantic_score, {keyword} AS keyword_score
+        FROM {source} x JOIN documents d USING (doc_id) {"JOIN cos USING (query_id, doc_id)" if source == "fused" else ""} WHERE x.rank <= 5"""
+
+
+STORED = f"""WITH RECURSIVE {CHUNK_PACK}, kept AS (SELECT doc_id, any_value(doc_name) AS doc_name, CAST(count(*) AS INTEGER) AS n_chunks, CAST(sum(len({folded('text')})) AS BIGINT) AS n_tokens FROM chunks GROUP BY 1)"""
+
 KEY = strip("regexp_replace(lower(p), '\\p{Nd}+', '#', 'g')")
 
 
@@ -181,6 +211,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, doc_id % 7 = 0 OR doc_id % 5 = 0 OR {" OR ".join(f"contains(lower(text), {_text(p)})" for p in DECLINING)} AS no_answer FROM documents""",
         "eval_outcomes": f"WITH {OUTCOMES} SELECT id, {_mark('retrieval_hit')} AS retrieval, {_mark('keywords_found')} AS keywords, {_mark('abstain_correct')} AS abstain FROM results",
         "eval_rates": f"WITH {OUTCOMES} " + " UNION ALL ".join(_rate(m) for m in ("retrieval_hit", "keywords_found", "abstain_correct")),
+        "search_keyword": _hits("key", "CAST(NULL AS DOUBLE)", "x.score"),
+        "search_semantic": _hits("sem", "x.score", "CAST(NULL AS DOUBLE)"),
+        "search_hybrid": _hits("fused", "cos.score", "x.keyword_score"),
+        "embed_passages": f"WITH {embedded('dv', 'doc_id', 'documents')} SELECT doc_id, bucket, round(w, 5) AS weight FROM dv",
+        "store_ingest": f"{STORED} SELECT doc_id, doc_name, n_chunks, n_tokens FROM kept",
+        "store_delete": f"{STORED} SELECT doc_id, n_chunks, n_tokens FROM kept WHERE doc_id NOT IN (SELECT 'd' || doc_id FROM labels WHERE toxic = 1)",
         "extract_json": """
             SELECT CAST(event_id AS VARCHAR) AS invoice_number, json_extract_string(props, '$.k') AS vendor, CAST(NULL AS DOUBLE) AS total, CAST(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_lines,
             round(CASE WHEN event_id % 2 = 0 THEN coalesce(value, 0) ELSE 0 END, 6) AS amount FROM events""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.operators import answering, bm25, chunking, evaluation, fusion, running_lines, vector
-from folioflow.plans import store
+from folioflow.plans import scratch, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -258,10 +258,68 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.preview(F.col("text"), 220, True).alias("preview"), X.label(F.concat(F.lit("doc_"), "source")).alias("label"), X.shown(F.when(F.col("doc_id") % 2 == 0, F.col("source"))).alias("shown"))
 
 
+def _search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as one chunk with its hashed vector."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(X.chunk_id(F.format_string("d%d", "doc_id"), F.lit(0)).alias("chunk_id"), F.format_string("d%d", "doc_id").alias("doc_id"), F.col("source").alias("doc_name"), F.lit(None).cast("int").alias("page"), F.col("lang").alias("section"), "text")
+    return rows.withColumn("embedding", vector.HashingEmbedder().passages(F.col("text")))
+
+
+def _search(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    chunks = _search_chunks(spark, sf_dir)
+    hits = fusion.search(chunks, bm25.build_index(chunks, stem=False), _benchmark(spark, sf_dir), vector.HashingEmbedder(), HITS, mode)
+    return hits.select("query_id", "rank", "chunk_id", "doc_id", "citation", "score", "semantic_score", "keyword_score")
+
+
+def search_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, "keyword")
+
+
+def search_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, "semantic")
+
+
+def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, "hybrid")
+
+
+def embed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored vectors' values that aren't 0."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(vector.HashingEmbedder().passages(F.col("text"))).alias("bucket", "weight"))
+    return rows.where("weight > 0").select("doc_id", "bucket", F.round(F.col("weight").cast("double"), 5).alias("weight"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> store.Store:
+    """A new store with the packed chunks of all documents, written in two parts, and the first part again, which adds nothing."""
+    kept = store.Store(spark, f"{scratch.folder(spark)}/store")
+    chunks = _packed_chunks(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    for part in (chunks.where(half), chunks.where(~half), chunks.where(half)):
+        kept.add(part)
+    return kept
+
+
+def store_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog beside what the stored index says of each document."""
+    kept = _stored(spark, sf_dir)
+    index = kept.index()
+    of = kept.chunks().select("chunk_id", "doc_id")
+    words = index.lengths.join(of, "chunk_id").groupBy("doc_id").agg(F.sum("dl").alias("n_tokens"))
+    return kept.documents().join(words, "doc_id").select("doc_id", "doc_name", "n_chunks", "n_tokens")
+
+
+def store_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the catalog, and of the index, without the documents labelled toxic."""
+    kept = _stored(spark, sf_dir)
+    kept.delete(table(spark, sf_dir, "labels").where("toxic = 1").select(F.format_string("d%d", "doc_id").alias("doc_id")))
+    words = kept.index().lengths.select(F.substring_index("chunk_id", ":", 1).alias("doc_id"), "dl").groupBy("doc_id").agg(F.sum("dl").alias("n_tokens"))
+    return kept.documents().join(words, "doc_id").select("doc_id", "n_chunks", "n_tokens")
+
+
 QUERIES: tuple[Query, ...] = (
     chunk_windows, chunk_pack, clean_text, repeat_lines, needs_ocr, doc_identity, dedup_ingest, doc_catalog, ingest_stats, doc_text_concat, conversation_text, query_tokens,
     bm25_topk, bm25_doc_filter, bm25_stemmed, bm25_phrases, index_stats, cosine_topk, cosine_filtered, hash_embed, rrf_hybrid, cosine_fill, abstain, citations, prompt_build,
-    no_answer, ask_extractive, eval_outcomes, eval_rates, extract_json, delete_doc, preview,
+    no_answer, ask_extractive, eval_outcomes, eval_rates, extract_json, delete_doc, preview, search_keyword, search_semantic, search_hybrid, embed_passages, store_ingest, store_delete,
 )
 
 

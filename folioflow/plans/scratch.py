@@ -1,0 +1,18 @@
+"""A folder of a run's own that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; a local one only where that is unset and Spark is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="folioflow-")
+    return f"{base}/folioflow-{uuid.uuid4().hex}"

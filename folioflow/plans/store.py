@@ -1,45 +1,62 @@
-"""A document store of plain Parquet: chunks, catalog and tombstones, with committed sequence numbers.
+"""A document store of plain Parquet: chunks, inverted index, catalog and tombstones, with committed sequence numbers.
 
-A write puts its rows under a sequence number of its own and then its number under commits/; readers take
-committed numbers only, so a write that fails leaves nothing to see.  A tombstone hides a document's rows
-with smaller numbers.  There is one writer at a time."""
+A write claims a sequence number, puts its rows under it and then the number under commits/; readers take
+committed numbers only, so a write that fails leaves nothing to see, and two writers never share a folder.  A
+tombstone hides a document's rows with smaller numbers, its postings too.  Two writers that add the same document
+at the same time both add it; ingest is meant for one at a time."""
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow import schemas
+from folioflow.operators import bm25
 
-TABLES = {"chunks": schemas.CHUNKS_STORED, "documents": schemas.DOCUMENTS, "tombstones": "doc_id string"}
+TABLES = {"chunks": schemas.CHUNKS_STORED, "postings": schemas.POSTINGS, "lengths": schemas.LENGTHS, "documents": schemas.DOCUMENTS, "tombstones": "doc_id string"}
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        """What a folder holds, by one listing."""
+        path, files = self._path(folder)
+        return [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
 
     def _committed(self) -> list[int]:
-        path = f"{self.root}/commits"
-        if not self._exists(path):
-            return []
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        found = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(target)
-        return sorted(int(f.getPath().getName()) for f in found if f.getPath().getName().isdigit())
+        return sorted(int(n) for n in self._names("commits") if n.isdigit())
+
+    def _claim(self) -> int:
+        """A number that no other writer has: its file is created only where there is none."""
+        number = max((int(n) for n in [*self._names("claims"), *self._names("commits")] if n.isdigit()), default=0) + 1
+        while True:
+            path, files = self._path(f"claims/{number}")
+            try:
+                files.create(path, False).close()
+                return number
+            except Py4JJavaError as error:
+                if not files.exists(path):
+                    raise error
+                number += 1
 
     def _commit(self, tables: dict[str, DataFrame]) -> int:
-        number = max(self._committed(), default=0) + 1
+        number = self._claim()
         for name, rows in tables.items():
-            rows.write.mode("overwrite").parquet(f"{self.root}/{name}/seq={number}")
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits/{number}")
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(target, False).close()
+            rows.write.parquet(f"{self.root}/{name}/seq={number}")
+        path, files = self._path(f"commits/{number}")
+        files.create(path, False).close()
         return number
 
     def _table(self, name: str) -> DataFrame:
-        paths = [p for n in self._committed() if self._exists(p := f"{self.root}/{name}/seq={n}")]
+        have = {*self._names(name)}
+        paths = [f"{self.root}/{name}/seq={n}" for n in self._committed() if f"seq={n}" in have]
         if not paths:
             return self.spark.createDataFrame([], TABLES[name] + ", seq int")
         return self.spark.read.option("basePath", f"{self.root}/{name}").schema(TABLES[name] + ", seq int").parquet(*paths)
@@ -71,20 +88,31 @@ class Store:
                 return 0
             entries = catalog(fresh).withColumn("added_at", F.current_timestamp())
             columns = [c.split()[0] for c in schemas.CHUNKS_STORED.split(", ")]
-            return self._commit({"chunks": fresh.select(*columns), "documents": entries.select("doc_id", "doc_name", "n_chunks", "added_at")})
+            index = bm25.build_index(fresh)
+            of = fresh.select("chunk_id", "doc_id")
+            # Files sorted by what is looked up: a document's chunks, a term's postings.
+            postings = index.postings().join(of, "chunk_id").repartition("term").sortWithinPartitions("term", "chunk_id")
+            return self._commit({"chunks": fresh.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index").select(*columns), "postings": postings.select("term", "chunk_id", "doc_id", "positions"), "lengths": index.lengths.join(of, "chunk_id").select("chunk_id", "doc_id", "dl"), "documents": entries.select("doc_id", "doc_name", "n_chunks", "added_at")})
         finally:
             fresh.unpersist()
 
-    def delete(self, doc_ids: list[str]) -> bool:
-        """Whether a chunk was removed.  Deleting nothing writes nothing."""
-        if not doc_ids or self.chunks().where(F.col("doc_id").isin(doc_ids)).isEmpty():
+    def index(self) -> bm25.Bm25Index:
+        """The inverted index of the live chunks, as it was written with them; its statistics are those of the live chunks."""
+        lengths = self._live("lengths").select("chunk_id", "dl")
+        return bm25.Bm25Index(None, lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), True, self._live("postings").select("term", "chunk_id", "positions"))
+
+    def delete(self, doc_ids: list[str] | DataFrame) -> bool:
+        """Whether a chunk was removed.  Deleting nothing writes nothing.  A frame has a column doc_id."""
+        gone = doc_ids if isinstance(doc_ids, DataFrame) else self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string")
+        gone = gone.select("doc_id").distinct()
+        if self.documents().join(gone, "doc_id", "left_semi").isEmpty():
             return False
-        self._commit({"tombstones": self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string")})
+        self._commit({"tombstones": gone})
         return True
 
     def compact(self, to: Store) -> None:
         """The live rows as one write of another, empty store."""
-        to._commit({"chunks": self.chunks(), "documents": self.documents()})
+        to._commit({name: self._live(name) for name in ("chunks", "postings", "lengths", "documents")})
 
     def document_text(self, doc_id: str) -> str:
         found = document_texts(self.chunks().where(F.col("doc_id") == doc_id)).first()

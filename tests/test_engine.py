@@ -62,6 +62,50 @@ def test_a_write_without_commit_is_not_seen(spark, tmp_path, landing):
     assert engine.documents().count() == 0 and engine.store.chunks().count() == 0
 
 
+def test_writers_claim_numbers_of_their_own(spark, tmp_path, landing):
+    engine = Engine(spark, Settings(root=str(tmp_path / "store")))
+    first = engine.store._claim()
+    assert engine.store._claim() == first + 1
+    engine.ingest(str(landing / "b.docx"))
+    assert engine.store._committed() == [first + 2] and engine.documents().count() == 1
+
+
+def test_the_stored_index_is_that_of_the_live_chunks(spark, tmp_path, landing):
+    """Ingested in two writes, then one document deleted: postings, lengths and scores are those of an index built anew."""
+    from folioflow.operators import bm25
+
+    engine = Engine(spark, Settings(root=str(tmp_path / "store")))
+    for name in ("a.pdf", "b.docx"):
+        engine.ingest(str(landing / name))
+    for _ in range(2):
+        stored, built = engine.store.index(), bm25.build_index(engine.store.chunks())
+        rows = lambda index: sorted((r["term"], r["chunk_id"], sorted(r["positions"])) for r in index.postings().collect())
+        assert rows(stored) == rows(built) and stored.stats.collect() == built.stats.collect()
+        asked = engine.queries(["payment of the invoice", "w3 agreement"])
+        found = lambda index: sorted(tuple(r) for r in bm25.top(index, asked).collect())
+        assert found(stored) == found(built)
+        engine.delete(engine.documents().where("doc_name = 'a.pdf'").first()["doc_id"]) if engine.documents().count() > 1 else None
+    plan = engine.store.index().postings(spark.createDataFrame([("payment",)], "term string"))._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "EqualTo(term,payment)" in plan.replace(" ", "")
+
+
+def test_extraction_says_what_became_of_each_document(spark, tmp_path, landing):
+    class Odd:
+        def extract_structured(self, text, doc_type):
+            if "ACME" in text:
+                return '{"vendor": "ACME", "line_items": [{"amount": 1}]}' if doc_type == "invoice" else '{"name": "ACME"}'
+            raise OSError("no model")
+
+    engine = Engine(spark, Settings(root=str(tmp_path / "store")), model=Odd())
+    engine.ingest(str(landing))
+    ids = {r["doc_name"]: r["doc_id"] for r in engine.documents().collect()}
+    status = lambda kind: {r["doc_id"]: (r["status"], r["record"] and r["record"][0]) for r in engine.extract_with_status([*ids.values(), "x"], kind).collect()}
+    assert status("resume") == {ids["a.pdf"]: ("model_failed", None), ids["b.docx"]: ("extracted", "ACME"), "x": ("no_text", None)}
+    assert status("invoice")[ids["b.docx"]][0] == "model_failed"
+    with pytest.raises(ValueError):
+        engine.extract_with_status(["x"], "poem")
+
+
 def test_streaming_ingest(spark, tmp_path, landing):
     engine = Engine(spark, Settings(root=str(tmp_path / "store")))
     ingest_new(engine, str(landing), str(tmp_path / "progress"), files_per_batch=2)
