@@ -36,8 +36,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), [f"shard-{i:03d}" for i in range(64)])
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,5 +122,52 @@ FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, ws
 """
 
 
+#: Every string of 100 bytes that starts earlier; the runs they cover; what lies between the runs.  Bytes as two hex digits.
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 99, 200)) AS p, h FROM d WHERE len(h) >= 200),
+short AS (SELECT doc_id, p, substr(h, 2 * p + 1, 598) AS h FROM parts),
+starts AS (SELECT doc_id, p, unnest(range(0, len(h) // 2 - 99)) AS o, h FROM short),
+k AS (SELECT doc_id, p + o AS i, row_number() OVER (PARTITION BY md5_number(substr(h, 2 * o + 1, 200)) ORDER BY doc_id, p + o) > 1 AS again FROM starts),
+r AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS new FROM k WHERE again),
+g AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY 1, 2),
+cuts AS (SELECT doc_id, a, b FROM runs UNION ALL SELECT doc_id, len(h) // 2, NULL FROM d),
+pieces AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b NULLS LAST), 0) AS s FROM cuts),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * s + 1, 2 * (a - s)), '' ORDER BY a, s) AS k FROM pieces JOIN d USING (doc_id) GROUP BY 1),
+n AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY 1)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+def op6_sql() -> str:
+    """The table is a literal: its filling is tested by itself."""
+    names = sorted(SHARDS)
+    slots = ", ".join(map(str, sharding.fill(SHARDS)))
+    return f"""WITH p AS (SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) % {sharding.SLOTS} AS slot FROM documents),
+        t AS (SELECT [{slots}] AS of, {names} AS names) SELECT doc_id, slot, names[of[slot + 1] + 1] AS shard FROM p, t"""
+
+
+def op10_sql(slack: int = 3, least: float = 0.8) -> str:
+    """Votes by diagonal over pairs of positions; a group is the diagonals up to `slack` after one of them."""
+    rows = ", ".join(f"({i}, '{t.label}', {t.base}, string_split('{t.text}', ' '))" for i, t in enumerate(license_scan.TEMPLATES))
+    return f"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+t(template, label, base, ts) AS (VALUES {rows}),
+tg AS (SELECT template, label, base, len(ts) - 1 AS n, unnest(range(1, len(ts))) AS j, ts FROM t),
+pos AS (SELECT template, label, base, n, j - 1 AS j, ts[j] || ' ' || ts[j + 1] AS g FROM tg),
+dg AS (SELECT doc_id, i - 1 AS i, ws[i] || ' ' || ws[i + 1] AS g FROM d, unnest(range(1, len(ws))) u(i) WHERE len(ws) > 1),
+v AS (SELECT DISTINCT doc_id, template, label, base, n, i - j AS diagonal, j FROM dg JOIN pos USING (g)),
+e AS (SELECT DISTINCT doc_id, template, label, base, n, diagonal FROM v),
+s AS (SELECT e.doc_id, e.template, e.label, e.base, e.diagonal, count(DISTINCT v.j)::DOUBLE / e.n AS share
+      FROM e JOIN v ON v.doc_id = e.doc_id AND v.template = e.template AND v.diagonal BETWEEN e.diagonal AND e.diagonal + CASE WHEN e.base THEN 0 ELSE {slack} END GROUP BY e.doc_id, e.template, e.label, e.base, e.diagonal, e.n),
+f AS (SELECT doc_id, max(share) AS score, count(*) FILTER (WHERE base AND share >= 1) AS n_base, min(diagonal) FILTER (WHERE base AND share >= 1) AS first_word, max(diagonal) FILTER (WHERE base AND share >= 1) AS last_word,
+      array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base AND share >= 1)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE share >= CASE WHEN base THEN 1 ELSE {least} END)), ',') AS labels FROM s GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN f USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op9_language_model": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_repeats": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op6_sharding": op6_sql(), "op9_language_model": OP9_SQL, "op10_license_scan": op10_sql()}
