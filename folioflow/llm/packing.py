@@ -262,6 +262,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
             ids, shard, tokens = [], [], 0
+            W.release()
 
         for batch in batches:
             for lo, hi, data, offsets in W.blocks(batch.column(1), TEXT_BYTES):
