@@ -413,7 +413,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_members = members.count()
 
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    placed = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int"))
+    placed = join_counted(members, sizes, "component").withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int"))
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in W.blocks(batch.column("text")):
@@ -452,9 +452,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     links = exact.groupBy("sid").agg(F.sum("n_doc_links").alias("n_doc_links"), F.sum("n_set_links").alias("n_set_links"))
     classes = components(exact.where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b")))
-    placed = sets.select("sid", "first_id", "copies").join(classes, F.col("sid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "sid"))
-    roots = placed.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    settled = checkpoint(placed.join(roots, "component").join(links, "sid", "left").select("sid", F.col("first_id").alias("set_id"), "class_id", "class_size", "copies", F.coalesce("n_doc_links", F.lit(0)).alias("n_doc_links"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links")))
+    grouped_sets = checkpoint(sets.select("sid", "first_id", "copies").join(classes, F.col("sid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "sid")).drop("node"))
+    roots = grouped_sets.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    settled = checkpoint(join_counted(grouped_sets, roots, "component").join(links, "sid", "left").select("sid", F.col("first_id").alias("set_id"), "class_id", "class_size", "copies", F.coalesce("n_doc_links", F.lit(0)).alias("n_doc_links"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links")))
 
     # Sets of many rows are few and go by broadcast; the others are joined on their own key.
     n_rows = rows.count()
