@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, language_model, license_scan, packing, repeats, sharding, toxicity, url_filter
+from . import decontaminate, exact_dedup, filter_audit, jaccard_join, language_model, license_scan, packing, repeats, sharding, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,8 +70,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: tuple[Query, ...] = (
+    op1_exact_dedup, op2_decontaminate, op3_repeats, op4_packing, op5_jaccard_join, op6_sharding, op7_toxicity, op8_url_filter, op9_language_model, op10_license_scan, op13_filter_audit,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_repeats, op4_packing, op5_jaccard_join, op6_sharding, op7_toxicity, op8_url_filter, op9_language_model, op10_license_scan)}
+    return {f.__name__: f for f in QUERIES}
 
 
 NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -169,5 +178,25 @@ FROM d LEFT JOIN f USING (doc_id)
 """
 
 
+#: Masks by row, then every order step by step; no transform and no closed form: shapley counts the orders in which a mask is met first.
+OP13_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+m AS (SELECT w.doc_id, part, CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+      + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > first THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+p(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || x FROM p, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before FROM p, (SELECT unnest(range(1, 6)) AS step) WHERE length(filter_order) = 5),
+b AS (SELECT *, list_sum(list_transform(string_split(before, ''), lambda x: CASE WHEN x = '' THEN 0 ELSE 1 << (ascii(x) - 65) END)) AS before_mask, 1 << (ascii(own) - 65) AS own_mask FROM s),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE mask & own_mask = 0 AND mask & before_mask = 0), 0) AS kept, coalesce(sum(n) FILTER (WHERE mask & own_mask > 0 AND mask & before_mask = 0), 0) AS removed,
+      coalesce(sum(n) FILTER (WHERE mask & own_mask > 0 AND mask & before_mask > 0), 0) AS redundant, coalesce(sum(n) FILTER (WHERE mask = own_mask), 0) AS unique_fails,
+      coalesce(sum(good) FILTER (WHERE mask & own_mask > 0 AND mask & before_mask = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE mask & own_mask > 0 AND mask & before_mask = 0), 0) AS toxic_lost
+      FROM c, b GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_repeats": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op6_sharding": op6_sql(), "op9_language_model": OP9_SQL, "op10_license_scan": op10_sql()}
+    return {"op13_filter_audit": OP13_SQL, "op1_exact_dedup": OP1_SQL, "op3_repeats": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op6_sharding": op6_sql(), "op9_language_model": OP9_SQL, "op10_license_scan": op10_sql()}

@@ -21,7 +21,8 @@ def test_query_equals_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for name_ in ("documents", "labels"):
+        con.execute(f"create view {name_} as select * from '{SF}/{name_}.parquet'")
     df, rel = Q.queries()[name](spark, SF), con.sql(Q.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
     at = [rel.columns.index(c) for c in sorted(rel.columns)]
