@@ -28,7 +28,7 @@ def plain(docs, labels):
         if i is not None:
             seen[text] = min(i, seen.get(text, i))
     fails = [failed(t, i is not None and i > seen[t]) for i, t, _ in docs]
-    good, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, x in labels if x == 1}
+    good, toxic = {i for i, q, _ in labels if q == 1} - {None}, {i for i, _, x in labels if x == 1} - {None}  # a row without an id has no labels
     out = {}
     for part in {p for _, _, p in docs}:
         own = [k for k, d in enumerate(docs) if d[2] == part]
