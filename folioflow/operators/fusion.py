@@ -26,11 +26,12 @@ def fuse(semantic: DataFrame, keyword: DataFrame, k: int, id_col: str = "chunk_i
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("s_rank", "k_rank")
 
 
-def search(chunks: DataFrame, index: bm25.Bm25Index, queries: DataFrame, embedder: vector.Embedder | None = None, k: int = 5, mode: str = "hybrid", doc_ids: list[str] | None = None, pool: int = 20) -> DataFrame:
+def search(chunks: DataFrame, index: bm25.Bm25Index, queries: DataFrame, embedder: vector.Embedder | None = None, k: int = 5, mode: str = "hybrid", doc_ids: list[str] | None = None, pool: int = 20, near: vector.Search | None = None) -> DataFrame:
     """Hits of every query (query_id, query), in the schema of hits.
 
     chunks: with `embedding` unless the mode is keyword.  doc_ids: an empty list is no filter; the keyword
-    statistics stay global.  Each list is cut to `pool` before fusion; the text joins the final rows only."""
+    statistics stay global.  near: how the nearest vectors are found, exactly unless it says otherwise; under doc_ids always
+    exactly, as the filter goes first.  Each list is cut to `pool` before fusion; the text joins the final rows only."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     inside = chunks.where(F.col("doc_id").isin(list(doc_ids))) if doc_ids else chunks
@@ -40,15 +41,15 @@ def search(chunks: DataFrame, index: bm25.Bm25Index, queries: DataFrame, embedde
         if embedder is None:
             raise ValueError(f"mode {mode} needs an embedder")
         asked = queries.select("query_id", embedder.queries(F.col("query")).alias("embedding"))
-        near = vector.top(inside, asked, pool)
+        close = (vector.ExactSearch() if near is None or doc_ids else near).top(inside, asked, pool)
     if mode != "semantic":
         found = bm25.top(index, queries, pool, inside.select("chunk_id") if doc_ids else None)
     if mode == "keyword":
         hits = found.where(F.col("rank") <= k).withColumn("semantic_score", null).withColumn("keyword_score", F.col("score"))
     elif mode == "semantic":
-        hits = near.where(F.col("rank") <= k).withColumn("semantic_score", F.col("score")).withColumn("keyword_score", null)
+        hits = close.where(F.col("rank") <= k).withColumn("semantic_score", F.col("score")).withColumn("keyword_score", null)
     else:
-        hits = fuse(near, found, k)
+        hits = fuse(close, found, k)
     # At most k rows for each query from here on.
     fields = ["chunk_id", "doc_id", "doc_name", "page", "section", "text", *(["embedding"] if mode == "hybrid" else [])]
     rows = chunks.select(*fields).join(F.broadcast(hits) if _few(queries, k) else hits, "chunk_id")

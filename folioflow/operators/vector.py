@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.operators.quantizer import SCORES, matrix
 
-#: Queries that one pass over the vectors compares; more queries take more passes.
-QUERY_BLOCK = 4096
-#: Scores that a batch of vectors holds at a time.
-SCORES = 2_000_000
+#: Queries, and entries of them, that may go to the vectors; more meet them in a grid of blocks of this size.
+QUERY_BLOCK, QUERY_VALUES = 4096, 1 << 20
+#: Vectors in a block of the grid.
+VECTOR_BLOCK = 65_536
 #: Texts that the hashing embedder counts at a time.
 EMBEDDED_ROWS = 1000
 
@@ -99,61 +100,108 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows as float64, which rows have dims values); others are zeros."""
-    good = np.array([v is not None and v == dims for v in pa.compute.list_value_length(column).to_pylist()], dtype=bool)
-    out = np.zeros((len(column), dims))
-    if good.any():
-        out[good] = np.asarray(pa.compute.list_flatten(column.filter(pa.array(good)))).reshape(-1, dims)
-    return out, good
+def best_of(score: np.ndarray, ids: pa.Array, names: pa.Array, k: int, id_col: str) -> pa.RecordBatch:
+    """(query_id, id, score): the k best of each row of scores; of equal ones the first.  ids: those of the columns, sorted."""
+    least = np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else -np.inf
+    query, row = np.nonzero(score >= least)  # the k best and what ties with the last
+    order = np.lexsort((row, -score[query, row], query))
+    query, row = query[order], row[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    query, row = query[kept], row[kept]
+    return pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(row)), pa.array(score[query, row])], ["query_id", id_col, "score"])
 
 
-def top(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "chunk_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
-    """(query_id, id, score, rank): the k nearest by cosine, for vectors of unit length; ties by id.
+def compared(asked: np.ndarray, names: pa.Array, have: np.ndarray, ids: pa.Array, k: int, id_col: str, digits: int) -> Iterator[pa.RecordBatch]:
+    """The best k rows for each query, SCORES products at a time."""
+    order = pa.compute.sort_indices(ids)
+    have, ids = have[order.to_numpy()], ids.take(order)
+    width = max(1, SCORES // max(len(have), 1))
+    for lo in range(0, len(asked) if len(have) else 0, width):
+        score = np.round(asked[lo : lo + width] @ have.T, digits)
+        yield best_of(score, ids, names.slice(lo, len(score)), k, id_col)
 
-    queries: (query_id, embedding).  They go to the vectors in blocks of about QUERY_BLOCK, dealt by hash; every Arrow batch of
-    vectors gives its own best k for each query, so the shuffle carries k rows for a query and batch, never all
-    pairs.  Scores are rounded first, so that ties are the same everywhere."""
-    spark = vectors.sparkSession
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    rows = queries.select("query_id", "embedding").where("embedding is not null")
-    n = rows.count()
-    blocks = -(-n // QUERY_BLOCK)
-    found = None
-    for block in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else rows
-        own = own.orderBy("query_id").toArrow()
-        if not own.num_rows:
-            continue
-        dims = max(pa.compute.list_value_length(own.column("embedding")).to_pylist(), default=0)
-        asked, good = matrix(own.column("embedding").combine_chunks(), dims)
-        handle = spark.sparkContext.broadcast((asked[good].T, own.column("query_id").combine_chunks().filter(pa.array(good))))
-
-        def best(batches: Iterator[pa.RecordBatch], handle=handle, dims=dims) -> Iterator[pa.RecordBatch]:
-            asked, names = handle.value
-            for batch in batches:
-                have, good = matrix(batch.column(1), dims)
-                ids = batch.column(0).filter(pa.array(good))
-                have = have[good]
-                if not len(have):
-                    continue
-                order = pa.compute.sort_indices(ids).to_numpy()
-                have, ids = have[order], ids.take(pa.array(order))
-                width = max(1, SCORES // len(have))
-                for lo in range(0, asked.shape[1], width):
-                    score = np.round(asked[:, lo : lo + width].T @ have.T, digits)
-                    least = np.partition(score, -k, axis=1)[:, -k, None] if len(have) > k else -np.inf
-                    query, row = np.nonzero(score >= least)  # the k best and what ties with the last, by id
-                    best_first = np.lexsort((row, -score[query, row], query))
-                    query, row = query[best_first], row[best_first]
-                    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
-                    query, row = query[kept], row[kept]
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(lo + query)), ids.take(pa.array(row)), pa.array(score[query, row])], ["query_id", id_col, "score"])
-
-        part = vectors.select(id_col, vector_col).mapInArrow(best, f"query_id {query_type}, {id_col} {id_type}, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], f"query_id {query_type}, {id_col} {id_type}, score double")
+
+def ranked(found: DataFrame, k: int, id_col: str) -> DataFrame:
+    """The k best of each query with `rank`.  Spark keeps k rows for each query and task before anything is shuffled."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def by_length(queries: pa.Table) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """(length, vectors, names) of the queries of each length."""
+    column, names = queries.column("embedding").combine_chunks(), queries.column("query_id").combine_chunks()
+    for dims in sorted(set(pa.compute.list_value_length(column).to_pylist())):
+        wanted, good = matrix(column, dims)
+        yield dims, wanted[good], names.filter(pa.array(good))
+
+
+def _to_every_batch(vectors: DataFrame, rows: pa.Table, k: int, id_col: str, digits: int, schema: str) -> DataFrame:
+    """A block of queries goes with the code to every batch of vectors, which isn't shuffled."""
+    asked = list(by_length(rows))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dims, wanted, names in asked:
+                have, good = matrix(batch.column(1), dims)
+                yield from compared(wanted, names, have[good], batch.column(0).filter(pa.array(good)), k, id_col, digits)
+
+    return vectors.mapInArrow(best, schema)
+
+
+def in_blocks(n: int, each: int, *columns: str) -> tuple[Column, int]:
+    """(number of a row's block, how many blocks there are): rows dealt by the hash of columns to blocks of about `each`."""
+    count = max(1, -(-n // each))
+    return F.pmod(F.xxhash64(*columns), F.lit(count)).cast("int"), count
+
+
+def _grid(vectors: DataFrame, queries: DataFrame, n: int, k: int, id_col: str, digits: int, schema: str) -> DataFrame:
+    """Blocks of queries and blocks of vectors meet in the cells of a grid, each one matrix product; nothing goes to the driver."""
+    query_block, n_query_blocks = in_blocks(n, QUERY_BLOCK, "query_id")
+    vector_block, n_vector_blocks = in_blocks(vectors.count(), VECTOR_BLOCK, id_col)
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = vectors.withColumn("v", vector_block).withColumn("q", every(n_query_blocks))
+    right = queries.withColumn("q", query_block).withColumn("v", every(n_vector_blocks))
+
+    def cell(have: pa.Table, asked: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": asked.column("query_id").slice(0, 0), id_col: have.column(0).slice(0, 0), "score": pa.array([], pa.float64())})
+        if not (have.num_rows and asked.num_rows):
+            return empty
+        found = []
+        for dims, wanted, names in by_length(asked):
+            rows, good = matrix(have.column(1).combine_chunks(), dims)
+            found += compared(wanted, names, rows[good], have.column(0).combine_chunks().filter(pa.array(good)), k, id_col, digits)
+        return pa.Table.from_batches(found) if found else empty
+
+    return left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(cell, schema)
+
+
+def top(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "chunk_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
+    """(query_id, id, score, rank): the k nearest by cosine, for vectors of unit length; ties by id.
+
+    queries: (query_id, embedding), any number.  One block of them (QUERY_BLOCK rows, checked) goes to the vectors, which stay
+    where they are; more meet them in a grid of blocks, each cell of which gives its own best k for each query.  What is ranked
+    is k rows for a query and cell, never all pairs.  Scores are rounded first, so that ties are the same everywhere.
+    Vectors that are null, of another length than the query's or not finite aren't compared."""
+    id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((vectors, id_col), (queries, "query_id")))
+    schema = f"query_id {query_type}, {id_col} {id_type}, score double"
+    asked = queries.select("query_id", "embedding").where("embedding is not null")
+    have = vectors.select(id_col, vector_col)
+    head = asked.limit(QUERY_BLOCK + 1).agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if head[0] * (head[1] or 0) <= QUERY_VALUES and head[0] <= QUERY_BLOCK:
+        found = _to_every_batch(have, asked.orderBy("query_id").toArrow(), k, id_col, digits, schema)
+    else:
+        found = _grid(have, asked, asked.count(), k, id_col, digits, schema)
+    return ranked(found, k, id_col)
+
+
+class Search(Protocol):
+    """Finds the nearest vectors of each query: (query_id, id, score, rank), ties by id."""
+
+    def top(self, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame: ...
+
+
+class ExactSearch:
+    """Compares every query with every vector."""
+
+    def top(self, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        return top(vectors, queries, k)

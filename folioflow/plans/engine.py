@@ -90,9 +90,14 @@ class Engine:
         texts = [texts] if isinstance(texts, str) else texts
         return self.spark.createDataFrame([(str(i), q) for i, q in enumerate(texts)], "query_id string, query string")
 
-    def search(self, queries: str | list[str] | DataFrame, k: int = 5, mode: str = "hybrid", doc_ids: list[str] | None = None) -> DataFrame:
-        chunks = self.store.chunks()
-        return fusion.search(chunks, self.store.index(), self.queries(queries), self.embedder, k, mode, doc_ids, self.settings.pool)
+    def index_vectors(self) -> None:
+        """Builds a vector index of what the store holds; searches with approximate=True use the newest."""
+        self.store.index_vectors()
+
+    def search(self, queries: str | list[str] | DataFrame, k: int = 5, mode: str = "hybrid", doc_ids: list[str] | None = None, approximate: bool = False) -> DataFrame:
+        """approximate: vectors are found by the index, if one was built; under doc_ids they are compared exactly."""
+        near = self.store.near() if approximate else vector.ExactSearch()
+        return fusion.search(self.store.chunks(), self.store.index(), self.queries(queries), self.embedder, k, mode, doc_ids, self.settings.pool, near)
 
     def ask(self, queries: str | list[str] | DataFrame, k: int = 5, min_score: float | None = None) -> DataFrame:
         asked = self.queries(queries)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.operators import answering, bm25, chunking, evaluation, fusion, running_lines, vector
+from folioflow.operators.vector_index import VectorIndex
 from folioflow.plans import scratch, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +153,12 @@ def cosine_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.top(_vectors(spark, sf_dir).where("label in (1, 3, 5)"), _asked(spark, sf_dir), TOP, "vec_id")
 
 
+def cosine_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As cosine_topk, by an index of all rows that is built for it."""
+    index = VectorIndex.build(_vectors(spark, sf_dir), f"{scratch.folder(spark)}/vectors", "vec_id")
+    return index.top(None, _asked(spark, sf_dir), TOP, "vec_id")
+
+
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     buckets = table(spark, sf_dir, "documents").select("doc_id", F.explode(vector.HashingEmbedder(256).buckets(F.col("text"))).alias("bucket"))
     counts = buckets.groupBy("doc_id", "bucket").agg(F.count("*").alias("n"))
@@ -318,7 +325,7 @@ def store_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: tuple[Query, ...] = (
     chunk_windows, chunk_pack, clean_text, repeat_lines, needs_ocr, doc_identity, dedup_ingest, doc_catalog, ingest_stats, doc_text_concat, conversation_text, query_tokens,
-    bm25_topk, bm25_doc_filter, bm25_stemmed, bm25_phrases, index_stats, cosine_topk, cosine_filtered, hash_embed, rrf_hybrid, cosine_fill, abstain, citations, prompt_build,
+    bm25_topk, bm25_doc_filter, bm25_stemmed, bm25_phrases, index_stats, cosine_topk, cosine_filtered, cosine_index_topk, hash_embed, rrf_hybrid, cosine_fill, abstain, citations, prompt_build,
     no_answer, ask_extractive, eval_outcomes, eval_rates, extract_json, delete_doc, preview, search_keyword, search_semantic, search_hybrid, embed_passages, store_ingest, store_delete,
 )
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow import schemas
-from folioflow.operators import bm25
+from folioflow.operators import bm25, vector
+from folioflow.operators.vector_index import VectorIndex
 
 TABLES = {"chunks": schemas.CHUNKS_STORED, "postings": schemas.POSTINGS, "lengths": schemas.LENGTHS, "documents": schemas.DOCUMENTS, "tombstones": "doc_id string"}
 
@@ -61,13 +62,31 @@ class Store:
             return self.spark.createDataFrame([], TABLES[name] + ", seq int")
         return self.spark.read.option("basePath", f"{self.root}/{name}").schema(TABLES[name] + ", seq int").parquet(*paths)
 
-    def _live(self, name: str) -> DataFrame:
-        rows = self._table(name)
+    def _live(self, name: str, after: int = 0) -> DataFrame:
+        rows = self._table(name).where(F.col("seq") > after)
         dead = self._table("tombstones").groupBy(F.col("doc_id").alias("__doc")).agg(F.max("seq").alias("__seq"))
         return rows.join(dead, (F.col("doc_id") == F.col("__doc")) & (F.col("seq") < F.col("__seq")), "left_anti").drop("seq")
 
-    def chunks(self) -> DataFrame:
-        return self._live("chunks")
+    def chunks(self, after: int = 0) -> DataFrame:
+        """The live chunks, of writes after a sequence number."""
+        return self._live("chunks", after)
+
+    def last(self, name: str | None = None) -> int:
+        """The newest committed number, of those that wrote a table; 0 without any."""
+        have = None if name is None else {*self._names(name)}
+        return max((n for n in self._committed() if have is None or f"seq={n}" in have), default=0)
+
+    def index_vectors(self) -> None:
+        """A vector index of the live chunks as they are now; later writes and deletes are seen to by `near`."""
+        number = self.last()
+        if number and str(number) not in self._names("vectors"):
+            VectorIndex.build(self.chunks(), f"{self.root}/vectors/{number}")
+
+    def near(self) -> vector.Search:
+        """The search of the newest vector index, with what was written since compared exactly and what was deleted left out;
+        the exact search where there is no index."""
+        built = [int(n) for n in self._names("vectors") if n.isdigit() and "model" in self._names(f"vectors/{n}")]
+        return IndexedSearch(self, max(built)) if built else vector.ExactSearch()
 
     def documents(self) -> DataFrame:
         return self._live("documents")
@@ -119,6 +138,21 @@ class Store:
         return found["text"] if found else ""
 
 
+class IndexedSearch:
+    def __init__(self, store: Store, number: int):
+        self.store, self.number = store, number
+        self.index = VectorIndex(store.spark, f"{store.root}/vectors/{number}")
+
+    def top(self, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        store = self.store
+        alive = store.chunks().select("chunk_id") if store.last("tombstones") > self.number else None
+        found = self.index.top(None, queries, k, alive=alive)
+        if store.last("chunks") > self.number:
+            fresh = vector.top(store.chunks(self.number), queries, k)
+            found = vector.ranked(found.drop("rank").unionByName(fresh.drop("rank")), k, "chunk_id")
+        return found
+
+
 def catalog(chunks: DataFrame) -> DataFrame:
     """(doc_id, doc_name, n_chunks)."""
     return chunks.groupBy("doc_id").agg(F.min_by("doc_name", "chunk_index").alias("doc_name"), F.count("*").cast("int").alias("n_chunks"))
