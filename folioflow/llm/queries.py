@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, filter_audit, jaccard_join, language_model, license_scan, packing, repeats, sharding, toxicity, url_filter, whitening
+from . import decontaminate, embedding_dedup, exact_dedup, filter_audit, jaccard_join, language_model, license_scan, packing, repeats, sharding, toxicity, url_filter, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -79,7 +83,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Query, ...] = (
-    op1_exact_dedup, op2_decontaminate, op3_repeats, op4_packing, op5_jaccard_join, op6_sharding, op7_toxicity, op8_url_filter, op9_language_model, op10_license_scan, op12_whitening, op13_filter_audit,
+    op1_exact_dedup, op2_decontaminate, op3_repeats, op4_packing, op5_jaccard_join, op6_sharding, op7_toxicity, op8_url_filter, op9_language_model, op10_license_scan, op11_embedding_dedup, op12_whitening, op13_filter_audit,
 )
 
 
