@@ -95,7 +95,7 @@ def _stem(word: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def stemmed(term: pd.Series) -> pd.Series:
-    """Each distinct term of a batch is stemmed once."""
-    codes, distinct = pd.factorize(term)
-    return pd.Series([stem(t) for t in distinct], dtype=object).take(codes).reset_index(drop=True) if len(distinct) else term
+def stemmed(phrase: pd.Series) -> pd.Series:
+    """Phrases of terms with a space between them, each term stemmed; each distinct phrase of a batch once."""
+    codes, distinct = pd.factorize(phrase)
+    return pd.Series([" ".join(map(stem, p.split(" "))) for p in distinct], dtype=object).take(codes).reset_index(drop=True) if len(distinct) else phrase

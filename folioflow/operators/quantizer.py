@@ -38,6 +38,16 @@ def matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return out, good
 
 
+def best_columns(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest scores of each row, best first; of equal ones the first columns.  Scores of -inf are none."""
+    least = np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else -np.inf
+    row, column = np.nonzero((score >= least) & (score > -np.inf))  # the k best and what ties with the last
+    order = np.lexsort((column, -score[row, column], row))
+    row, column = row[order], column[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], column[kept]
+
+
 def blocks(n: int, width: int) -> Iterator[slice]:
     """Slices of n rows whose scores with `width` centres fit SCORES."""
     step = max(1, SCORES // max(width, 1))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
-from folioflow.operators.quantizer import SCORES, matrix
+from folioflow.operators.quantizer import SCORES, best_columns, matrix
 
 #: Queries, and entries of them, that may go to the vectors; more meet them in a grid of blocks of this size.
 QUERY_BLOCK, QUERY_VALUES = 4096, 1 << 20
@@ -102,12 +102,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def best_of(score: np.ndarray, ids: pa.Array, names: pa.Array, k: int, id_col: str) -> pa.RecordBatch:
     """(query_id, id, score): the k best of each row of scores; of equal ones the first.  ids: those of the columns, sorted."""
-    least = np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else -np.inf
-    query, row = np.nonzero(score >= least)  # the k best and what ties with the last
-    order = np.lexsort((row, -score[query, row], query))
-    query, row = query[order], row[order]
-    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
-    query, row = query[kept], row[kept]
+    query, row = best_columns(score, k)
     return pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(row)), pa.array(score[query, row])], ["query_id", id_col, "score"])
 
 

@@ -191,8 +191,9 @@ def oracle_sql() -> dict[str, str]:
         "bm25_doc_filter": f"WITH {BM25.replace("@where", '''WHERE chunk_id IN (SELECT doc_id FROM documents WHERE lang = 'de')''')} SELECT * FROM bm25 WHERE rank <= 20",
         "bm25_phrases": f"""
             WITH t AS (SELECT doc_id, {folded("text")} AS ts FROM documents), p AS (SELECT item_id, {folded("text")} AS qs FROM benchmark),
+            q AS (SELECT DISTINCT item_id, unnest(qs[:-2]) AS a, unnest(qs[2:]) AS b FROM p WHERE len(qs) > 1),
             adj AS (SELECT doc_id, unnest(ts[:-2]) AS a, unnest(ts[2:]) AS b FROM t WHERE len(ts) > 1)
-            SELECT item_id AS query_id, doc_id AS chunk_id, count(*) AS f FROM p JOIN adj ON a = qs[1] AND b = qs[2] GROUP BY 1, 2""",
+            SELECT item_id AS query_id, a || ' ' || b AS phrase, doc_id AS chunk_id, count(*) AS f FROM q JOIN adj USING (a, b) GROUP BY 1, 2, 3""",
         "index_stats": f"WITH tok AS (SELECT doc_id, unnest({folded('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok GROUP BY 1",
         "cosine_topk": f"WITH {COSINE.replace('@asked', TWENTIETH).replace('@where', '')} SELECT * FROM cosine WHERE rank <= 20",
         "cosine_filtered": f"WITH {COSINE.replace('@asked', TWENTIETH).replace("@where", 'AND v.label IN (1, 3, 5)')} SELECT * FROM cosine WHERE rank <= 20",

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioflow import scratch
 from folioflow.functions import text as X
 from folioflow.operators import answering, bm25, chunking, evaluation, fusion, running_lines, vector
 from folioflow.operators.vector_index import VectorIndex
-from folioflow.plans import scratch, store
+from folioflow.plans import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,7 +46,7 @@ def _window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _doc_chunks(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ()) -> DataFrame:
     """Documents as chunks of their own; the number is the id, so ties are broken by it."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", *columns)
+    return scratch.spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", *columns))
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,15 +126,15 @@ def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query tokens with an underscore are phrases of adjacent terms: the first two words of each item."""
-    pair = _benchmark(spark, sf_dir).select("query_id", F.array_join(F.slice(X.index_tokens(F.col("query")), 1, 2), "_").alias("query"))
-    found = bm25.matches(bm25.build_index(_doc_chunks(spark, sf_dir), stem=False), pair)
-    return found.select("query_id", "chunk_id", F.col("f").cast("long").alias("f"))
+    """Query tokens with an underscore are phrases of adjacent terms: every two words that stand side by side in an item."""
+    words = X.index_tokens(F.col("query"))
+    pairs = F.transform(F.slice(words, 2, 1 << 30), lambda w, i: F.concat_ws("_", F.get(words, i), w))
+    asked = _benchmark(spark, sf_dir).select("query_id", F.array_join(pairs, " ").alias("query"))
+    return bm25.matches(bm25.build_index(_doc_chunks(spark, sf_dir), stem=False), asked)
 
 
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = bm25.build_index(_doc_chunks(spark, sf_dir), stem=False)
-    return index.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("cf"))
+    return bm25.build_index(_doc_chunks(spark, sf_dir), stem=False).term_counts()
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,7 @@
 
 SEGMENTS = "doc_id string, doc_name string, seg_no int, page int, section string, text string, method string, needs_ocr boolean"
 CHUNKS = "chunk_id string, doc_id string, doc_name string, page int, section string, chunk_index int, text string, word_count int, method string"
-CHUNKS_STORED = CHUNKS + ", embedding array<float>"
-POSTINGS = "term string, chunk_id string, doc_id string, positions array<int>"
-LENGTHS = "chunk_id string, doc_id string, dl int"
+CHUNKS_STORED = CHUNKS + ", embedding array<float>, number long, dl int"
 DOCUMENTS = "doc_id string, doc_name string, n_chunks int, added_at timestamp"
 HITS = "query_id string, rank int, chunk_id string, doc_id string, doc_name string, page int, section string, text string, citation string, score double, semantic_score double, keyword_score double"
 ANSWERS = "query_id string, query string, answer string, abstained boolean, citations array<string>, top_score double"

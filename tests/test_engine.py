@@ -70,23 +70,74 @@ def test_writers_claim_numbers_of_their_own(spark, tmp_path, landing):
     assert engine.store._committed() == [first + 2] and engine.documents().count() == 1
 
 
-def test_the_stored_index_is_that_of_the_live_chunks(spark, tmp_path, landing):
-    """Ingested in two writes, then one document deleted: postings, lengths and scores are those of an index built anew."""
+def stored_like_built(engine, queries, k=5):
+    """Postings, statistics and best chunks are those of an index built anew from the live chunks; returns the best."""
     from folioflow.operators import bm25
 
+    stored, built = engine.store.index(), bm25.build_index(engine.store.chunks())
+    rows = lambda index: sorted((r["term"], r["chunk_id"], r["dl"], sorted(r["positions"])) for r in index.postings().collect())
+    assert rows(stored) == rows(built) and stored.stats.collect() == built.stats.collect()
+    assert sorted(map(tuple, stored.frequencies().collect())) == sorted((r["term"], r["df"]) for r in built.term_counts().collect())
+    found = lambda index: sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in bm25.top(index, queries, k).collect())
+    assert found(stored) == found(built)
+    return found(stored)
+
+
+def test_the_stored_index_is_that_of_the_live_chunks(spark, tmp_path, landing):
+    """Ingested in two writes, one document deleted, added again and deleted again."""
     engine = Engine(spark, Settings(root=str(tmp_path / "store")))
     for name in ("a.pdf", "b.docx"):
         engine.ingest(str(landing / name))
-    for _ in range(2):
-        stored, built = engine.store.index(), bm25.build_index(engine.store.chunks())
-        rows = lambda index: sorted((r["term"], r["chunk_id"], sorted(r["positions"])) for r in index.postings().collect())
-        assert rows(stored) == rows(built) and stored.stats.collect() == built.stats.collect()
-        asked = engine.queries(["payment of the invoice", "w3 agreement"])
-        found = lambda index: sorted(tuple(r) for r in bm25.top(index, asked).collect())
-        assert found(stored) == found(built)
-        engine.delete(engine.documents().where("doc_name = 'a.pdf'").first()["doc_id"]) if engine.documents().count() > 1 else None
-    plan = engine.store.index().postings(spark.createDataFrame([("payment",)], "term string"))._jdf.queryExecution().toString()
+    asked = engine.queries(["payment of the invoice", "w3 agreement", "agreement_with thirty_days payment_of_the", ""])
+    assert stored_like_built(engine, asked)
+    first = engine.documents().where("doc_name = 'a.pdf'").first()["doc_id"]
+    assert engine.delete(first)
+    stored_like_built(engine, asked)
+    engine.ingest(str(landing / "a.pdf"))
+    assert stored_like_built(engine, asked)
+    assert engine.delete(first)
+    stored_like_built(engine, asked)
+    plan = engine.store.index().postings(["payment"])._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "EqualTo(term,payment)" in plan.replace(" ", "")
+    assert "chunks" not in engine.store.index().stats._jdf.queryExecution().toString()
+
+
+def test_blocks_and_shards(spark, tmp_path, monkeypatch):
+    """Many chunks in small blocks and shards, with skewed terms: the best by block maxima are the best of all."""
+    import numpy as np
+
+    from folioflow.operators import bm25, postings
+
+    monkeypatch.setattr(postings, "BLOCK", 4)
+    engine = Engine(spark, Settings(root=str(tmp_path / "store")))
+    r = np.random.default_rng(3)
+    text = lambda: " ".join(f"t{int(x)}" for x in np.minimum(r.zipf(1.3, int(r.integers(1, 60))), 400))
+    schema = "chunk_id string, doc_id string, doc_name string, page int, section string, chunk_index int, text string, word_count int, method string"
+    rows = [(f"d{i // 3}:{i % 3:04d}", f"d{i // 3}", "x.pdf", 1, None, i % 3, text(), 5, "text") for i in range(600)]
+    chunks = spark.createDataFrame(rows, schema).withColumn("embedding", F.lit(None).cast("array<float>"))
+    engine.store.add(chunks.where("doc_id < 'd5'"))
+    engine.store.add(chunks)
+    asked = engine.queries(["t1 t2 t3 t40 t41", "t1", "t7 t300 t301 t302", "t1_t1 t1_t2_t1 t5", "t2 T2 t9_t9", "nothing"])
+    stored_like_built(engine, asked, 3)
+    assert engine.store.delete([f"d{i}" for i in range(0, 200, 7)])
+    stored_like_built(engine, asked, 2000)
+    allowed = engine.store.chunks().where("chunk_index = 1").select("chunk_id")
+    found = lambda index: sorted(map(tuple, bm25.top(index, asked, 4, allowed).select("query_id", "rank", "chunk_id", "score").collect()))
+    assert found(engine.store.index()) == found(bm25.build_index(engine.store.chunks()))
+    blocks = engine.store.table("postings").where("term = 't1'")
+    assert blocks.count() > 20 and blocks.agg(F.max("n")).first()[0] == 4
+
+
+def test_bytes_and_bounds():
+    import numpy as np
+
+    from folioflow.operators import postings
+
+    r = np.random.default_rng(0)
+    values = np.concatenate([r.integers(0, 2**b, 50) for b in (3, 7, 8, 14, 15, 21, 28, 34)] + [np.array([0, 127, 128, 2**35 - 1])])
+    data, ends = postings.pack(values)
+    assert (postings.unpack(data.tobytes()) == values).all() and ends[-1] == len(data)
+    assert len(postings.unpack(b"")) == 0 and len(postings.pack(np.zeros(0, np.int64))[0]) == 0
 
 
 def test_extraction_says_what_became_of_each_document(spark, tmp_path, landing):
