@@ -2,35 +2,38 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _fold(sizes: np.ndarray, most: int, whole: bool) -> list[int]:
+def fitting_groups(sizes: list[int], most: int) -> list[int]:
+    """The group number of each size: a new group before a size that would take the group over `most`."""
     groups, group, held = [], 0, 0
-    for n in sizes.tolist():
-        if held and (held + n > most if whole else held >= most):
+    for n in sizes:
+        if held and held + n > most:
             group, held = group + 1, 0
         groups.append(group)
         held += n
     return groups
 
 
-def _groups(sizes: Column, most: int, whole: bool) -> Column:
-    @F.pandas_udf("array<int>")
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: None if x is None else _fold(np.asarray(x), most, whole))
-
-    return run(sizes)
+def reaching_groups(sizes: list[int], most: int) -> list[int]:
+    """The group number of each size: a new group once the last holds `most` or more."""
+    groups, group, held = [], 0, 0
+    for n in sizes:
+        if held >= most:
+            group, held = group + 1, 0
+        groups.append(group)
+        held += n
+    return groups
 
 
-def fitting(sizes: Column, most: int) -> Column:
-    """The group number of each size: a new group before a size that would take the group over `most`."""
-    return _groups(sizes, most, True)
+def reaching(sizes: Column, most: int) -> Column:
+    """reaching_groups of an array column."""
 
+    @F.pandas_udf("array<int>")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: None if x is None else reaching_groups(x.tolist(), most))
 
-def reaching(sizes: Column, most: int) -> Column:
-    """The group number of each size: a new group once the last holds `most` or more."""
-    return _groups(sizes, most, False)
+    return run(sizes)

@@ -82,7 +82,7 @@ df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY 1),
 q AS (SELECT item_id AS query_id, strip_accents(unnest({surface("text")})) AS term FROM benchmark),
 idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM df, st),
 scored AS (SELECT query_id, chunk_id, round(sum(idf * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (chunk_id), st @where GROUP BY 1, 2),
-bm25 AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM scored)
+bm25 AS MATERIALIZED (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM scored)
 """
 
 COSINE = """
@@ -128,13 +128,14 @@ def embedded(name: str, key: str, rows: str) -> str:
     return f"""
 {name}_t AS (SELECT {key}, unnest(regexp_extract_all(lower(coalesce(text, '')), '{QUERY_TOKEN}')) AS t FROM {rows}),
 {name}_c AS (SELECT {key}, CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % 256 AS INTEGER) AS bucket, count(*) AS n FROM {name}_t GROUP BY 1, 2),
-{name} AS (SELECT {key}, bucket, CAST(CAST(n / sqrt(sum(CAST(n * n AS DOUBLE)) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS w FROM {name}_c)"""
+{name} AS MATERIALIZED (SELECT {key}, bucket, CAST(CAST(n / sqrt(sum(CAST(n * n AS DOUBLE)) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS w FROM {name}_c)"""
 
 
 SEARCH = f"""
 {BM25.replace('@where', '')}, {embedded('dv', 'doc_id', 'documents')}, {embedded('qv', 'item_id', 'benchmark')},
-dots AS (SELECT q.item_id AS query_id, d.doc_id, sum(q.w * d.w) AS dot FROM qv q JOIN dv d USING (bucket) GROUP BY 1, 2),
-cos AS (SELECT i.item_id AS query_id, d.doc_id, round(coalesce(dot, 0), 6) AS score, printf('d%d:0000', d.doc_id) AS chunk FROM benchmark i CROSS JOIN documents d LEFT JOIN dots ON dots.query_id = i.item_id AND dots.doc_id = d.doc_id),
+dl_ AS MATERIALIZED (SELECT doc_id, list(coalesce(w, 0::DOUBLE) ORDER BY bucket) AS v FROM (SELECT doc_id, unnest(range(256)) AS bucket FROM documents) LEFT JOIN dv USING (doc_id, bucket) GROUP BY 1),
+ql_ AS MATERIALIZED (SELECT item_id, list(coalesce(w, 0::DOUBLE) ORDER BY bucket) AS v FROM (SELECT item_id, unnest(range(256)) AS bucket FROM benchmark) LEFT JOIN qv USING (item_id, bucket) GROUP BY 1),
+cos AS MATERIALIZED (SELECT q.item_id AS query_id, d.doc_id, round(list_inner_product(d.v, q.v), 6) AS score, printf('d%d:0000', d.doc_id) AS chunk FROM ql_ q, dl_ d),
 sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM cos),
 key AS (SELECT query_id, chunk_id AS doc_id, score, printf('d%d:0000', chunk_id) AS chunk, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, printf('d%d:0000', chunk_id)) AS rank FROM bm25),
 m AS (SELECT coalesce(s.query_id, k.query_id) AS query_id, coalesce(s.doc_id, k.doc_id) AS doc_id, k.score AS keyword_score, s.rank AS s_rank, k.rank AS k_rank,

@@ -19,7 +19,8 @@ TOP, POOL, HITS = 20, 20, 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scratch.spread(found) if name == "documents" else found
 
 
 def _segments(spark: SparkSession, sf_dir: str, text) -> DataFrame:
@@ -46,7 +47,7 @@ def _window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _doc_chunks(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ()) -> DataFrame:
     """Documents as chunks of their own; the number is the id, so ties are broken by it."""
-    return scratch.spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", *columns))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", *columns)
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
