@@ -51,19 +51,22 @@ class Engine:
         placed = named.select("path", "doc_id", "doc_name").join(first, "doc_id").join(known, "doc_id", "left").withColumn("new", F.col("known").isNull() & (F.col("path") == F.col("first_path")))
         placed = placed.persist()
         parsed = files.parse(named.join(placed.where("new").select("path"), "path", "left_semi"), self.parsers).persist()
+        chunks = None
         try:
             chunks = self.chunk(files.segments(parsed))
             chunks = chunks.withColumn("embedding", self.embedder.passages(F.col("text"))).persist()
             counts = chunks.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
             errors = parsed.where("error is not null").select("doc_id", "error")
-            status = F.when(~F.col("new"), "duplicate").when(F.col("error").isNotNull(), "failed").when(F.col("n").isNull(), "no_text").otherwise("indexed")
-            out = placed.join(errors, "doc_id", "left").join(counts, "doc_id", "left").select("path", "doc_id", "doc_name", F.when(F.col("new"), F.coalesce("n", F.lit(0))).otherwise(0).alias("n_chunks"), status.alias("status"), F.when(F.col("new"), F.col("error")).alias("error"))
+            # Copies of a file that can't be parsed, or with nothing in it, fail as it does.
+            status = F.when(F.col("error").isNotNull(), "failed").when(~F.col("new"), "duplicate").when(F.col("n").isNull(), "no_text").otherwise("indexed")
+            out = placed.join(errors, "doc_id", "left").join(counts, "doc_id", "left").select("path", "doc_id", "doc_name", F.when(F.col("new"), F.coalesce("n", F.lit(0))).otherwise(0).alias("n_chunks"), status.alias("status"), "error")
             log = f"{self.settings.root}/ingests/{uuid.uuid4().hex}"  # what was found before the store changed
             out.write.parquet(log)
             self.store.add(chunks)
-            chunks.unpersist()
             return self.spark.read.schema(STATUSES).parquet(log).orderBy("path")
         finally:
+            if chunks is not None:
+                chunks.unpersist()
             parsed.unpersist()
             placed.unpersist()
 

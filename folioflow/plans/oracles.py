@@ -219,6 +219,12 @@ def oracle_sql() -> dict[str, str]:
         "embed_passages": f"WITH {embedded('dv', 'doc_id', 'documents')} SELECT doc_id, bucket, round(w, 5) AS weight FROM dv",
         "store_ingest": f"{STORED} SELECT doc_id, doc_name, n_chunks, n_tokens FROM kept",
         "store_delete": f"{STORED} SELECT doc_id, n_chunks, n_tokens FROM kept WHERE doc_id NOT IN (SELECT 'd' || doc_id FROM labels WHERE toxic = 1)",
+        "docx_sections": f"""
+            WITH d AS (SELECT doc_id, doc_id // 50 AS file, lang, source, n_chars, regexp_replace(coalesce(text, ''), '[^\\t\\n\\x20-\\x{{D7FF}}\\x{{E000}}-\\x{{FFFD}}\\x{{10000}}-\\x{{10FFFF}}]', '', 'g') AS t FROM documents),
+            l AS (SELECT *, list_filter(list_transform(string_split(t, {NL}), lambda x: {strip('x')}), lambda x: x <> '') AS ls FROM d)
+            SELECT printf('%08d.docx', file) AS doc_name, 0 AS seg_no, 'paras 1-1' AS section, 'File ' || file AS text FROM d GROUP BY file
+            UNION ALL SELECT printf('%08d.docx', file), CAST(row_number() OVER (PARTITION BY file ORDER BY doc_id) AS INTEGER), 'Document ' || doc_id,
+                array_to_string(list_concat(['Document ' || doc_id], ls, [lang || ' | ' || n_chars || {NL} || source || ' | ']), {BLANK}) FROM l""",
         "extract_json": """
             SELECT CAST(event_id AS VARCHAR) AS invoice_number, json_extract_string(props, '$.k') AS vendor, CAST(NULL AS DOUBLE) AS total, CAST(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_lines,
             round(CASE WHEN event_id % 2 = 0 THEN coalesce(value, 0) ELSE 0 END, 6) AS amount FROM events""",

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from folioflow.functions import text as X
 from folioflow.operators import answering, bm25, chunking, evaluation, fusion, running_lines, vector
 from folioflow.operators.vector_index import VectorIndex
 from folioflow.plans import store
+from folioflow.sources import datasource, docx
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -325,10 +327,45 @@ def store_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.documents().join(words, "doc_id").select("doc_id", "n_chunks", "n_tokens")
 
 
+#: Documents in a Word file.
+DOCX_DOCUMENTS = 50
+
+
+def _word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, content): all documents as Word files of DOCX_DOCUMENTS each.  A line stands before the first heading; each document is a heading, its lines as
+    paragraphs, and a table of two rows in which cells side by side are equal.  What XML can't hold is left out."""
+    docs = table(spark, sf_dir, "documents")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\t\n\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "")
+    block = lambda style, text: F.struct(F.lit(style).alias("style"), text.alias("text"), F.lit(None).cast("array<array<string>>").alias("cells"))
+    size = F.coalesce(F.col("n_chars").cast("string"), F.lit(""))
+    cells = F.array(F.array(F.coalesce("lang", F.lit("")), F.coalesce("lang", F.lit("")), size), F.array(F.coalesce("source", F.lit("")), F.lit(""), F.lit(" ")))
+    heading = F.array(block("heading 1", F.format_string("Document %d", "doc_id")))
+    lines = F.transform(F.split(plain, "\n"), lambda line: block("", line))
+    closing = F.array(F.struct(F.lit("").alias("style"), F.lit("").alias("text"), cells.alias("cells")))
+    rows = docs.select(F.floor(F.col("doc_id") / DOCX_DOCUMENTS).alias("file"), "doc_id", F.concat(heading, lines, closing).alias("blocks"))
+    gathered = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("doc_id", "blocks"))).alias("documents"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [docx.written([docx.Block("", f"File {r['file']}"), *(docx.Block(b["style"], b["text"], b["cells"]) for d in r["documents"] for b in d["blocks"])]) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{n:08d}.docx" for n in batch.column(0).to_pylist()], pa.string()), pa.array(found, pa.binary())], ["name", "content"])
+
+    return gathered.mapInArrow(write, "name string, content binary")
+
+
+def docx_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as Word files and read back: the sections of each file, tables as text."""
+    folder = f"{scratch.folder(spark)}/word"
+    datasource.write(_word_files(spark, sf_dir), folder)
+    found = datasource.read(spark, folder).where("suffix = '.docx' and error is null")
+    rows = docx.sections(found.select("doc_id", "doc_name", F.col("seg_no").alias("block_no"), "style", F.col("paragraphs")[0].alias("text"), "cells"))
+    return rows.select("doc_name", "seg_no", "section", "text")
+
+
 QUERIES: tuple[Query, ...] = (
     chunk_windows, chunk_pack, clean_text, repeat_lines, needs_ocr, doc_identity, dedup_ingest, doc_catalog, ingest_stats, doc_text_concat, conversation_text, query_tokens,
     bm25_topk, bm25_doc_filter, bm25_stemmed, bm25_phrases, index_stats, cosine_topk, cosine_filtered, cosine_index_topk, hash_embed, rrf_hybrid, cosine_fill, abstain, citations, prompt_build,
-    no_answer, ask_extractive, eval_outcomes, eval_rates, extract_json, delete_doc, preview, search_keyword, search_semantic, search_hybrid, embed_passages, store_ingest, store_delete,
+    no_answer, ask_extractive, eval_outcomes, eval_rates, extract_json, delete_doc, preview, search_keyword, search_semantic, search_hybrid, embed_passages, store_ingest, store_delete, docx_sections,
 )
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,6 +57,29 @@ def blocks(content: bytes) -> Iterator[Block]:
             yield Block("", "", [["\n".join(_text(p) for p in cell.findall(W + "p")) for cell in row.findall(W + "tc")] for row in child.findall(W + "tr")])
 
 
+#: The parts of a Word file but its body.
+CONTENT_TYPES = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
+RELATIONS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
+
+
+def written(parts: Iterable[Block]) -> bytes:
+    """A Word file of blocks; the style's name is its id.  Text must be fit for XML."""
+
+    def paragraph(text: str, style: str = "") -> str:
+        named = f"<w:pPr><w:pStyle w:val={quoteattr(style)}/></w:pPr>" if style else ""
+        return f'<w:p>{named}<w:r><w:t xml:space="preserve">{escape(text)}</w:t></w:r></w:p>'
+
+    def table(cells: list[list[str]]) -> str:
+        return "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{paragraph(c)}</w:tc>" for c in row) + "</w:tr>" for row in cells) + "</w:tbl>"
+
+    body = "".join(table(b.cells) if b.cells is not None else paragraph(b.text, b.style) for b in parts)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as file:
+        for name, text in (("[Content_Types].xml", CONTENT_TYPES), ("_rels/.rels", RELATIONS), ("word/document.xml", f'<w:document xmlns:w="{W[1:-1]}"><w:body>{body}</w:body></w:document>')):
+            file.writestr(zipfile.ZipInfo(name), text, zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
 def table_text(cells: Column) -> Column:
     """Rows on lines, cells between ` | `; of equal cells side by side one stays, as they are one merged cell."""
     plain = lambda row: F.transform(row, lambda c: F.array_join(X.words(c), " "))

@@ -36,20 +36,26 @@ def identified(files: DataFrame) -> DataFrame:
     return files.select("path", X.content_id(F.col("content")).alias("doc_id"), X.base_name(F.col("path")).alias("doc_name"), X.suffix(F.col("path")).alias("suffix"), "content")
 
 
+def rows_of(doc_id: str, name: str, kind: str, content: bytes, parsers: dict[str, Parser]) -> list[tuple]:
+    """The PARSED rows of a file: one for each segment or block; a single one with `error` if it can't be parsed or there is nothing in it."""
+    try:
+        if kind not in parsers:
+            raise ValueError(f"unsupported file type: {kind or 'none'}")
+        found = list(parsers[kind](content))
+        if not any(not isinstance(p, docx.Block) or p.text.strip() or any(c.strip() for row in p.cells or () for c in row) for p in found):
+            raise ValueError("nothing in it")
+        parts = [(None, None, [p.text], p.style, p.cells) if isinstance(p, docx.Block) else (*p, None, None) for p in found]
+        return [(doc_id, name, i, *part, None) for i, part in enumerate(parts)]
+    except Exception as error:  # one bad file must not stop the others
+        return [(doc_id, name, 0, None, None, [], None, None, f"{name}: {error}")]
+
+
 def parse(files: DataFrame, parsers: dict[str, Parser] = PARSERS) -> DataFrame:
-    """identified() rows to PARSED rows: a row a segment or block (with a style); a file that can't be parsed is one row with `error`."""
+    """identified() rows to PARSED rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for doc_id, name, kind, content in zip(batch["doc_id"], batch["doc_name"], batch["suffix"], batch["content"], strict=True):
-                try:
-                    if kind not in parsers:
-                        raise ValueError(f"unsupported file type: {kind or 'none'}")
-                    parts = [(None, None, [p.text], p.style, p.cells) if isinstance(p, docx.Block) else (*p, None, None) for p in parsers[kind](bytes(content))]
-                    out += [(doc_id, name, i, *part, None) for i, part in enumerate(parts)]
-                except Exception as error:  # one bad file must not stop the others
-                    out.append((doc_id, name, 0, None, None, [], None, None, f"{name}: {error}"))
+            out = [row for d, n, k, c in zip(batch["doc_id"], batch["doc_name"], batch["suffix"], batch["content"], strict=True) for row in rows_of(d, n, k, bytes(c), parsers)]
             frame = pd.DataFrame(out, columns=["doc_id", "doc_name", "seg_no", "page", "section", "paragraphs", "style", "cells", "error"])
             yield frame.astype({"page": "Int32", "seg_no": "int32"})
 
