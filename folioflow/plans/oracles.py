@@ -183,6 +183,8 @@ def oracle_sql() -> dict[str, str]:
         "doc_identity": f"SELECT doc_id, {content_id('text')} AS content_id FROM documents",
         "dedup_ingest": f"""
             SELECT doc_id, {content_id("text")} AS content_id, CASE WHEN row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 THEN 'duplicate' WHEN len({words("text")}) < 5 THEN 'no_text' ELSE 'indexed' END AS status FROM documents""",
+        "stream_ingest": f"""
+            SELECT doc_id, {content_id("text")} AS content_id, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'duplicate' WHEN len({words("text")}) < 5 THEN 'no_text' ELSE 'indexed' END AS status FROM documents""",
         "doc_catalog": f"WITH RECURSIVE {CHUNK_PACK} SELECT doc_id, doc_name, CAST(count(*) AS INTEGER) AS n_chunks FROM chunks GROUP BY 1, 2",
         "ingest_stats": f"WITH RECURSIVE {CHUNK_PACK} SELECT (SELECT count(*) FROM documents) AS n_segments, count(*) AS n_chunks, round(coalesce(avg(word_count), 0), 6) AS mean_words FROM chunks",
         "doc_text_concat": f"WITH RECURSIVE {CHUNK_PACK} SELECT doc_id, string_agg(text, {BLANK} ORDER BY chunk_index) AS text FROM chunks GROUP BY 1",

@@ -14,6 +14,7 @@ from folioflow.operators import answering, bm25, chunking, evaluation, fusion, r
 from folioflow.operators.vector_index import VectorIndex
 from folioflow.plans import store
 from folioflow.sources import datasource, docx
+from folioflow.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -327,6 +328,15 @@ def store_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.documents().join(words, "doc_id").select("doc_id", "n_chunks", "n_tokens")
 
 
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_ingest by streaming state, a batch a file of documents."""
+    path, folder = f"{sf_dir}/documents.parquet", scratch.folder(spark)
+    schema = spark.read.parquet(path).schema
+    # A pattern, as a stream reads a file or a folder by it alike.
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path.replace(".parquet", ".parque[t]"))
+    return arrivals.track(stream, f"{folder}/statuses", f"{folder}/progress")
+
+
 #: Documents in a Word file.
 DOCX_DOCUMENTS = 50
 
@@ -365,7 +375,7 @@ def docx_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: tuple[Query, ...] = (
     chunk_windows, chunk_pack, clean_text, repeat_lines, needs_ocr, doc_identity, dedup_ingest, doc_catalog, ingest_stats, doc_text_concat, conversation_text, query_tokens,
     bm25_topk, bm25_doc_filter, bm25_stemmed, bm25_phrases, index_stats, cosine_topk, cosine_filtered, cosine_index_topk, hash_embed, rrf_hybrid, cosine_fill, abstain, citations, prompt_build,
-    no_answer, ask_extractive, eval_outcomes, eval_rates, extract_json, delete_doc, preview, search_keyword, search_semantic, search_hybrid, embed_passages, store_ingest, store_delete, docx_sections,
+    no_answer, ask_extractive, eval_outcomes, eval_rates, extract_json, delete_doc, preview, search_keyword, search_semantic, search_hybrid, embed_passages, store_ingest, store_delete, stream_ingest, docx_sections,
 )
 
 
