@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioflow import scratch
 from folioflow.functions import text as X
-from folioflow.operators import answering, bm25, chunking, evaluation, fusion, running_lines, vector
+from folioflow.operators import answering, bm25, chunking, evaluation, fusion, latent, running_lines, vector
 from folioflow.operators.vector_index import VectorIndex
 from folioflow.plans import store
 from folioflow.sources import datasource, docx
@@ -283,6 +283,26 @@ def _search(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     return hits.select("query_id", "rank", "chunk_id", "doc_id", "citation", "score", "semantic_score", "keyword_score")
 
 
+def _embedded(spark: SparkSession, sf_dir: str, embedder: vector.Embedder) -> DataFrame:
+    """The best five documents of each item by an embedder, and whether the item's passage stands in them."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    asked = _benchmark(spark, sf_dir)
+    near = vector.top(docs.select("chunk_id", embedder.passages(F.col("text")).alias("embedding")), asked.select("query_id", embedder.queries(F.col("query")).alias("embedding")), HITS)
+    return near.join(asked, "query_id").join(docs, "chunk_id").select("query_id", "rank", F.col("chunk_id").alias("doc_id"), "score", F.contains("text", F.col("query")).alias("holds_passage"))
+
+
+def search_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By an embedder that is learned from all documents."""
+    return _embedded(spark, sf_dir, latent.LatentEmbedder(latent.fit(table(spark, sf_dir, "documents"))))
+
+
+def embedder_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(embedder, passed, total): for how many items a document that holds the passage is among the best five, by the hashing and by the learned embedder."""
+    total = _benchmark(spark, sf_dir).count()
+    of = lambda name, hits: hits.groupBy("query_id").agg(F.max("holds_passage").alias("hit")).agg(F.lit(name).alias("embedder"), F.count_if("hit").alias("passed"), F.lit(total).cast("long").alias("total"))
+    return of("hashing", _embedded(spark, sf_dir, vector.HashingEmbedder())).unionByName(of("learned", search_learned(spark, sf_dir)))
+
+
 def search_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, "keyword")
 
@@ -375,7 +395,7 @@ def docx_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: tuple[Query, ...] = (
     chunk_windows, chunk_pack, clean_text, repeat_lines, needs_ocr, doc_identity, dedup_ingest, doc_catalog, ingest_stats, doc_text_concat, conversation_text, query_tokens,
     bm25_topk, bm25_doc_filter, bm25_stemmed, bm25_phrases, index_stats, cosine_topk, cosine_filtered, cosine_index_topk, hash_embed, rrf_hybrid, cosine_fill, abstain, citations, prompt_build,
-    no_answer, ask_extractive, eval_outcomes, eval_rates, extract_json, delete_doc, preview, search_keyword, search_semantic, search_hybrid, embed_passages, store_ingest, store_delete, stream_ingest, docx_sections,
+    no_answer, ask_extractive, eval_outcomes, eval_rates, extract_json, delete_doc, preview, search_keyword, search_semantic, search_hybrid, search_learned, embedder_rates, embed_passages, store_ingest, store_delete, stream_ingest, docx_sections,
 )
 
 
