@@ -15,12 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
 
 K = 2
+#: Templates over LONG_WORDS words are found by longer grams: pairs of words of a whole license stand in any text.
+LONG_WORDS, LONG_K = 64, 5
+#: Of a long template, diagonals further apart still are one passage: a word more or less in so many shifts the rest.
+WORDS_A_SHIFT = 100
 
 
 @dataclass(frozen=True)
@@ -50,21 +54,33 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def templates_of(spark: SparkSession, path: str) -> tuple[Template, ...]:
+    """The text files of a folder as templates; a file's name without its suffix is the label."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("label"), "value").orderBy("label").collect()
+    return tuple(Template(r["label"], r["value"]) for r in rows)
+
+
+def gram_size(n_words: int, k: int) -> int:
+    return k if n_words <= LONG_WORDS else max(k, LONG_K)
+
+
 def template_grams(templates: tuple[Template, ...], k: int) -> list[tuple[int, int, int, int]]:
     """(template number, position, gram hash, grams in the template)."""
     rows = []
     for number, t in enumerate(templates):
         words = W.hash_of(t.text)
-        if not k <= len(words) < 63 + k:
-            raise ValueError(f"a template needs from {k} to {62 + k} words: {t.text!r}")
-        hashed, _ = W.grams(words, np.array([0, len(words)]), k)
+        if len(words) < k:
+            raise ValueError(f"a template needs {k} words or more: {t.text!r}")
+        hashed, _ = W.grams(words, np.array([0, len(words)]), gram_size(len(words), k))
         rows += [(number, i, int(h), len(hashed)) for i, h in enumerate(signed(hashed))]
     return rows
 
 
-def passages(v: list[dict], based: list[bool], slack: int, least: float) -> tuple[list[tuple[int, int, float]], float]:
+def passages(v: list[dict], based: list[bool], slack: list[int], least: float) -> tuple[list[tuple[int, int, float]], float]:
     """((first, end, share) of each passage kept, in order; the largest share of all) of diagonals sorted by template and place.
 
+    based, slack: of each template whether it is a base phrase, and how far apart the diagonals of a passage may be.
+
     Every diagonal is tried as the start of a group, so that stray grams before a passage don't split it.  The best
     share goes first, of equal ones the shortest group; what it leaves of an overlapping group is tried again."""
 
@@ -77,7 +93,7 @@ def passages(v: list[dict], based: list[bool], slack: int, least: float) -> tupl
     ready, score, j = [], 0.0, 0
     for i, x in enumerate(v):
         base, j = based[x["template"]], max(j, i + 1)
-        while not base and j < len(v) and v[j]["template"] == x["template"] and v[j]["diagonal"] - x["diagonal"] <= slack:
+        while not base and j < len(v) and v[j]["template"] == x["template"] and v[j]["diagonal"] - x["diagonal"] <= slack[x["template"]]:
             j += 1
         share = share_of(i, j)
         score = max(score, share)
@@ -101,12 +117,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     spans: array of (label, start, end, coverage) in words, sorted.  A base template counts each place where
     its words stand consecutively (a diagonal with all its votes); any other counts where diagonals at most
-    `slack` apart hold together a share `least` of its k-grams.  score: the largest coverage, of spans kept or
+    `slack` apart hold together a share `least` of its k-grams.  Templates may be of any length: those over LONG_WORDS words
+    are found by LONG_K-grams, and their diagonals may be a word apart for each WORDS_A_SHIFT of them.  score: the largest coverage, of spans kept or
     not, 0 without any.  Null and empty texts give no words and no labels; repeated rows and null ids are
     reported row by row; other columns are not looked at."""
     spark = docs.sparkSession
     grams = template_grams(templates, k)
-    known = np.unique(np.array([g[2] for g in grams], dtype=np.int64))
+    sizes = [len(W.hash_of(t.text)) for t in templates]
+    known = {size: np.unique(np.array([g[2] for g in grams if gram_size(sizes[g[0]], k) == size], dtype=np.int64)) for size in sorted({gram_size(n, k) for n in sizes})}
+    long = any(n > LONG_WORDS for n in sizes)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyspark
@@ -115,13 +134,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         for batch in batches:
             for lo, hi, data, offsets in W.blocks(batch.column(1)):
                 hashed, at = W.word_hashes(data, offsets)
-                runs, begins = W.grams(hashed, at, k)
-                runs = signed(runs)
-                near = np.minimum(np.searchsorted(known, runs), len(known) - 1)
-                places = np.flatnonzero(known[near] == runs)
-                doc = np.searchsorted(begins, places, "right") - 1
+                doc, place, gram = (np.zeros(0, np.int64) for _ in range(3))
+                for size, grams_of in known.items():
+                    runs, begins = W.grams(hashed, at, size)
+                    runs = signed(runs)
+                    near = np.minimum(np.searchsorted(grams_of, runs), len(grams_of) - 1)
+                    places = np.flatnonzero(grams_of[near] == runs)
+                    own = np.searchsorted(begins, places, "right") - 1
+                    doc, place, gram = np.concatenate((doc, own)), np.concatenate((place, places - begins[own])), np.concatenate((gram, runs[places]))
+                if len(known) > 1:
+                    order = np.argsort(doc, kind="stable")
+                    doc, place, gram = doc[order], place[order], gram[order]
                 per_doc = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=hi - lo)))).astype(np.int32)
-                found = pa.StructArray.from_arrays([pa.array((places - begins[doc]).astype(np.int64)), pa.array(runs[places])], ["place", "gram"])
+                found = pa.StructArray.from_arrays([pa.array(place.astype(np.int64)), pa.array(gram)], ["place", "gram"])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(hi - lo, task, np.int64)), pa.array(np.arange(row, row + hi - lo)), batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(per_doc), found)],
                     ["__task", "__row", "doc_id", "n_words", "__hits"],
@@ -137,27 +162,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         rows.select(*key, F.explode_outer("__hits").alias("__hit"))
         .join(F.broadcast(positions), F.col("__hit.gram") == F.col("gram"), "left")
         .groupBy(*key, "template", (F.col("__hit.place") - F.col("position")).alias("diagonal"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, position)")).alias("votes"), F.max("n_grams").alias("n_grams"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, if(n_grams <= {LONG_WORDS - 1}, position, 0))")).alias("votes"), F.max("n_grams").alias("n_grams"), *([F.collect_set(F.expr(f"if(n_grams > {LONG_WORDS - 1}, position, null)")).alias("places")] if long else []))
     )
+    fields = ["template", "diagonal", "votes", "n_grams", *(["places"] if long else [])]
     # A text's diagonals are at most its hits; they meet in one row of that text.
-    per_doc = votes.groupBy(*key).agg(F.sort_array(F.collect_list(F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "votes", "n_grams")))).alias("v"))
+    per_doc = votes.groupBy(*key).agg(F.sort_array(F.collect_list(F.when(F.col("template").isNotNull(), F.struct(*fields)))).alias("v"))
 
     labels = [t.label for t in templates]
     based = [t.base for t in templates]
+    apart = [slack if n <= LONG_WORDS else max(slack, n // WORDS_A_SHIFT) for n in sizes]
+    ends = [gram_size(n, k) for n in sizes]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for n_words, v in zip(batch.column("n_words").to_pylist(), batch.column("v").to_pylist(), strict=True):
                 spans, firsts, base_labels, all_labels = [], [], set(), set()
-                found, score = passages(v, based, slack, least)
+                for x in v if long else ():
+                    if x["places"]:
+                        x["votes"] = sum(1 << p for p in x["places"])  # a set of any size
+                found, score = passages(v, based, apart, least)
                 for i, j, share in found:
                     t = v[i]["template"]
                     if based[t]:
                         firsts.append(v[i]["diagonal"])
                         base_labels.add(labels[t])
                     start = min(x["diagonal"] + (x["votes"] & -x["votes"]).bit_length() - 1 for x in v[i:j])
-                    end = max(x["diagonal"] + x["votes"].bit_length() - 1 for x in v[i:j]) + k
+                    end = max(x["diagonal"] + x["votes"].bit_length() - 1 for x in v[i:j]) + ends[t]
                     all_labels.add(labels[t])
                     spans.append({"label": labels[t], "start": start, "end": end, "coverage": share})
                 out.append((len(firsts), min(firsts, default=None), max(firsts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(all_labels)), score, sorted(spans, key=lambda s: (s["start"], s["end"], s["label"]))))
