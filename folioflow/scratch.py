@@ -27,10 +27,13 @@ def folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(base(df.sparkSession))
+    """df, written once to the shared folder.
+
+    Spark hands its estimate of df's size on to what is read back, and that of a join is a product: a loop that checkpoints joins
+    of joins squares it in each round, until reckoning with it takes longer than the work.  Loops write tables instead."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base(spark))
     return df.checkpoint(eager=True)
 
 
