@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.scratch import checkpoint, remove
+from folioflow.scratch import folder as scratch_folder
+
+__all__ = ["checkpoint", "remove", "scratch_folder"]
+
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of two longs that one broadcast may hold; beyond it the join is shuffled.
@@ -20,19 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Written once to the folder of spark.checkpoint.dir; a local folder only where none is set and Spark is local."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="folioflow-checkpoints-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def lower_az(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER_AZ, LOWER_AZ)
 
@@ -107,9 +97,19 @@ def without(docs: DataFrame, drop: DataFrame, on: Sequence[tuple[Column, str]])
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b) of longs, by alternating large and small stars.
 
-    Every round is two aggregations with map-side combining and two equi-joins, and is checkpointed; the edges
+    Every round is two aggregations with map-side combining and two equi-joins, and is written; the edges
     never grow beyond twice their first number.  Nodes without an edge have no row."""
-    edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spark, folders = edges.sparkSession, []
+
+    def written(df: DataFrame) -> DataFrame:
+        """df as a table of its own, whose size Spark knows; those that nothing reads any more are deleted."""
+        folders.append(scratch_folder(spark))
+        df.write.parquet(folders[-1])
+        for folder in folders[-4:-3]:
+            remove(spark, folder)
+        return spark.read.schema("a long, b long").parquet(folders[-1])
+
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -118,10 +118,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = checkpoint(join_counted(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        large = written(join_counted(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = join_counted(large, smallest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = checkpoint(small)
+        edges = written(small)
         now = state(edges)
         if now == before:
             break
@@ -141,19 +141,3 @@ def unique_ids(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
         return docs, id_col
     name = fresh(docs, "__row_name")
     return docs.withColumn(name, F.xxhash64(named(id_col).cast("string"), F.coalesce(named(text_col), F.lit("")))), name
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="folioflow-scratch-")
-    return f"{base}/folioflow-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    """Deletes a folder of one's own that nothing reads any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
