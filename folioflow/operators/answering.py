@@ -57,11 +57,6 @@ class ExtractiveModel:
         return json.dumps(found)
 
 
-def prompt(query: str, context: list[tuple[str, str]]) -> str:
-    excerpts = "\n\n".join(f"[{label}]\n{text}" for label, text in context)
-    return f"{INSTRUCTIONS}\n\nExcerpts:\n{excerpts}\n\nQuestion: {query}\nAnswer:"
-
-
 def prompts(hits: DataFrame, queries: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """(query_id, prompt) for queries with evidence, in native expressions; excerpts in rank order."""
     kept = hits.where(F.coalesce("semantic_score", F.lit(0.0)) >= min_score)

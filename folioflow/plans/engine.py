@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import answering, chunking, evaluation, fusion, vector
 from folioflow.plans.store import Store, document_texts
+from folioflow.scratch import checkpoint
 from folioflow.sources import files
 
 STATUSES = "path string, doc_id string, doc_name string, n_chunks int, status string, error string"
@@ -122,5 +123,5 @@ class Engine:
 
     def evaluate(self, items: DataFrame, k: int = 5) -> DataFrame:
         asked = items.select(F.col("id").alias("query_id"), "query")
-        hits = self.search(asked, k).persist()
+        hits = checkpoint(self.search(asked, k))  # one search serves the hits and the answers
         return evaluation.outcomes(items, hits, answering.answers(hits, asked, self.model, self.settings.min_score))

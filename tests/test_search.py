@@ -169,7 +169,8 @@ def test_answers(spark, chunks):
     assert all(r["abstained"] for r in high) and {r["query_id"]: r["top_score"] for r in high}["0"] > 0.3
     shown = {r["query_id"]: r["prompt"] for r in answering.prompts(hits, asked, 0.05).collect()}
     context = [(h["citation"], h["text"]) for h in hits.where("query_id = '0' and semantic_score >= 0.05").orderBy("rank").collect()]
-    assert shown["0"] == answering.prompt("invoice payment due days", context)
+    excerpts = "\n\n".join(f"[{label}]\n{text}" for label, text in context)
+    assert shown["0"] == f"{answering.INSTRUCTIONS}\n\nExcerpts:\n{excerpts}\n\nQuestion: invoice payment due days\nAnswer:"
 
 
 def test_evaluation(spark):
