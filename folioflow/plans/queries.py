@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow import scratch
@@ -323,11 +323,14 @@ def embed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf_dir: str) -> store.Store:
     """A new store with the packed chunks of all documents, written in two parts, and the first part again, which adds nothing."""
-    kept = store.Store(spark, f"{scratch.folder(spark)}/store")
-    chunks = _packed_chunks(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>"))
+    folder = scratch.folder(spark)
+    kept = store.Store(spark, f"{folder}/store")
+    _packed_chunks(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>")).write.parquet(f"{folder}/chunks")
+    chunks = spark.read.parquet(f"{folder}/chunks")
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     for part in (chunks.where(half), chunks.where(~half), chunks.where(half)):
         kept.add(part)
+    scratch.remove(spark, f"{folder}/chunks")
     return kept
 
 
