@@ -17,6 +17,8 @@ UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of two longs that one broadcast may hold; beyond it the join is shuffled.
 BROADCAST_ROWS = 400_000
 BROADCAST_BYTES = 4 << 20
+#: Edges that one task of a round of components writes, about.
+EDGES = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,10 +103,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     never grow beyond twice their first number.  Nodes without an edge have no row."""
     spark, folders = edges.sparkSession, []
 
-    def written(df: DataFrame) -> DataFrame:
-        """df as a table of its own, whose size Spark knows; those that nothing reads any more are deleted."""
+    def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+        """df as a table of its own, whose size Spark knows, in a file for each EDGES of about `rows` rows; those that nothing reads any more are deleted."""
         folders.append(scratch_folder(spark))
-        df.write.parquet(folders[-1])
+        (df if rows is None else df.coalesce(max(1, -(-rows // EDGES)))).write.parquet(folders[-1])
         for folder in folders[-4:-3]:
             remove(spark, folder)
         return spark.read.schema("a long, b long").parquet(folders[-1])
@@ -118,10 +120,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = written(join_counted(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        large = written(join_counted(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), before[0])
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = join_counted(large, smallest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = written(small)
+        edges = written(small, 2 * before[0])
         now = state(edges)
         if now == before:
             break
