@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions import batches as B
 from folioflow.functions import folds
 from folioflow.functions import text as X
 
@@ -58,7 +59,7 @@ def chunk_segments(segments: DataFrame, max_words: int = MAX_WORDS, overlap_word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("word_count", pa.int32()), ("text", pa.string())]))
-        for batch in batches:
+        for batch in B.parts(batches, len(labels)):
             found = [packed(t or "", max_words, overlap_words, min_words) for t in batch.column(len(labels)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(labels)], pa.array(found, kind)], [*labels, "chunks"])
 
