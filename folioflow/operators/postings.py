@@ -9,13 +9,16 @@ there to give it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from folioflow.operators.bm25 import B, K1, runs, terms_of
+from folioflow.functions.batches import LIST_ENTRIES, parts, release, split_tokens
+from folioflow.operators.bm25 import B, K1, terms_of
 
 SHARD_BITS = 14
 SHARD = 1 << SHARD_BITS
@@ -67,30 +70,69 @@ def _from_previous(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def shard_blocks(shard: int, local: np.ndarray, tokens: pa.Array, stems: bool, block: int = BLOCK) -> pa.RecordBatch:
-    """The blocks of the chunks of a shard; local: their rising numbers in it."""
-    row, place, code, terms = terms_of(tokens, stems)
-    order = pc.array_sort_indices(terms).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    code, terms = rank[code], terms.take(pa.array(order))
-    dl = np.bincount(row, minlength=len(tokens))
-    # Postings by (term, row): the roles of row and term are changed.
-    by, begins, term, of = runs(code, row, len(tokens))
-    tf = np.diff(np.append(begins, len(by)))
+@dataclass
+class Tokens:
+    """The tokens of a part of a shard's chunks: number of the chunk in the shard, place in it, and number among `terms`; 12 bytes a token."""
+
+    number: np.ndarray
+    place: np.ndarray
+    code: np.ndarray
+    terms: pa.Array
+    lengths: np.ndarray  # of each chunk
+
+    @staticmethod
+    def of(local: np.ndarray, tokens: pa.Array, stems: bool) -> Tokens:
+        row, place, code, terms = terms_of(tokens, stems)
+        small = np.int32
+        return Tokens(local[row].astype(small), place.astype(small), code.astype(small), terms, np.bincount(row, minlength=len(tokens)).astype(small))
+
+
+def shard_blocks(shard: int, local: np.ndarray, held: list[Tokens], block: int = BLOCK, entries: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The blocks of the chunks of a shard; local: their rising numbers in it.  Terms go in their order, so many at a time that they
+    have about `entries` tokens."""
+    own = pa.concat_arrays([t.terms for t in held]).dictionary_encode()
+    order = pc.array_sort_indices(own.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    of_term, first = rank[own.indices.to_numpy()], np.cumsum([0, *(len(t.terms) for t in held)])
+    terms = own.dictionary.take(pa.array(order))
+    code = np.concatenate([of_term[lo:hi][t.code] for t, lo, hi in zip(held, first[:-1], first[1:], strict=True)])
+    number, place = (np.concatenate([getattr(t, c) for t in held]) for c in ("number", "place"))
+    length = np.zeros(SHARD, np.int64)
+    length[local] = np.concatenate([t.lengths for t in held])
+    held.clear()
+    # Chunks and places rise already; a stable order by term keeps that.
+    by = np.argsort(code, kind="stable")
+    counts = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(terms)))))
+    del code
+    lo = 0
+    while lo < len(terms):
+        hi = max(lo + 1, int(np.searchsorted(counts, counts[lo] + (entries or LIST_ENTRIES), "right")) - 1)
+        at = by[counts[lo] : counts[hi]]
+        term = np.repeat(np.arange(lo, hi), np.diff(counts[lo : hi + 1]))
+        yield _term_blocks(shard, terms, term, number[at].astype(np.int64), place[at].astype(np.int64), length, block)
+        lo = hi
+
+
+def _term_blocks(shard: int, terms: pa.Array, term: np.ndarray, number: np.ndarray, place: np.ndarray, lengths: np.ndarray, block: int) -> pa.RecordBatch:
+    """The blocks of tokens in the order of term, chunk and place."""
+    n = len(term)
+    begins = np.flatnonzero(np.concatenate((np.ones(min(1, n), bool), (term[1:] != term[:-1]) | (number[1:] != number[:-1]))))
+    tf = np.diff(np.append(begins, n))
+    term, number = term[begins], number[begins]
     nth = np.arange(len(term)) - np.searchsorted(term, term)
     cuts = np.append(np.flatnonzero(nth % block == 0), len(term))
     starts = cuts[:-1]
     if not len(starts):
         return pa.RecordBatch.from_pylist([], schema=SCHEMA)
     size = np.diff(cuts)
-    number, length = local[of], dl[of]
+    length = lengths[number]
     worth = gain(tf, length, USUAL_LENGTH)
     best = np.lexsort((-worth, np.repeat(np.arange(len(size)), size)))[starts]
-    positions = _from_previous(place[by], begins)
+    positions = _from_previous(place, begins)
     columns = [
         terms.take(pa.array(term[starts])), pa.array(np.full(len(size), shard)), *[pa.array(c.astype(np.int32)) for c in (size, number[starts], number[cuts[1:] - 1], np.maximum.reduceat(tf, starts), np.minimum.reduceat(length, starts), tf[best], length[best])],
-        _pieces(_from_previous(number, starts), cuts), _pieces(tf, cuts), _pieces(length, cuts), _pieces(positions, np.append(begins, len(by))[cuts]),
+        _pieces(_from_previous(number, starts), cuts), _pieces(tf, cuts), _pieces(length, cuts), _pieces(positions, np.append(begins, n)[cuts]),
     ]
     return pa.RecordBatch.from_arrays(columns, schema=SCHEMA)
 
@@ -105,26 +147,23 @@ def blocks(chunks: DataFrame, stems: bool, block: int | None = None) -> DataFram
     size = block or BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
-
-        def out() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            return shard_blocks(shard, table.column(0).to_numpy() & (SHARD - 1), table.column(1).combine_chunks(), stems, size)
-
-        for batch in batches:
-            own = batch.column(0).to_numpy() >> SHARD_BITS
+        shard, held, chunks = None, [], []
+        for batch in parts(batches, 1):
+            numbers = batch.column(0).to_numpy()
+            own = numbers >> SHARD_BITS
             cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi > lo:
-                    if held and own[lo] != shard:
-                        yield out()
-                        held = []
-                    shard = int(own[lo])
-                    held.append(batch.slice(lo, hi - lo))
+                if held and own[lo] != shard:
+                    yield from shard_blocks(shard, np.concatenate(chunks), held, size)
+                    held, chunks = [], []
+                shard = int(own[lo])
+                chunks.append(numbers[lo:hi] & (SHARD - 1))
+                held.append(Tokens.of(chunks[-1], split_tokens(batch.column(1).slice(lo, hi - lo)), stems))
         if held:
-            yield out()
+            yield from shard_blocks(shard, np.concatenate(chunks), held, size)
+        release()
 
-    return chunks.select("number", "tokens").mapInArrow(run, BLOCKS)
+    return chunks.select("number", F.array_join("tokens", " ").alias("tokens")).mapInArrow(run, BLOCKS)
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

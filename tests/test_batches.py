@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from folioflow.functions import batches as B
 from folioflow.functions import text as X
-from folioflow.operators import bm25
+from folioflow.operators import bm25, postings
 
 
 @pytest.mark.parametrize("column", [pa.array(["x" * 700, None, "", "y" * 5000, *["z" * 300] * 40]), pa.array([["a"] * 700, None, [], ["b"] * 5000, *[["c"] * 300] * 40])])
@@ -32,3 +33,18 @@ def test_joined_tokens_are_split_as_they_were():
         texts = texts.slice(random.randrange(9), 5)
         assert B.split_tokens(texts).to_pylist() == [t.split() for t in texts.to_pylist()]
         assert bm25.terms_of(B.split_tokens(texts), True)[0].tolist() == [i for i, t in enumerate(texts.to_pylist()) for _ in t.split()]
+
+
+def test_blocks_of_a_shard_go_by_terms_in_parts():
+    r = random.Random(4)
+    texts = pa.array([" ".join(r.choice("abcdefgh") for _ in range(r.randrange(30))) for _ in range(40)])
+    local = np.arange(5, 45)
+    held = lambda: [postings.Tokens.of(local[k : k + 9], B.split_tokens(texts.slice(k, 9)), False) for k in range(0, 40, 9)]
+    whole = list(postings.shard_blocks(3, local, held(), 8, 1 << 20))
+    found = list(postings.shard_blocks(3, local, held(), 8, 50))
+    assert len(whole) == 1 and len(found) > 4
+    assert pa.Table.from_batches(found).to_pylist() == whole[0].to_pylist()
+    for row in postings.opened([b.append_column("seq", pa.array([1] * b.num_rows)) for b in found]):
+        for term, number, dl, positions in zip(*(row.column(c).to_pylist() for c in ("term", "number", "dl", "positions")), strict=True):
+            words = texts[(number & (postings.SHARD - 1)) - 5].as_py().split()
+            assert dl == len(words) and positions == [i for i, w in enumerate(words) if w == term]
