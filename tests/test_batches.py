@@ -8,7 +8,7 @@ import pytest
 
 from folioflow.functions import batches as B
 from folioflow.functions import text as X
-from folioflow.operators import bm25, postings
+from folioflow.operators import bm25, postings, vector
 
 
 @pytest.mark.parametrize("column", [pa.array(["x" * 700, None, "", "y" * 5000, *["z" * 300] * 40]), pa.array([["a"] * 700, None, [], ["b"] * 5000, *[["c"] * 300] * 40])])
@@ -48,3 +48,13 @@ def test_blocks_of_a_shard_go_by_terms_in_parts():
         for term, number, dl, positions in zip(*(row.column(c).to_pylist() for c in ("term", "number", "dl", "positions")), strict=True):
             words = texts[(number & (postings.SHARD - 1)) - 5].as_py().split()
             assert dl == len(words) and positions == [i for i, w in enumerate(words) if w == term]
+
+
+def test_products_are_held_in_small_parts(monkeypatch):
+    r = np.random.default_rng(3)
+    asked, have, ids, names = r.normal(size=(9, 4)), r.normal(size=(50, 4)), pa.array(r.permutation(50)), pa.array(range(9))
+    whole = pa.Table.from_batches(vector.compared(asked, names, have, ids, 5, "id", 6))
+    assert 8 * vector.COMPARED <= 4 << 20
+    monkeypatch.setattr(vector, "COMPARED", 100)
+    found = list(vector.compared(asked, names, have, ids, 5, "id", 6))
+    assert len(found) == 5 and pa.Table.from_batches(found).equals(whole.combine_chunks())
