@@ -5,10 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,17 +25,14 @@ class Arrivals(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first", "doc_id long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.first.get()[0] if self.first.exists() else None
-        least, status = known, None
-        for part in rows:
-            ids = np.concatenate([np.asarray(x, np.int64) for x in part["doc_ids"]])
-            first = int(ids.min())
-            status = "no_text" if part["n_words"].iloc[0] < MIN_WORDS else "indexed"
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        found = self.first.get()
+        known = least = found[0] if found else None
+        for row in rows:
+            ids, first = row["doc_ids"], min(row["doc_ids"])
             beaten = [least] if least is not None and first < least else []
             least = first if least is None else min(least, first)
-            said = np.append(ids, beaten).astype(np.int64)
-            yield pd.DataFrame({"content_id": key[0], "doc_id": said, "status": np.where(said == least, status, "duplicate")})
+            yield Row(content_id=key[0], doc_ids=[*ids, *beaten], first=least, status="indexed" if row["enough"] else "no_text")
         if least != known:
             self.first.update((least,))
 
@@ -48,17 +43,20 @@ class Arrivals(StatefulProcessor):
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each content of a batch, with its documents: of a content that a third of all have, few rows reach its task."""
     for batch in batches:
-        table = pa.Table.from_batches([batch]).group_by("content_id", use_threads=False).aggregate([("doc_id", "list"), ("n_words", "max")])
-        yield from table.rename_columns(["content_id", "doc_ids", "n_words"]).to_batches()
+        table = pa.Table.from_batches([batch]).group_by("content_id", use_threads=False).aggregate([("doc_id", "list"), ("enough", "max")])
+        yield from table.rename_columns(["content_id", "doc_ids", "enough"]).to_batches()
 
 
 def statuses(documents: DataFrame) -> DataFrame:
     """STATUSES of a stream of documents (doc_id, text).  Rows without an id have no place in the order and are left out; a null text is empty; a
     document that comes again is no copy of itself."""
     text = F.coalesce("text", F.lit(""))
-    rows = documents.where("doc_id is not null").select(X.content_id(text.cast("binary")).alias("content_id"), F.col("doc_id").cast("long").alias("doc_id"), F.size(X.words(text)).alias("n_words"))
-    few = rows.mapInArrow(gathered, "content_id string, doc_ids array<long>, n_words int")
-    return few.groupBy("content_id").transformWithStateInPandas(Arrivals(), STATUSES, "Append", "None")
+    rows = documents.where("doc_id is not null").select(X.content_id(text.cast("binary")).alias("content_id"), F.col("doc_id").cast("long").alias("doc_id"), X.has_words(text, MIN_WORDS).alias("enough"))
+    few = rows.mapInArrow(gathered, "content_id string, doc_ids array<long>, enough boolean")
+    # Rows, not pandas frames: contents are many and have few documents, and a frame for each costs more than its state.
+    told = few.groupBy("content_id").transformWithState(Arrivals(), "content_id string, doc_ids array<long>, first long, status string", "Append", "None")
+    said = told.select("content_id", F.explode("doc_ids").alias("doc_id"), "first", "status")
+    return said.select("content_id", "doc_id", F.when(F.col("doc_id") == F.col("first"), F.col("status")).otherwise("duplicate").alias("status"))
 
 
 def settled(told: DataFrame) -> DataFrame:

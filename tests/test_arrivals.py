@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from folioflow.functions import text as X
 from folioflow.streaming import arrivals
 
 SCHEMA = "doc_id long, text string"
@@ -31,3 +33,17 @@ def test_any_batching_gives_the_same(spark, tmp_path, order):
     assert track() == expected
     told = spark.read.schema(arrivals.STATUSES).parquet(str(tmp_path / "out")).count()
     assert track() == expected and spark.read.schema(arrivals.STATUSES).parquet(str(tmp_path / "out")).count() == told
+
+
+def test_words_are_read_no_further_than_needed(spark):
+    texts = ["one two three four five six", "a b c d e", " \t a b c\u001cd　e ", "a b c d", "a b c d ", "  ", "", None, "x" * 200_000, " á \U0001f600 b\nc\n\nd", "e" * 100_000 + " b c d " + "f" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.select("i", X.has_words(F.col("t"), 5).alias("a"), (F.size(X.words(F.col("t"))) >= 5).alias("b"), X.has_words(F.col("t"), 1).alias("c"), (F.size(X.words(F.col("t"))) >= 1).alias("d")).collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in rows) and sum(r["a"] for r in rows) == 5
+
+
+def test_a_batch_counts_no_words(spark, tmp_path):
+    """A file is one task: what it does with a text must not be a split into all words."""
+    spark.createDataFrame(list(enumerate(TEXTS)), SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    told = arrivals.statuses(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")))
+    assert "split(" not in told._jdf.queryExecution().toString()
