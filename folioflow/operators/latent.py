@@ -1,9 +1,9 @@
 """A learned embedder: truncated singular value decomposition of the tf-idf matrix, by randomised power iteration.
 
-Words are stemmed and hashed to FEATURES columns, so the model has a size of its own whatever the vocabulary.  A pass multiplies
-the matrix and its transpose with a thin block of vectors: every task does so with its own rows and adds up, a tree of sums
-brings the block (FEATURES x (dims + OVERSAMPLE)) to the driver, which makes it orthonormal for the next pass.  No row
-leaves its task.
+Words are stemmed and hashed to FEATURES columns, so the model has a size of its own whatever the vocabulary.  The matrix is made
+of the texts once and kept, in blocks of the rows of about a MB of text.  A pass multiplies it and its transpose with a thin
+block of vectors: every task does so with its own rows and adds up, a tree of sums brings the block (FEATURES x (dims +
+OVERSAMPLE)) to the driver, which makes it orthonormal for the next pass.  No row of the matrix goes to the driver.
 """
 
 from __future__ import annotations
@@ -18,14 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.functions.batches import parts, release, spans, split_tokens
 from folioflow.operators.bm25 import runs, terms_of
 
 FEATURES = 1 << 14
 DIMS, OVERSAMPLE, PASSES = 128, 24, 7
 #: Texts, about, that the model is fitted on; chosen by their hash where the table has more.
 FIT_ROWS = 200_000
-#: Entries of the matrix that a task multiplies at a time.
-ENTRIES = 1 << 15
+#: Rows of the matrix that a task multiplies at a time.
+SLAB_ROWS = 128
 
 
 def entries(tokens: pa.Array, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,21 +43,15 @@ def unit_rows(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return values / np.maximum(length, 1e-300)[rows]
 
 
-def grouped_sum(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct keys, sums of the rows of values with each)."""
-    order = np.argsort(key, kind="stable")
-    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), np.diff(key[order]) > 0)))
-    return key[order][starts], np.add.reduceat(values[order], starts, axis=0) if len(starts) else values[:0]
-
-
-def times(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
-    """The matrix (n rows) times a block."""
-    out = np.zeros((n, block.shape[1]))
-    for k in range(0, len(rows), ENTRIES):
-        own = slice(k, k + ENTRIES)
-        at, sums = grouped_sum(rows[own], block[columns[own]] * values[own, None])
-        out[at] += sums
-    return out
+def slabs(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int, features: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, features, full matrix of them) of every SLAB_ROWS rows: of a sparse matrix only the features that these have, for plain matrix products."""
+    firsts = np.arange(0, n, SLAB_ROWS)
+    for first, lo, hi in zip(firsts.tolist(), np.searchsorted(rows, firsts), np.searchsorted(rows, firsts + SLAB_ROWS), strict=True):
+        seen = np.zeros(features, bool)
+        seen[columns[lo:hi]] = True
+        full = np.zeros((min(SLAB_ROWS, n - first), np.count_nonzero(seen)))
+        full[rows[lo:hi] - first, (np.cumsum(seen) - 1)[columns[lo:hi]]] = values[lo:hi]
+        yield first, np.flatnonzero(seen), full
 
 
 @dataclass(frozen=True)
@@ -72,7 +67,9 @@ class Latent:
     def embed(self, tokens: pa.Array) -> np.ndarray:
         """Unit vectors of texts; zeros for those without words that the model knows."""
         rows, columns, values = entries(tokens, len(self.weights))
-        out = times(rows, columns, unit_rows(rows, values * self.weights[columns], len(tokens)), self.vectors, len(tokens))
+        out = np.zeros((len(tokens), self.dims))
+        for first, have, full in slabs(rows, columns, unit_rows(rows, values * self.weights[columns], len(tokens)), len(tokens), len(self.weights)):
+            out[first : first + len(full)] = full @ self.vectors[have]
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, length, out=np.zeros_like(out), where=length > 1e-9).astype(np.float32)
 
@@ -85,41 +82,55 @@ class Latent:
         return Latent(weights, vectors.reshape(len(weights), -1), values)
 
 
-def _summed(rows: DataFrame, work: Callable[[pa.Array], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """The sum of work over the batches of the tokens of rows, in a tree."""
+#: (rows, row, feature, 1 + log count) of the matrix of some texts; arrays as bytes.
+BLOCK = "n int, row binary, feature binary, val binary"
+
+
+def _blocks(texts: DataFrame, text_col: str, features: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 0):
+            rows, columns, values = entries(split_tokens(batch.column(0)), features)
+            packed = (rows.astype(np.int32), columns.astype(np.int32), values)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int32()), *(pa.array([x.tobytes()]) for x in packed)], ["n", "row", "feature", "val"])
+
+    return texts.select(X.joined_tokens(F.col(text_col)).alias("tokens")).mapInArrow(run, BLOCK)
+
+
+def _summed(blocks: DataFrame, work: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of work(rows, row, feature, value) over the blocks, in a tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
-            total += work(batch.column(0))
+            for n, row, feature, value in zip(*(batch.column(c) for c in range(4)), strict=True):
+                total += work(n.as_py(), *(np.frombuffer(x.as_buffer(), kind) for x, kind in ((row, np.int32), (feature, np.int32), (value, np.float64))))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sum"])
 
-    found = rows.mapInArrow(run, "sum binary").rdd.map(lambda r: np.frombuffer(r["sum"]))
+    found = blocks.mapInArrow(run, "sum binary").rdd.map(lambda r: np.frombuffer(r["sum"]))
     return found.treeReduce(lambda a, b: a + b).reshape(shape)
 
 
 def fit(texts: DataFrame, text_col: str = "text", dims: int = DIMS, features: int = FEATURES, passes: int = PASSES, fit_rows: int = FIT_ROWS) -> Latent:
     """The model of a text column.  Null and empty texts are rows of zeros; a table without words gives vectors that embed everything to zeros."""
-    rows = texts.select(X.index_tokens(F.col(text_col)).alias("tokens"))
-    n = rows.count()
+    n = texts.count()
     if n > fit_rows:
-        rows = texts.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30))).select(X.index_tokens(F.col(text_col)).alias("tokens"))
-    rows = rows.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, 1)).persist()
+        texts = texts.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
+    blocks = _blocks(texts, text_col, features).repartition(max(texts.sparkSession.sparkContext.defaultParallelism, 1)).persist()
     try:
-        n = rows.count()
-        df = _summed(rows, lambda tokens: np.bincount(entries(tokens, features)[1], minlength=features).astype(float), (features,)) if n else np.zeros(features)
+        n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        df = _summed(blocks, lambda n, row, feature, value: np.bincount(feature, minlength=features).astype(float), (features,)) if n else np.zeros(features)
         weights = np.log((1 + n) / (1 + df)) + 1
 
         def gram(block: np.ndarray) -> np.ndarray:
             """The transposed matrix times the matrix times a block."""
 
-            def work(tokens: pa.Array) -> np.ndarray:
-                own, columns, values = entries(tokens, features)
-                values = unit_rows(own, values * weights[columns], len(tokens))
-                product = times(own, columns, values, block, len(tokens))
-                return times(columns, own, values, product, features)
+            def work(n: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray) -> np.ndarray:
+                out = np.zeros(block.shape)
+                for _, have, full in slabs(row, feature, unit_rows(row, value * weights[feature], n), n, features):
+                    out[have] += full.T @ (full @ block[have])
+                return out
 
-            return _summed(rows, work, block.shape)
+            return _summed(blocks, work, block.shape)
 
         thin = min(dims + OVERSAMPLE, features)
         block = np.linalg.qr(np.random.default_rng(97).normal(size=(features, thin)))[0]
@@ -134,7 +145,7 @@ def fit(texts: DataFrame, text_col: str = "text", dims: int = DIMS, features: in
         vectors = (last if n else block) @ turned * (squares > 1e-12 * max(squares[0], 1e-300))
         return Latent(weights, np.ascontiguousarray(vectors), np.sqrt(squares))
     finally:
-        rows.unpersist()
+        blocks.unpersist()
 
 
 class LatentEmbedder:
@@ -147,10 +158,14 @@ class LatentEmbedder:
         model = self.model
 
         @F.arrow_udf("array<float>")
-        def embed(tokens: pa.Array) -> pa.Array:
-            found = model.embed(tokens)
-            return pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, max(found.shape[1], 1), dtype=np.int32)), pa.array(found.ravel()))
-
-        return embed(X.index_tokens(text))
+        def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                for row, end in spans(batch):
+                    found = model.embed(split_tokens(batch.slice(row, end - row)))
+                    yield pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, max(found.shape[1], 1), dtype=np.int32)), pa.array(found.ravel()))
+                del batch
+                release()
+
+        return embed(X.joined_tokens(text))
 
     queries = passages

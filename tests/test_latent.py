@@ -54,3 +54,21 @@ def test_nothing_to_learn_from(spark):
         model = latent.fit(df, dims=3, features=64)
         assert not model.values.any() and not model.vectors.any()
         assert not latent.LatentEmbedder(model).model.embed(df.select(X.index_tokens(F.col("text")).alias("t")).toArrow().column(0).combine_chunks()).any()
+
+
+def test_the_matrix_is_made_once_and_multiplied_in_slabs(spark):
+    """Blocks of the texts hold the whole matrix; slabs of any block are bounded in rows and give its products."""
+    texts = pq.read_table(f"{SF}/documents.parquet").column("text").to_pylist() + [None, "", "one", "one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1).sortWithinPartitions("id")
+    full, tokens = dense(spark, df, 512)
+    found, at = np.zeros_like(full), 0
+    for n, row, feature, value in latent._blocks(df, "text", 512).collect():
+        row, feature, value = np.frombuffer(row, np.int32), np.frombuffer(feature, np.int32), np.frombuffer(value)
+        for first, have, part in latent.slabs(row, feature, value, n, 512):
+            assert len(part) <= latent.SLAB_ROWS
+            found[at + first : at + first + len(part), have] = part
+        at += n
+    rows, columns, values = latent.entries(tokens, 512)
+    plain = np.zeros_like(full)
+    plain[rows, columns] = values
+    assert at == len(texts) > latent.SLAB_ROWS and np.array_equal(found, plain)
