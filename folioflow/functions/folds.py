@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,11 +30,18 @@ def reaching_groups(sizes: list[int], most: int) -> list[int]:
     return groups
 
 
-def reaching(sizes: Column, most: int) -> Column:
-    """reaching_groups of an array column."""
+def reaching_runs(sizes: Column, most: int) -> Column:
+    """(first, n) of each run of equal reaching_groups of an array column; null stays null."""
 
-    @F.pandas_udf("array<int>")
+    def runs(x: np.ndarray | None) -> list[dict] | None:
+        if x is None:
+            return None
+        groups = reaching_groups(x.tolist(), most)
+        firsts = np.flatnonzero(np.diff(groups, prepend=-1)).tolist()
+        return [{"first": first, "n": end - first} for first, end in zip(firsts, [*firsts[1:], len(groups)], strict=True)]
+
+    @F.pandas_udf("array<struct<first:int,n:int>>")
     def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: None if x is None else reaching_groups(x.tolist(), most))
+        return column.map(runs)
 
     return run(sizes)

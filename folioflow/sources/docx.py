@@ -100,11 +100,13 @@ def sections(rows: DataFrame, most_words: int = HEADINGLESS_WORDS) -> DataFrame:
     text = F.when(F.col("cells").isNull(), X.strip(F.coalesce("text", F.lit("")))).otherwise(table_text(F.col("cells")))
     full = rows.select("doc_id", "doc_name", "block_no", (is_heading(F.col("style")) & F.col("cells").isNull()).alias("head"), text.alias("text")).where("text <> ''")
     placed = full.withColumn("number", F.row_number().over(order)).withColumn("headings", F.sum(F.col("head").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    plain = placed.where("headings = 0").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", F.size(X.words(F.col("text"))).alias("n")))).alias("b"))
-    cuts = plain.select("doc_id", F.explode(F.arrays_zip(F.col("b.number").alias("number"), folds.reaching(F.col("b.n"), most_words).alias("cut"))).alias("c")).select("doc_id", "c.number", "c.cut")
-    parts = placed.join(cuts, ["doc_id", "number"], "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+    # Blocks meet by section in the task that numbered them; the first cuts are runs of its list, so nothing is joined.
     ordered = F.array_sort(F.collect_list(F.struct("number", "text")))
-    found = parts.groupBy("doc_id", "headings", "cut").agg(F.first("doc_name").alias("doc_name"), F.min_by("text", "number").alias("first"), F.min("number").alias("lo"), F.max("number").alias("hi"), ordered.alias("b"))
+    whole = placed.groupBy("doc_id", "headings").agg(F.first("doc_name").alias("doc_name"), ordered.alias("b"))
+    sizes = F.when(F.col("headings") == 0, F.transform("b", lambda x: F.size(X.words(x["text"]))))
+    runs = F.transform(folds.reaching_runs(sizes, most_words), lambda r: F.slice(F.col("b"), r["first"] + 1, r["n"]))
+    cut = whole.select("doc_id", "doc_name", "headings", F.explode(F.coalesce(runs, F.array("b"))).alias("b"))
+    found = cut.select("doc_id", "doc_name", "headings", "b", F.col("b")[0]["text"].alias("first"), F.col("b")[0]["number"].alias("lo"), F.element_at("b", -1)["number"].alias("hi"))
     label = F.when(F.col("headings") > 0, F.col("first")).otherwise(F.format_string("paras %d-%d", "lo", "hi"))
     seg_no = F.row_number().over(Window.partitionBy("doc_id").orderBy("lo")) - 1
     return found.select("doc_id", "doc_name", seg_no.alias("seg_no"), label.alias("section"), F.array_join("b.text", "\n\n").alias("text"))
