@@ -5,7 +5,9 @@ search reads the codes of the cells near to its queries, keeps the best by the c
 these few and ranks them by their exact cosine.  How many cells are near enough is measured when the index is built, on
 the fitting sample, for the recall asked for.
 
-A cell that holds many vectors (near copies may be a third of all) is dealt to blocks, and so are many queries of a cell.
+A cell that holds many vectors (near copies may be a third of all) is dealt to blocks.  Cells and blocks are put together to
+bundles of a bounded size; a block of queries meets a bundle in one task, which gives each query's best of the whole
+bundle, however many cells the query probes.
 """
 
 from __future__ import annotations
@@ -18,13 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.functions.batches import lean_group, parts
 from folioflow.operators import quantizer as Q
 from folioflow.operators import vector
 
 #: Vectors in a cell, about, where there are cells enough; and the most cells.
 CELL_ROWS, MOST_CELLS = 512, 4096
-#: Rows of a list, and queries of a cell, that one task compares.
-LIST_BLOCK, QUERY_BLOCK = 32_768, 2048
+#: Rows of lists, and queries, at most, that one task compares; and the fewest queries worth a task of their own.
+LIST_BLOCK, QUERY_BLOCK, LEAST_QUERIES = 32_768, 2048, 256
+#: Blocks of queries, where QUERY_BLOCK allows so few.
+QUERY_BLOCKS = 16
+#: Entries of queries' vectors whose cells a task looks for at a time.
+PROBED_ENTRIES = 1 << 15
+#: Candidates, about, that one task ranks.
+RANKED = 1 << 19
 #: Candidates kept for each result before the exact ranking, and at least.
 CANDIDATES, LEAST_CANDIDATES = 10, 100
 #: Queries and rows of the sample that the number of probes is measured on.
@@ -47,6 +56,17 @@ def probes_needed(model: Q.Quantizer, rows: np.ndarray, recall: float, k: int) -
     return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))]) + 1
 
 
+def bundled(sizes: list[int], n_blocks: list[int]) -> tuple[list[int], int]:
+    """(the bundle of each cell's first block, how many there are): cells in a row with up to LIST_BLOCK rows share one; each block of a larger cell has its own."""
+    first, bundle, rows = [], -1, LIST_BLOCK
+    for size, count in zip(sizes, n_blocks, strict=True):
+        if count > 1 or bundle < 0 or rows + size > LIST_BLOCK:
+            bundle, rows = bundle + 1, 0
+        first.append(bundle)
+        bundle, rows = bundle + count - 1, LIST_BLOCK if count > 1 else rows + size
+    return first, bundle + 1
+
+
 def _homes(batches: Iterator[pa.RecordBatch], model: Q.Quantizer) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array(model.near(Q.matrix(batch.column(0), model.dims)[0], 1)[:, 0])], ["cell"])
@@ -61,6 +81,8 @@ class VectorIndex:
         of = lambda name, shape: np.frombuffer(found[name]).reshape(found[shape])
         self.model = Q.Quantizer(of("cells", "cells_shape"), of("books", "books_shape"))
         self.probes, self.n_blocks, self.fields = found["probes"], found["n_blocks"], found["fields"]
+        # An index that was written without sizes has a bundle for each block.
+        self.sizes = found["sizes"] if "sizes" in found else [n * LIST_BLOCK for n in self.n_blocks]
 
     @staticmethod
     def build(vectors: DataFrame, path: str, id_col: str = "chunk_id", vector_col: str = "embedding", n_cells: int | None = None, recall: float = 0.97, k: int = 20) -> VectorIndex:
@@ -82,7 +104,8 @@ class VectorIndex:
         probes = probes_needed(model, Q.matrix(trial, dims)[0], recall, k) if len(trial) else 1
         # One number a cell: how many blocks its rows are dealt to.
         sizes = {r["cell"]: r["n"] for r in good.select("vector").mapInArrow(lambda batches: _homes(batches, model), "cell int").groupBy("cell").agg(F.count("*").alias("n")).collect()}
-        n_blocks = [max(1, -(-sizes.get(c, 0) // LIST_BLOCK)) for c in range(len(model.cells))]
+        sizes = [sizes.get(c, 0) for c in range(len(model.cells))]
+        n_blocks = [max(1, -(-n // LIST_BLOCK)) for n in sizes]
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -97,8 +120,8 @@ class VectorIndex:
         placed = lists.withColumn("block", F.pmod(F.xxhash64("id"), F.get(F.lit(n_blocks), F.col("cell"))).cast("int"))
         placed.repartition("cell", "block").sortWithinPartitions("cell", "block", "id").write.partitionBy("cell").parquet(f"{path}/lists")
         shapes = [[int(x) for x in m.shape] for m in (model.cells, model.books)]
-        about = [(model.cells.tobytes(), shapes[0], model.books.tobytes(), shapes[1], probes, n_blocks, f"{kept}, block int, cell int")]
-        spark.createDataFrame(about, "cells binary, cells_shape array<int>, books binary, books_shape array<int>, probes int, n_blocks array<int>, fields string").coalesce(1).write.parquet(f"{path}/model")
+        about = [(model.cells.tobytes(), shapes[0], model.books.tobytes(), shapes[1], probes, n_blocks, sizes, f"{kept}, block int, cell int")]
+        spark.createDataFrame(about, "cells binary, cells_shape array<int>, books binary, books_shape array<int>, probes int, n_blocks array<int>, sizes array<long>, fields string").coalesce(1).write.parquet(f"{path}/model")
         return VectorIndex(spark, path)
 
     def lists(self) -> DataFrame:
@@ -116,42 +139,67 @@ class VectorIndex:
         id_type = self.lists().schema["id"].dataType.simpleString()
         n = asked.count()
 
+        first, n_bundles = bundled(self.sizes, self.n_blocks)
+        firsts, counts = np.array(first), np.array(self.n_blocks)
+
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts(batches, 1, PROBED_ENTRIES):
                 x, good = Q.matrix(batch.column(1), model.dims)
                 rows = np.flatnonzero(good)
                 cells = model.near(x[rows], probes)
-                take = pa.array(np.repeat(rows, cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), batch.column(0).take(take), batch.column(1).take(take)], ["cell", "query_id", "embedding"])
-
-        probed = asked.mapInArrow(probe, f"cell int, query_id {query_type}, embedding {queries.schema['embedding'].dataType.simpleString()}")
+                row, cell = np.repeat(rows, cells.shape[1]), cells.ravel()
+                # A cell of many blocks is probed in each of them.
+                n = counts[cell]
+                bundle = np.repeat(firsts[cell], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row, cell = np.repeat(row, n), np.repeat(cell, n)
+                order = np.lexsort((cell, bundle, row))
+                row, bundle, cell = row[order], bundle[order], cell[order]
+                begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (bundle[1:] != bundle[:-1]))))
+                take, listed = pa.array(row[begins]), pa.ListArray.from_arrays(pa.array(np.append(begins, len(row)).astype(np.int32)), pa.array(cell.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(bundle[begins].astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take), listed], ["bundle", "query_id", "embedding", "cells"])
+
+        probed = asked.mapInArrow(probe, f"bundle int, query_id {query_type}, embedding {queries.schema['embedding'].dataType.simpleString()}, cells array<int>")
         lists = self.lists()
         if n <= QUERY_BLOCK and probes < len(model.cells):
             # Few queries leave cells alone: these folders aren't read.
-            lists = lists.where(F.col("cell").isin([r["cell"] for r in probed.select("cell").distinct().collect()]))
-        query_block, n_query_blocks = vector.in_blocks(n, QUERY_BLOCK, "query_id")
-        left = lists.select("cell", "block", "id", "code", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))).alias("q"))
-        blocks = F.sequence(F.lit(0), F.get(F.lit(self.n_blocks), F.col("cell")) - 1)
-        right = probed.select("cell", F.explode(blocks).alias("block"), "query_id", "embedding", query_block.alias("q"))
+            lists = lists.where(F.col("cell").isin([r["cell"] for r in probed.select(F.explode("cells").alias("cell")).distinct().collect()]))
+        query_block, n_query_blocks = vector.in_blocks(n, min(QUERY_BLOCK, max(LEAST_QUERIES, n // QUERY_BLOCKS)), "query_id")
+        bundle = (F.get(F.lit(first), F.col("cell")) + F.col("block")).cast("int")
+        left = lists.select(bundle.alias("bundle"), "cell", "id", "code", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))).alias("q"))
+        right = probed.withColumn("q", query_block)
+        # Few blocks a task: what they give is many times what they read, and the exchange after them holds it.
+        left, right = (side.repartition(n_bundles * n_query_blocks, "bundle", "q") for side in (left, right))
 
         def scan(have: pa.Table, asked: pa.Table) -> pa.Table:
-            ids, names = have.column("id").combine_chunks(), asked.column("query_id").combine_chunks()
-            found = []
+            have = have.take(pa.compute.sort_indices(have, [("cell", "ascending"), ("id", "ascending")]))
+            ids, cell, names = (t.column(c).combine_chunks() for t, c in ((have, "id"), (have, "cell"), (asked, "query_id")))
+            found = [pa.record_batch({"query_id": names.slice(0, 0), "id": ids.slice(0, 0), "score": pa.array([], pa.float64()), "cell": cell.slice(0, 0)})]
             if have.num_rows and asked.num_rows:
-                order = pa.compute.sort_indices(ids)
-                ids, codes = ids.take(order), np.frombuffer(b"".join(have.column("code").take(order).to_pylist()), np.uint8).reshape(len(ids), -1)
-                x, _ = Q.matrix(asked.column("embedding").combine_chunks(), model.dims)
+                place = np.argsort(pa.compute.sort_indices(ids).to_numpy())
+                codes = np.frombuffer(b"".join(have.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+                cells, begins = np.unique(cell.to_numpy(), return_index=True)
+                ends = np.append(begins[1:], len(ids))
+                x, probed = Q.matrix(asked.column("embedding").combine_chunks(), model.dims)[0], asked.column("cells").combine_chunks()
                 width = max(1, Q.SCORES // len(ids))
                 for lo in range(0, len(x), width):
-                    scores = model.scores(x[lo : lo + width], have.column("cell")[0].as_py(), codes)
-                    found.append(vector.best_of(scores.astype(np.float64), ids, names.slice(lo, len(scores)), candidates, "id"))
-            cell = have.column("cell").slice(0, 1) if found else have.column("cell").slice(0, 0)
-            table = pa.Table.from_batches(found) if found else pa.table({"query_id": names.slice(0, 0), "id": ids.slice(0, 0), "score": pa.array([], pa.float64())})
-            return table.append_column("cell", pa.array(np.repeat(np.asarray(cell), table.num_rows), pa.int32()))
-
-        near = left.groupBy("cell", "block", "q").cogroup(right.groupBy("cell", "block", "q")).applyInArrow(scan, f"query_id {query_type}, id {id_type}, score double, cell int")
+                    part, own = x[lo : lo + width], probed.slice(lo, width)
+                    row, of = pa.compute.list_parent_indices(own).to_numpy(), pa.compute.list_flatten(own).to_numpy()
+                    row, of = row[order := np.argsort(of, kind="stable")], of[order]
+                    tables, scores = model.tables(part), np.full((len(part), len(ids)), -np.inf, np.float32)
+                    for c, begin, end in zip(cells, begins, ends, strict=True):
+                        rows = row[np.searchsorted(of, c) : np.searchsorted(of, c, "right")]
+                        if len(rows):
+                            scores[rows, begin:end] = model.scores(part[rows], c, codes[begin:end], tables[:, rows])
+                    query, column = Q.best_columns(scores, candidates, place)
+                    take = pa.array(column)
+                    found.append(pa.record_batch({"query_id": names.take(pa.array(query + lo)), "id": ids.take(take), "score": pa.array(scores[query, column].astype(np.float64)), "cell": cell.take(take)}))
+            return pa.Table.from_batches(found)
+
+        near = left.groupBy("bundle", "q").cogroup(right.groupBy("bundle", "q")).applyInArrow(lean_group(scan), f"query_id {query_type}, id {id_type}, score double, cell int")
         if alive is not None:
             near = near.join(alive.select(F.col(alive.columns[0]).alias("id")), "id", "left_semi")
+        # Dealt by their number: a task that ranked what its bundles gave would sort many times what it read.
+        near = near.repartition(max(1, -(-n * n_bundles * candidates // RANKED)), "query_id")
         near = vector.ranked(near, candidates, "id").select("query_id", "cell", "id")
         pairs = near.join(lists.select("cell", "id", "vector"), ["cell", "id"]).join(asked, "query_id").select("query_id", "id", "vector", "embedding")
 

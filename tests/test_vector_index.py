@@ -67,6 +67,17 @@ def test_index_in_many_cells_and_blocks(spark, clustered, tmp_path, monkeypatch)
     assert {i for i, _ in some.values()} <= set(range(0, 1300, 3)) and some
 
 
+def test_a_query_gets_its_best_of_many_cells_at_once(spark, clustered, tmp_path, monkeypatch):
+    """What is ranked doesn't grow with the cells that a query probes."""
+    monkeypatch.setattr(vector_index, "LEAST_CANDIDATES", 10)
+    index, given, ranked = VectorIndex.build(clustered, str(tmp_path / "v"), n_cells=16), [], vector.ranked
+    monkeypatch.setattr(vector, "ranked", lambda found, k, name: given.append(found) or ranked(found, k, name))
+    assert index.top(None, asked(clustered, "chunk_id % 20 = 0"), 1, probes=99).count() == 65
+    assert given[0].count() == 65 * 10
+    monkeypatch.setattr(vector_index, "LIST_BLOCK", 20)
+    assert vector_index.bundled([10, 5, 100, 3, 0, 17, 1], [1, 1, 5, 1, 1, 1, 1]) == ([0, 0, 1, 6, 6, 6, 7], 8)
+
+
 def test_few_queries_read_few_cells(spark, clustered, tmp_path, monkeypatch):
     index = VectorIndex.build(clustered, str(tmp_path / "v"), n_cells=16)
     plan = index.top(None, asked(clustered, "chunk_id = 3"), 5, probes=2)._jdf.queryExecution().toString()
