@@ -1,9 +1,10 @@
 """A learned embedder: truncated singular value decomposition of the tf-idf matrix, by randomised power iteration.
 
 Words are stemmed and hashed to FEATURES columns, so the model has a size of its own whatever the vocabulary.  The matrix is made
-of the texts once and kept, in blocks of the rows of about a MB of text.  A pass multiplies it and its transpose with a thin
-block of vectors: every task does so with its own rows and adds up, a tree of sums brings the block (FEATURES x (dims +
-OVERSAMPLE)) to the driver, which makes it orthonormal for the next pass.  No row of the matrix goes to the driver.
+of all texts once and kept, in blocks of the rows of about a MB of text, at three bytes an entry.  A pass multiplies it and its
+transpose with a thin block of vectors: every task does so with its own rows and adds up, the sums bring the block (FEATURES x
+(dims + OVERSAMPLE)) to the driver, which makes it orthonormal for the next pass.  No row of the matrix goes to the driver.
+Passes before the last two only turn the block and have single precision; the last two give rank, values and vectors.
 """
 
 from __future__ import annotations
@@ -14,28 +15,57 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
-from folioflow.functions.batches import parts, release, spans, split_tokens
+from folioflow.functions.batches import lean, parts, release, spans, split_tokens
 from folioflow.operators.bm25 import runs, terms_of
 
 FEATURES = 1 << 14
 DIMS, OVERSAMPLE, PASSES = 128, 24, 7
-#: Texts, about, that the model is fitted on; chosen by their hash where the table has more.
-FIT_ROWS = 200_000
 #: Rows of the matrix that a task multiplies at a time.
-SLAB_ROWS = 128
-
-
-def entries(tokens: pa.Array, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, 1 + log count) of a sparse matrix of texts, by row."""
+SLAB_ROWS = 32
+#: Bytes of the tasks' sums that may go to the driver, one by one; more are added up in a tree first.
+SUM_BYTES = 512 << 20
+#: Bytes of a block, about, that a task multiplies and adds up at a time; wider ones go in pieces of their columns.
+PIECE_BYTES = 5 << 20
+#: Values of a sum in a row: small enough for the driver's JVM to take and forget them like any row.
+SLICE_VALUES = 1 << 15
+#: Partitions of the kept matrix for each core; they go to memory, or to disk, one by one.
+KEPT_PARTS = 8
+
+
+def counted(tokens: pa.Array, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, count) of a sparse matrix of texts, by row."""
     row, _, code, terms = terms_of(tokens, True)
     of = np.array([zlib.crc32(t.encode()) % features for t in terms.to_pylist()], dtype=np.int64)
     feature = of[code] if len(code) else np.zeros(0, np.int64)
     order, begins, rows, columns = runs(row, feature, features)
-    return rows, columns, 1 + np.log(np.diff(np.append(begins, len(order))))
+    return rows, columns, np.diff(np.append(begins, len(order)))
+
+
+def entries(tokens: pa.Array, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, 1 + log count) of a sparse matrix of texts, by row."""
+    rows, columns, counts = counted(tokens, features)
+    return rows, columns, 1 + np.log(counts)
+
+
+def packed(tokens: pa.Array, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries of each row, features, counts) of the matrix of some texts, in the smallest integers that hold them.
+
+    Short texts come first: slabs of rows of like length share their features better."""
+    rows, columns, counts = counted(tokens.take(pc.sort_indices(pc.list_value_length(tokens))), features)
+    return np.bincount(rows, minlength=len(tokens)).astype(np.int32), columns.astype(np.min_scalar_type(features - 1)), counts.astype(np.min_scalar_type(counts.max(initial=0)))
+
+
+def unpacked(sizes: pa.Scalar, feature: pa.Scalar, count: pa.Scalar, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, 1 + log count) of what packed made, from its bytes."""
+    rows = np.repeat(np.arange(len(sizes.as_buffer()) // 4), np.frombuffer(sizes.as_buffer(), np.int32))
+    columns = np.frombuffer(feature.as_buffer(), np.min_scalar_type(features - 1)).astype(np.int64)
+    counts = np.frombuffer(count.as_buffer(), f"u{len(count.as_buffer()) // max(len(rows), 1) or 1}")
+    return rows, columns, 1 + np.log(counts.astype(np.float64))
 
 
 def unit_rows(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -49,7 +79,7 @@ def slabs(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int, fea
     for first, lo, hi in zip(firsts.tolist(), np.searchsorted(rows, firsts), np.searchsorted(rows, firsts + SLAB_ROWS), strict=True):
         seen = np.zeros(features, bool)
         seen[columns[lo:hi]] = True
-        full = np.zeros((min(SLAB_ROWS, n - first), np.count_nonzero(seen)))
+        full = np.zeros((min(SLAB_ROWS, n - first), np.count_nonzero(seen)), values.dtype)
         full[rows[lo:hi] - first, (np.cumsum(seen) - 1)[columns[lo:hi]]] = values[lo:hi]
         yield first, np.flatnonzero(seen), full
 
@@ -82,67 +112,98 @@ class Latent:
         return Latent(weights, vectors.reshape(len(weights), -1), values)
 
 
-#: (rows, row, feature, 1 + log count) of the matrix of some texts; arrays as bytes.
+#: (rows, row, feature, 1 + log count) of the matrix of some texts, or (rows, what packed gives); arrays as bytes.
 BLOCK = "n int, row binary, feature binary, val binary"
 
 
-def _blocks(texts: DataFrame, text_col: str, features: int) -> DataFrame:
+def _blocks(texts: DataFrame, text_col: str, features: int, small: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 0):
-            rows, columns, values = entries(split_tokens(batch.column(0)), features)
-            packed = (rows.astype(np.int32), columns.astype(np.int32), values)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int32()), *(pa.array([x.tobytes()]) for x in packed)], ["n", "row", "feature", "val"])
+            tokens = split_tokens(batch.column(0))
+            if small:
+                arrays = packed(tokens, features)
+            else:
+                rows, columns, values = entries(tokens, features)
+                arrays = (rows.astype(np.int32), columns.astype(np.int32), values)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int32()), *(pa.array([x.tobytes()]) for x in arrays)], ["n", "row", "feature", "val"])
 
     return texts.select(X.joined_tokens(F.col(text_col)).alias("tokens")).mapInArrow(run, BLOCK)
 
 
-def _summed(blocks: DataFrame, work: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """The sum of work(rows, row, feature, value) over the blocks, in a tree."""
+def _cores(df: DataFrame) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, 1)
+
+
+def _summed(blocks: DataFrame, features: int, work: Callable[[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray], None], shape: tuple[int, ...], kind: type) -> np.ndarray:
+    """The sum of what work(total, rows, row, feature, value) adds to a task's total over the packed blocks.  A core has one total, whatever the table's size."""
+    tasks = _cores(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
+        total = np.zeros(shape, kind)
         for batch in batches:
-            for n, row, feature, value in zip(*(batch.column(c) for c in range(4)), strict=True):
-                total += work(n.as_py(), *(np.frombuffer(x.as_buffer(), kind) for x, kind in ((row, np.int32), (feature, np.int32), (value, np.float64))))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sum"])
-
-    found = blocks.mapInArrow(run, "sum binary").rdd.map(lambda r: np.frombuffer(r["sum"]))
-    return found.treeReduce(lambda a, b: a + b).reshape(shape)
+            for n, *arrays in zip(*(batch.column(c) for c in range(4)), strict=True):
+                work(total, n.as_py(), *unpacked(*arrays, features))
+        total = total.ravel()
+        for first in range(0, len(total), SLICE_VALUES):
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([total[first : first + SLICE_VALUES].tobytes()])], ["first", "sum"])
+
+    found = blocks.coalesce(tasks).mapInArrow(lean(run), "first long, sum binary")
+    if tasks * np.prod(shape) * np.dtype(kind).itemsize <= SUM_BYTES:
+        found, total = found.persist(), np.zeros(int(np.prod(shape)))
+        try:
+            found.count()
+            for r in found.toLocalIterator():
+                part = np.frombuffer(r["sum"], kind)
+                total[r["first"] : r["first"] + len(part)] += part
+            return total.reshape(shape)
+        finally:
+            found.unpersist()
+    return found.rdd.mapPartitions(lambda rows: [np.concatenate([np.frombuffer(r["sum"], kind) for r in rows])]).treeReduce(lambda a, b: a + b).reshape(shape).astype(np.float64)
+
+
+def fit(texts: DataFrame, text_col: str = "text", dims: int = DIMS, features: int = FEATURES, passes: int = PASSES) -> Latent:
+    """The model of all texts of a column.  Null and empty texts are rows of zeros; a table without words gives vectors that embed everything to zeros."""
+    release()
+    blocks = _blocks(texts, text_col, features, small=True).repartition(KEPT_PARTS * _cores(texts)).persist()
+    try:
 
+        def count(total: np.ndarray, n: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray) -> None:
+            total[:features] += np.bincount(feature, minlength=features)
+            total[features] += n
 
-def fit(texts: DataFrame, text_col: str = "text", dims: int = DIMS, features: int = FEATURES, passes: int = PASSES, fit_rows: int = FIT_ROWS) -> Latent:
-    """The model of a text column.  Null and empty texts are rows of zeros; a table without words gives vectors that embed everything to zeros."""
-    n = texts.count()
-    if n > fit_rows:
-        texts = texts.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
-    blocks = _blocks(texts, text_col, features).repartition(max(texts.sparkSession.sparkContext.defaultParallelism, 1)).persist()
-    try:
-        n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        df = _summed(blocks, lambda n, row, feature, value: np.bincount(feature, minlength=features).astype(float), (features,)) if n else np.zeros(features)
-        weights = np.log((1 + n) / (1 + df)) + 1
+        *df, n = _summed(blocks, features, count, (features + 1,), np.float64)
+        weights = np.log((1 + n) / (1 + np.array(df))) + 1
 
         def gram(block: np.ndarray) -> np.ndarray:
-            """The transposed matrix times the matrix times a block."""
+            """The transposed matrix times the matrix times a block, in the block's precision."""
+            shared = texts.sparkSession.sparkContext.broadcast(block)
 
-            def work(n: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray) -> np.ndarray:
-                out = np.zeros(block.shape)
-                for _, have, full in slabs(row, feature, unit_rows(row, value * weights[feature], n), n, features):
-                    out[have] += full.T @ (full @ block[have])
-                return out
+            def work(total: np.ndarray, n: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray) -> None:
+                block = shared.value
+                for _, have, full in slabs(row, feature, unit_rows(row, value * weights[feature], n).astype(block.dtype), n, features):
+                    total[have] += full.T @ (full @ block[have])
 
-            return _summed(blocks, work, block.shape)
+            try:
+                return _summed(blocks, features, work, block.shape, block.dtype.type)
+            finally:
+                shared.destroy()
+                # The sums that came by are the JVM's largest garbage: without this the driver grows by them to its full heap.
+                texts.sparkSession._jvm.System.gc()
 
         thin = min(dims + OVERSAMPLE, features)
         block = np.linalg.qr(np.random.default_rng(97).normal(size=(features, thin)))[0]
-        product = np.zeros_like(block)
-        for _ in range(passes if n else 0):
-            product = gram(block)
-            block, last = np.linalg.qr(product)[0], block
+        last, product = block, np.zeros_like(block)
+        for left in range(passes if n else 0, 0, -1):
+            exact = block.astype(np.float32 if left > 2 else np.float64)
+            product = np.hstack([gram(np.ascontiguousarray(piece)) for piece in np.array_split(exact, -(-exact.nbytes // PIECE_BYTES), axis=1)])
+            last = block
+            block = np.linalg.qr(product)[0] if left > 1 else None
+            release()
         # Within the last block: the eigenvectors of its small Gram matrix.
         small = last.T @ product if n else np.zeros((thin, thin))
         squares, turned = np.linalg.eigh((small + small.T) / 2)
         squares, turned = np.maximum(squares[::-1][:dims], 0), turned[:, ::-1][:, :dims]
-        vectors = (last if n else block) @ turned * (squares > 1e-12 * max(squares[0], 1e-300))
+        vectors = last @ turned * (squares > 1e-12 * max(squares[0], 1e-300))
         return Latent(weights, np.ascontiguousarray(vectors), np.sqrt(squares))
     finally:
         blocks.unpersist()

@@ -1,6 +1,9 @@
 """The learned embedder against NumPy's singular values."""
 
+import zlib
+
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
@@ -72,3 +75,37 @@ def test_the_matrix_is_made_once_and_multiplied_in_slabs(spark):
     plain = np.zeros_like(full)
     plain[rows, columns] = values
     assert at == len(texts) > latent.SLAB_ROWS and np.array_equal(found, plain)
+
+
+def test_every_text_counts(spark):
+    """However many texts there are: each has a part in weights and singular values, and so has one that stands at the end alone."""
+    n = 200_500
+    texts = F.when(F.col("id") == n - 1, "omega zeta").otherwise(F.concat(F.lit("alpha beta"), (F.col("id") % 1009).cast("string")))
+    features = 1 << 12
+    model = latent.fit(spark.range(0, n, 1, 4).select(texts.alias("text")), dims=2, features=features, passes=2)
+    feature = lambda word: zlib.crc32(word.encode()) % features
+    df = np.zeros(features)
+    for word, count in [("alpha", n - 1), ("omega", 1), ("zeta", 1), *((f"beta{i}", len(range(i, n - 1, 1009))) for i in range(1009))]:
+        df[feature(word)] += count
+    assert np.allclose(model.weights, np.log((1 + n) / (1 + df)) + 1, rtol=1e-12)
+
+
+def test_packed_blocks_and_sums_in_a_tree(spark, monkeypatch):
+    """What is kept of the texts is the matrix, also of counts over a byte; sums in a tree give the model that sums at the driver give."""
+    texts = [None, "", "one", *sorted(pq.read_table(f"{SF}/documents.parquet").column("text").to_pylist()[:60], key=len), "many " * 300, "lots " * 70_000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    plain, small = (latent._blocks(df, "text", 512, small=small).collect() for small in (False, True))
+    assert len(plain) == len(small)
+    for a, b in zip(plain, small, strict=True):
+        found = latent.unpacked(*(pa.scalar(bytes(x), pa.binary()) for x in b[1:]), 512)
+        full = []
+        for row, feature, value in (found, [np.frombuffer(x, kind) for x, kind in zip(a[1:], (np.int32, np.int32, float), strict=True)]):
+            full.append(np.zeros((a[0], 512)))
+            full[-1][row, feature] = value
+        # Rows of a block are sorted by length when they are kept.
+        assert a[0] == b[0] and np.array_equal(*(x[np.lexsort(x.T)] for x in full))
+    direct = latent.fit(df, dims=4, features=512)
+    monkeypatch.setattr(latent, "SUM_BYTES", 0)
+    tree = latent.fit(df, dims=4, features=512)
+    assert np.array_equal(direct.weights, tree.weights) and np.allclose(direct.values, tree.values, rtol=1e-9)
+    assert np.allclose(np.abs((direct.vectors * tree.vectors).sum(0)), 1, atol=1e-3)
