@@ -5,10 +5,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.operators import latent
+from folioflow.plans import queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,3 +111,15 @@ def test_packed_blocks_and_sums_in_a_tree(spark, monkeypatch):
     tree = latent.fit(df, dims=4, features=512)
     assert np.array_equal(direct.weights, tree.weights) and np.allclose(direct.values, tree.values, rtol=1e-9)
     assert np.allclose(np.abs((direct.vectors * tree.vectors).sum(0)), 1, atol=1e-3)
+
+
+def test_embedder_rates_and_search_learn_from_every_document(spark, tmp_path, monkeypatch):
+    n, models = 200_500, []
+    spark.range(0, n, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha beta"), (F.col("id") % 1009).cast("string")).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta7")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    fit = latent.fit
+    monkeypatch.setattr(latent, "fit", lambda texts: models.append(fit(texts, dims=2, features=1 << 12, passes=1)) or models[-1])
+    for query in (queries.embedder_rates, queries.search_learned):
+        query(spark, str(tmp_path))
+    # The weight of a feature that no text has tells how many texts there were.
+    assert [m.weights.max() for m in models] == pytest.approx([np.log(1 + n) + 1] * 2, rel=1e-12)
